@@ -16,15 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute `df` once and keep it in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where it is unset (tests) a
-    temporary one is taken.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary
+    folder is taken.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-cp-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute `df` once and keep it in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quillgrain.llm import best_fit, quality_rules, simhash_dedup, toxicity
+from quillgrain.llm import best_fit, pii, ppm, quality_rules, simhash_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op4_pii": pii.query,
+    "op5_ppm": ppm.query,
     "op7_best_fit": best_fit.query,
     "op9_quality_rules": quality_rules.query,
     "op10_simhash_dedup": simhash_dedup.query,
