@@ -1,20 +1,19 @@
 """Language-model scoring by prediction by partial matching, pretrained on the corpus itself.
 
-The model is a byte-context trie of order 4, kept as tables of byte n-grams (one table a level).
+The model is a byte-context trie of order 6, kept as tables of byte n-grams (one table a level).
 A symbol that a context hasn't shown is reached by an escape to the next shorter context; escapes
 are estimated by method C (distinct symbols against all), and symbols that the longer context has
 shown are excluded below it. As the trained counts stay fixed while scoring, the code length of a
-byte is a function of its 5-gram, so it is worked out once for every distinct 5-gram, by a join and
+byte is a function of its 7-gram, so it is worked out once for every distinct 7-gram, by a join and
 a window for each level.
 
-Documents are dealt into chunks of bounded size by a hash. A chunk reports the words and 5-grams it
+Documents are dealt into chunks of bounded size by a hash. A chunk reports the words and 7-grams it
 holds with their training counts, gets back just their totals and code lengths, and scores its
 documents. Nothing whole is broadcast or sent to the driver.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 
 import numpy as np
@@ -22,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrain.llm.common import cut, id_crc, raw, shared_folder
+from quillgrain.llm.common import cut, id_crc, raw, stored
 
-ORDER = 4
+ORDER = 6
 CHUNK_BYTES = 16 << 20
 #: Bytes that UTF-8 never holds: before a text's start, and the symbol for its end.
 START, STOP = b"\xff", b"\xfe"
@@ -77,7 +76,7 @@ def report(texts: list[bytes], held: list[bool], order: int = ORDER) -> tuple[li
 
 
 def code_lengths(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, n) of all 5-grams, n their training counts -> (g, logp): log10 of their last symbol's probability."""
+    """(g, n) of all 7-grams, n their training counts -> (g, logp): log10 of their last symbol's probability."""
     first = counted.groupBy(F.col("g").bitwiseAND(F.lit(255)).alias("g")).agg(F.sum("n").alias("n"))
     total, kinds = (x or 0 for x in first.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first())
     t, d = F.lit(float(total)), F.lit(float(kinds))
@@ -109,7 +108,6 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     `held_out` is a boolean column; the other rows train the model. A null text is an empty one,
     which still has its end to predict. Rows with equal ids are scored each for itself.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held"), raw(text_col).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     chunk = F.pmod(F.xxhash64("id", "t"), F.lit(max(1, -(-size // chunk_bytes)))).cast("int")
@@ -126,9 +124,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             "n": pa.array(np.r_[np.array(wn, np.int64), gn], pa.int64()),
         })
 
-    place = f"{shared_folder(spark)}/ppm-{uuid.uuid4().hex}"
-    dealt.groupBy("chunk").applyInArrow(tell, "chunk int, w binary, g long, n long").write.parquet(place)
-    told = spark.read.parquet(place)
+    told = stored(dealt.groupBy("chunk").applyInArrow(tell, "chunk int, w binary, g long, n long"))
 
     of_word = Window.partitionBy("w")
     words = told.where("w is not null").select(

@@ -69,7 +69,8 @@ def spanning(f: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _bucket_links(limit: int):
+def bucket_links(limit: int):
+    """A task over (key, fp) rows in order that yields spanning links (u, v) of every bucket."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
 
@@ -114,7 +115,7 @@ def near_duplicates(fps: DataFrame, limit: int = 2) -> DataFrame:
         (segment.bitwiseAND(F.expr("~shiftleft(1L, v % 32)")) + F.expr("shiftleft(cast(v as bigint), 32)")).alias("key"), "fp"
     )
     dealt = variants.repartition("key").sortWithinPartitions("key", "fp")
-    found = dealt.mapInPandas(_bucket_links(limit), "u long, v long")
+    found = dealt.mapInPandas(bucket_links(limit), "u long, v long")
     roots = components(found)
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lows = named.groupBy("root").agg(F.min("low").alias("component"))
