@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from quillgrain.llm import best_fit, pii, ppm, quality_rules, simhash_dedup, toxicity
+from quillgrain.llm import best_fit, line_dedup, mtree, pieces, pii, ppm, quality_rules, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_line_dedup": line_dedup.query,
+    "op3_mtree": mtree.query,
     "op4_pii": pii.query,
     "op5_ppm": ppm.query,
+    "op6_pieces": pieces.query,
     "op7_best_fit": best_fit.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_simhash_dedup": simhash_dedup.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mtree": mtree.ORACLE,
+}
