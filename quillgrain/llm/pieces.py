@@ -27,7 +27,7 @@ from quillgrain.llm.common import raw
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
 WORDS = re.compile(rb"\n|(?:\xe2\x96\x81)*(?:[^\n\xe2]|\xe2(?!\x96\x81))+|(?:\xe2\x96\x81)+", re.S)
-BATCH_BYTES, ROOM = 1 << 20, 300_000
+BATCH_BYTES, ROOM = 1 << 19, 500_000
 
 
 @dataclass
@@ -74,7 +74,7 @@ def suffix_array(text: bytes, reach: int) -> tuple[np.ndarray, np.ndarray]:
         later[: max(0, n - width)] = rank[width:] + 1
         rank = np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64)
         width *= 2
-    return np.argsort(rank, kind="stable"), eight
+    return np.argsort(rank), eight
 
 
 class Matcher:
@@ -104,15 +104,13 @@ class Matcher:
         return lo
 
     def edges(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end and piece number of all occurrences, ordered by end, then the longest first."""
+        """Start, end and piece number of all occurrences."""
         sa, eight = suffix_array(text, 8 * self.blocks)
         lo, hi = self._bound(sa, eight, False), self._bound(sa, eight, True)
         count = hi - lo
         piece = np.repeat(np.arange(len(count)), count)
         start = sa[np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
-        end = start + self.sizes[piece]
-        order = np.argsort(end * 64 - np.minimum(self.sizes[piece], 63), kind="stable")
-        return start[order], end[order], piece[order]
+        return start, start + self.sizes[piece], piece
 
 
 class Encoder:
@@ -121,8 +119,13 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.matcher = vocabulary, Matcher(vocabulary.texts)
         self.number = {p: i for i, p in enumerate(vocabulary.texts)}
-        self.known: dict[bytes, np.ndarray] = {}
-        self.apart: dict[int, bool] = {}
+        self.scores, self.ids, self.byte_ids = (np.array(x) for x in (vocabulary.scores, vocabulary.ids, vocabulary.byte_ids))
+        self.pairs, self.apart = np.empty(0, np.int64), np.empty(0, bool)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.first, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _merged(self, text: str) -> list[str]:
         """Merges of one short string: the best piece first, the leftmost of equals."""
@@ -138,96 +141,140 @@ class Encoder:
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def _stay_apart(self, a: int, b: int) -> bool:
-        """Whether pieces a (-1: a word's start) and b, merged alone, come out as they are."""
-        key = (a + 1) * len(self.v.texts) + b
-        if (known := self.apart.get(key)) is None:
-            if len(self.apart) > 4 * ROOM:
-                self.apart.clear()
-            left = self.v.texts[a].decode() if a >= 0 else ""
-            right = self.v.texts[b].decode()
-            known = self.apart[key] = self._merged(left + right) == ([left] if left else []) + [right]
-        return known
+    def _stay_apart(self, keys: np.ndarray) -> np.ndarray:
+        """Whether pieces a (-1: a word's start) and b, merged alone, come out as they are.
+
+        A key is (a + 1) * pieces + b; what has been worked out is kept in order of the keys.
+        """
+        at = np.searchsorted(self.pairs, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.pairs)
+        new[inside] = self.pairs[at[inside]] != keys[inside]
+        if new.any():
+            fresh, size = np.unique(keys[new]), len(self.v.texts)
+            if len(self.pairs) > 8 * ROOM:
+                self.pairs, self.apart = np.empty(0, np.int64), np.empty(0, bool)
+                fresh = np.unique(keys)
+            found = []
+            for a, b in zip((fresh // size - 1).tolist(), (fresh % size).tolist(), strict=True):
+                parts = [self.v.texts[x].decode() for x in (a, b) if x >= 0]
+                found.append(self._merged("".join(parts)) == parts)
+            where = np.searchsorted(self.pairs, fresh)
+            self.pairs, self.apart = np.insert(self.pairs, where, fresh), np.insert(self.apart, where, found)
+            at = np.searchsorted(self.pairs, keys)
+        return self.apart[at]
 
     def _learn(self, words: list[bytes]) -> None:
-        """Suffix array, occurrence ranges, edges by position, one pass of relaxing."""
+        """Suffix array, occurrence ranges, edges by position, one pass of relaxing over all words at once."""
         text = b"\xff".join(words) + b"\xff"
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(sizes + 1) - sizes - 1
         starts, ends, pieces = self.matcher.edges(text)
-        ends_l, starts_l, pieces_l = ends.tolist(), starts.tolist(), pieces.tolist()
+        depth = ends - begin[np.searchsorted(begin, starts, "right") - 1]
+        order = np.argsort(depth * len(text) + starts)  # by position in the word
+        starts, ends, pieces, depth = starts[order], ends[order], pieces[order], depth[order]
+        fresh = np.frombuffer(text, np.uint8) & 0xC0 != 0x80  # where a character or a separator starts
+        marks = np.flatnonzero(fresh)
+        stop, before = marks[1:], marks[:-1]
+        inner = np.frombuffer(text, np.uint8)[before] != 0xFF  # ends of characters, and where they start
+        stop, before = stop[inner], before[inner]
+        stop_depth = stop - begin[np.searchsorted(begin, before, "right") - 1]
+        order = np.argsort(stop_depth)
+        stop, before, stop_depth = stop[order], before[order], stop_depth[order]
         none = -2
-        last = [none] * (len(text) + 1)  # piece that ends here; -1: a start or a character without piece
-        back = [0] * (len(text) + 1)
-        gain = [0.0] * (len(text) + 1)
-        follows = np.frombuffer(text, np.uint8) & 0xC0 == 0x80
-        bounds = np.flatnonzero(np.r_[~follows, True]).tolist()  # character boundaries
-        begin, nxt, k, total, merges, scores = 0, 1, 0, len(ends_l), self.v.merges, self.v.scores
-        apart, stay, size = self.apart, self._stay_apart, len(self.v.texts)
-        for w in words:
-            last[begin] = -1
-            end = begin + len(w)
-            while nxt < len(bounds) and bounds[nxt] <= end:
-                at = bounds[nxt]
-                nxt += 1
-                while k < total and ends_l[k] < at:
-                    k += 1
-                while k < total and ends_l[k] == at:
-                    s, p = starts_l[k], pieces_l[k]
-                    k += 1
-                    prev = last[s]
-                    if prev == none:
-                        continue
-                    if merges:
-                        if last[at] == none:
-                            ok = apart.get((prev + 1) * size + p)
-                            if ok or ok is None and stay(prev, p):
-                                last[at], back[at] = p, s
-                    elif last[at] == none or gain[s] + scores[p] > gain[at]:
-                        last[at], back[at], gain[at] = p, s, gain[s] + scores[p]
-                if last[at] == none:
-                    last[at], back[at] = -1, bounds[nxt - 2]
-                    gain[at] = gain[back[at]] + min(scores, default=0.0) - 10 if not merges else 0.0
-            ids: list[int] = []
-            at = end
-            while at > begin:
-                s = back[at]
-                if last[at] >= 0:
-                    ids.append(self.v.ids[last[at]])
-                else:
-                    ids += [self.v.byte_ids[x] for x in reversed(text[s:at])]
-                at = s
-            self.known[w] = np.array(ids[::-1], np.int32)
-            begin = end + 1
-            if nxt < len(bounds) and bounds[nxt - 1] == end:
-                nxt += 1  # past the separator
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of UTF-8 texts; an empty text has none."""
-        out: list[np.ndarray] = []
-        at = 0
+        last = np.full(len(text) + 1, none)  # the piece that ends here; -1: a start, or a character without piece
+        back, gain = np.zeros(len(text) + 1, np.int64), np.zeros(len(text) + 1)
+        last[begin] = -1
+        size, worst = len(self.v.texts), float(self.scores.min()) - 10
+        levels = np.unique(stop_depth)
+        edge_at, stop_at = np.searchsorted(depth, [levels, levels + 1]), np.searchsorted(stop_depth, [levels, levels + 1])
+        for e0, e1, s0, s1 in zip(*edge_at.tolist(), *stop_at.tolist(), strict=True):
+            s, e, p = starts[e0:e1], ends[e0:e1], pieces[e0:e1]
+            live = last[s] != none
+            s, e, p = s[live], e[live], p[live]
+            if self.v.merges:
+                ok = self._stay_apart((last[s] + 1) * size + p)
+                last[e[ok]], back[e[ok]] = p[ok], s[ok]
+            else:
+                total = gain[s] + self.scores[p]
+                best = np.lexsort((total, e))[::-1]  # the best of each end comes first
+                e, s, p, total = e[best], s[best], p[best], total[best]
+                one = np.r_[True, e[1:] != e[:-1]] if len(e) else np.empty(0, bool)
+                last[e[one]], back[e[one]], gain[e[one]] = p[one], s[one], total[one]
+            at, prev = stop[s0:s1], before[s0:s1]
+            lost = last[at] == none
+            at, prev = at[lost], prev[lost]
+            last[at], back[at], gain[at] = -1, prev, gain[prev] + worst
+        self._keep(words, text, begin, begin + sizes, last, back)
+
+    def _keep(self, words: list[bytes], text: bytes, begin: np.ndarray, end: np.ndarray, last: np.ndarray, back: np.ndarray) -> None:
+        """Walks all paths back, from the ends of the words, and files their ids."""
+        octets, at, number = np.frombuffer(text, np.uint8), end.copy(), np.arange(len(words))
+        who, place, ids = [], [], []
+        while len(at):
+            open_ = at > begin[number]
+            at, number = at[open_], number[open_]
+            s, p = back[at], last[at]
+            good = p >= 0
+            who.append(number[good])
+            place.append(s[good])
+            ids.append(self.ids[p[good]])
+            for k in range(4):  # the bytes of characters without a piece
+                more = ~good & (s + k < at)
+                who.append(number[more])
+                place.append(s[more] + k)
+                ids.append(self.byte_ids[octets[s[more] + k]])
+            at = s
+        who_, place_, ids_ = (np.concatenate(x) for x in (who, place, ids))
+        order = np.argsort(place_)
+        count = np.bincount(who_, minlength=len(words))
+        first = len(self.flat) + np.cumsum(count) - count
+        self.known.update(zip(words, range(len(self.first), len(self.first) + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, ids_[order].astype(np.int32)])
+        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of UTF-8 texts, one after the other, and the number of each text's ids."""
+        flats, counts, at = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
         while at < len(texts):
             new: dict[bytes, None] = {}
-            split, size, to = [], 0, at
+            known, split, size, to = self.known, [], 0, at
             while to < len(texts) and (size < BATCH_BYTES or to == at):
                 words = WORDS.findall(SPACE + texts[to].replace(b" ", SPACE)) if texts[to] else []
-                for w in words:
-                    if w not in self.known and w not in new:
+                for w in set(words):
+                    if w not in known and w not in new:
                         new[w] = None
                         size += len(w) + 1
                 split.append(words)
                 to += 1
             if new:
                 self._learn(list(new))
-            out += [np.concatenate([self.known[w] for w in words]) if words else np.empty(0, np.int32) for words in split]
-            if len(self.known) > ROOM:
-                self.known.clear()
+            numbers = np.fromiter((known[w] for words in split for w in words), np.int64, sum(map(len, split)))
+            count = self.count[numbers]
+            total = np.cumsum(count)
+            flats.append(self.flat[np.repeat(self.first[numbers] - total + count, count) + np.arange(total[-1] if len(total) else 0)])
+            ends = np.r_[0, total][np.cumsum([len(words) for words in split])]
+            counts.append(np.diff(np.r_[0, ends]))
+            if len(known) > ROOM:
+                self._forget()
             at = to
-        return out
+        return np.concatenate(flats), np.concatenate(counts)
+
+
+class Decoder:
+    """Texts of ids: the surfaces of pieces, laid end to end."""
 
+    def __init__(self, surface: list[bytes]):
+        self.size = np.fromiter(map(len, surface), np.int64, len(surface))
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(surface), np.uint8)
 
-def decode_ids(ids: np.ndarray, surface: list[bytes]) -> bytes:
-    """The UTF-8 text of ids, without the space that encoding put first."""
-    text = b"".join([surface[i] for i in ids.tolist()])
-    return text[1:] if text[:1] == b" " else text
+    def __call__(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of one text, without the space that encoding put first."""
+        size = self.size[ids]
+        end = np.cumsum(size)
+        text = self.flat[np.repeat(self.first[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        return text[1:] if text[:1] == b" " else text
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -241,11 +288,11 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Encoder(vocabulary)
         for b in batches:
-            ids = one.encode([t.as_py() for t in b.column("_x")])
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            col = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
-            rest = b.drop_columns(["_x"])
-            yield pa.record_batch([*rest.columns, col], [*rest.schema.names, ids_col])
+            rest, texts = b.drop_columns(["_x"]), b.column("_x")
+            for at in range(0, len(texts), 1000):  # ids take more room than the text
+                ids, count = one.encode([t.as_py() for t in texts[at : at + 1000]])
+                col = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(ids))
+                yield pa.record_batch([*(c[at : at + 1000] for c in rest.columns), col], [*rest.schema.names, ids_col])
 
     rest = docs.drop(ids_col)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), f"`{ids_col}` array<int>"])
@@ -257,9 +304,10 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", mod
     surface = Vocabulary.load(model).surface
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = Decoder(surface)
         for b in batches:
             col = b.column(ids_col)
-            texts = [decode_ids(x.values.to_numpy(), surface).decode(errors="replace") if x.is_valid else "" for x in col]
+            texts = [one(x.values.to_numpy()).decode(errors="replace") if x.is_valid else "" for x in col]
             names = b.schema.names
             yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], [*names, text_col])
 
