@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,17 +31,31 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def _without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """What runs inside drops its shuffle files when it ends; its result lies in the shared folder."""
+    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute `df` once and keep it in the shared checkpoint folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with _without_leftovers(df.sparkSession):
+        return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Compute `df` once into a Parquet table of the shared folder; smaller than a checkpoint."""
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    with _without_leftovers(spark):
+        df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
 

@@ -1,13 +1,13 @@
 """Language-model scoring by prediction by partial matching, pretrained on the corpus itself.
 
-The model is a byte-context trie of order 6, kept as tables of byte n-grams (one table a level).
+The model is a byte-context trie of order 5, kept as tables of byte n-grams (one table a level).
 A symbol that a context hasn't shown is reached by an escape to the next shorter context; escapes
 are estimated by method C (distinct symbols against all), and symbols that the longer context has
 shown are excluded below it. As the trained counts stay fixed while scoring, the code length of a
-byte is a function of its 7-gram, so it is worked out once for every distinct 7-gram, by a join and
+byte is a function of its 6-gram, so it is worked out once for every distinct 6-gram, by a join and
 a window for each level.
 
-Documents are dealt into chunks of bounded size by a hash. A chunk reports the words and 7-grams it
+Documents are dealt into chunks of bounded size by a hash. A chunk reports the words and 6-grams it
 holds with their training counts, gets back just their totals and code lengths, and scores its
 documents. Nothing whole is broadcast or sent to the driver.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillgrain.llm.common import cut, id_crc, raw, stored
 
-ORDER = 6
+ORDER = 5
 CHUNK_BYTES = 16 << 20
 #: Bytes that UTF-8 never holds: before a text's start, and the symbol for its end.
 START, STOP = b"\xff", b"\xfe"
@@ -76,7 +76,7 @@ def report(texts: list[bytes], held: list[bool], order: int = ORDER) -> tuple[li
 
 
 def code_lengths(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, n) of all 7-grams, n their training counts -> (g, logp): log10 of their last symbol's probability."""
+    """(g, n) of all 6-grams, n their training counts -> (g, logp): log10 of their last symbol's probability."""
     first = counted.groupBy(F.col("g").bitwiseAND(F.lit(255)).alias("g")).agg(F.sum("n").alias("n"))
     total, kinds = (x or 0 for x in first.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first())
     t, d = F.lit(float(total)), F.lit(float(kinds))
