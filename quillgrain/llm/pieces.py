@@ -170,7 +170,8 @@ class Encoder:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         begin = np.cumsum(sizes + 1) - sizes - 1
         starts, ends, pieces = self.matcher.edges(text)
-        depth = ends - begin[np.searchsorted(begin, starts, "right") - 1]
+        own = np.repeat(begin, sizes + 1)  # where the word of each byte begins
+        depth = ends - own[starts]
         order = np.argsort(depth * len(text) + starts)  # by position in the word
         starts, ends, pieces, depth = starts[order], ends[order], pieces[order], depth[order]
         fresh = np.frombuffer(text, np.uint8) & 0xC0 != 0x80  # where a character or a separator starts
@@ -178,7 +179,7 @@ class Encoder:
         stop, before = marks[1:], marks[:-1]
         inner = np.frombuffer(text, np.uint8)[before] != 0xFF  # ends of characters, and where they start
         stop, before = stop[inner], before[inner]
-        stop_depth = stop - begin[np.searchsorted(begin, before, "right") - 1]
+        stop_depth = stop - own[before]
         order = np.argsort(stop_depth)
         stop, before, stop_depth = stop[order], before[order], stop_depth[order]
         none = -2
