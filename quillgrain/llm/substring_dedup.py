@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrain.llm.common import cut, doc_key, raw
+from quillgrain.llm.common import doc_key, raw, stored
 
 WINDOW, GRAM = 50, 16
 #: Contents of a shard, and the contents of one anchor beyond which its windows are hashed.
@@ -149,13 +149,13 @@ def earlier_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             sizes = [len(x) for x in hs]
             yield pa.record_batch([b.column("_d").take(pa.array(np.repeat(np.arange(len(hs)), sizes))), pa.array(np.concatenate([np.empty(0, np.int64), *hs]))], ["_d", "h"])
 
-    anchored = rows.select("_d", "t").mapInArrow(anchors, "_d long, h long")
+    anchored = stored(rows.select("_d", "t").mapInArrow(anchors, "_d long, h long"))
     shared = anchored.groupBy("h").agg(F.min("_d").alias("lo"), F.max("_d").alias("hi")).where("lo < hi").select("h")
     wanted = anchored.join(shared, "h").groupBy("_d").agg(F.collect_set("h").alias("hs"))
     held = rows.join(wanted, "_d").select("_d", "_t", "t", "hs").mapInArrow(_contents(window, gram), f"_d long, _t long, runs {_RUN}")
-    members = cut(held.select("_d", "_t", F.inline("runs")).withColumn("k", F.md5("content")))
+    members = stored(held.select("_d", "_t", F.inline("runs")).withColumn("k", F.md5("content")))
 
-    classes = cut(members.groupBy("h", "k").agg(F.min("_d").alias("low"), F.first("content").alias("content")))
+    classes = stored(members.groupBy("h", "k").agg(F.min("_d").alias("low"), F.first("content").alias("content")))
     hot = classes.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CONTENTS).select("h", F.lit(True).alias("hot"))
     marked = classes.join(hot, "h", "left")
     shards = max(1, classes.count() // SHARD_CONTENTS)
