@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from quillgrain.plans import basics
 
-def flagship(spark, sf_dir):
-    """Documents per source."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+MODULES = [basics]
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid recall."""
+    return QUERIES["p01_read_seam"](spark, sf_dir)
