@@ -9,22 +9,11 @@ from quillgrain.functions import belief as B
 from quillgrain.functions import text as T
 from quillgrain.operators import bank as K
 from quillgrain.plans import sql as S
+from quillgrain.plans.catalog import Catalog
 from quillgrain.sources import adapters as A
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    """Registers a query and its SQL."""
-
-    def put(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return put
+C = Catalog()
+query = C.query
 
 
 # ---- scans, sinks and the read seam
@@ -397,3 +386,6 @@ _CAP = lambda k: f"case {k} when 'observation' then 1.0 when 'stated_fact' then
 @query("t33_effective_kind", f"with {S.CONV}, a as (select id, 'stated_fact' as own, {_CLEAN} {_CUED} as t from conv), b as (select *, {_KIND} as seen from a) select id, case when seen is not null and {_CAP('seen')} < {_CAP('own')} then seen else own end as kind from b")
 def t33(spark, d):
     return A.conversation_rows(spark, d).select("id", B.effective_kind(F.lit("stated_fact"), F.concat("content", _cue())).alias("kind"))
+
+
+QUERIES, ORACLES = C.queries, C.oracles
