@@ -31,22 +31,27 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: While a step runs: its shuffle files go when it ends, and batches of whole texts stay small in Python.
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 @contextmanager
-def _without_leftovers(spark: SparkSession) -> Iterator[None]:
-    """What runs inside drops its shuffle files when it ends; its result lies in the shared folder."""
-    option = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(option)
-    spark.conf.set(option, "true")
+def _step(spark: SparkSession) -> Iterator[None]:
+    """Runs a step whose result goes to the shared folder under the options above."""
+    before = {k: spark.conf.get(k) for k in _STEP}
+    for k, v in _STEP.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(option, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute `df` once and keep it in the shared checkpoint folder."""
     shared_folder(df.sparkSession)
-    with _without_leftovers(df.sparkSession):
+    with _step(df.sparkSession):
         return df.checkpoint()
 
 
@@ -54,7 +59,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Compute `df` once into a Parquet table of the shared folder; smaller than a checkpoint."""
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    with _without_leftovers(spark):
+    with _step(spark):
         df.write.parquet(place)
     return spark.read.schema(df.schema).parquet(place)
 
