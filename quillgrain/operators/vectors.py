@@ -47,24 +47,24 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 60) -> DataFrame:
     blocks = lambda n: max(1, -(-n // BLOCK))
     nr, nq = blocks(rows.count()), blocks(queries.count())
     r = rows.where("vector is not null").select("id", "stamp", "vector").withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(nr))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    q = queries.where("vector is not null").select("query_id", "stamp", "vector").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))))
+    q = queries.where("vector is not null").select("query_id", F.col("stamp").alias("stamp_q"), F.col("vector").alias("asked")).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long"))))
 
     def product(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(asked):
             by_size = own["vector"].map(len)
-            for size, group in asked.groupby(asked["vector"].map(len)):
+            for size, group in asked.groupby(asked["asked"].map(len)):
                 mine = own[by_size == size]
                 if not len(mine):
                     continue
                 ids = mine["id"].to_numpy()
-                scores = np.stack(group["vector"]).astype(float) @ np.stack(mine["vector"]).astype(float).T
+                scores = np.stack(group["asked"]).astype(float) @ np.stack(mine["vector"]).astype(float).T
                 for query_id, s in zip(group["query_id"], scores, strict=True):
                     best = np.lexsort((-ids, -np.round(s, 9)))[:k]
                     best = best[s[best] > 0]
                     out.append(pd.DataFrame({"query_id": query_id, "id": ids[best], "score": s[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
-    found = r.groupBy("stamp", "rb", "qb").cogroup(q.groupBy("stamp", "rb", "qb")).applyInPandas(product, "query_id long, id long, score double")
+    found = r.groupBy("stamp", "rb", "qb").cogroup(q.groupBy("stamp_q", "rb", "qb")).applyInPandas(product, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc("id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
