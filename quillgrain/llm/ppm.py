@@ -8,8 +8,8 @@ byte is a function of its 6-gram, so it is worked out once for every distinct 6-
 a window for each level.
 
 Documents are dealt into chunks of bounded size by a hash. A chunk reports the words and 6-grams it
-holds with their training counts, gets back just their totals and code lengths, and scores its
-documents. Nothing whole is broadcast or sent to the driver.
+holds with their training counts. The most frequent ones, a bounded number, are broadcast with their
+totals and code lengths; of the rest a chunk gets back just its own, and then scores its documents.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from quillgrain.llm.common import cut, id_crc, raw, stored
 
 ORDER = 5
 CHUNK_BYTES = 16 << 20
+#: Bounds of what is broadcast: the most frequent words and n-grams.
+HEAD_WORDS, HEAD_GRAMS = 1 << 18, 1 << 20
 #: Bytes that UTF-8 never holds: before a text's start, and the symbol for its end.
 START, STOP = b"\xff", b"\xfe"
 #: The end token among words, which hold no space.
@@ -40,6 +42,41 @@ def grams(texts: list[bytes], order: int = ORDER) -> np.ndarray:
     return packed[s[order:] != 0xFF]
 
 
+class Table:
+    """An open-addressing table of integers with values; looks up whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys)).bit_length() + 2)
+        self.slots, self.values, self.probes = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits), 0
+        left = np.arange(len(keys))
+        while len(left):
+            at = self._place(keys[left], self.probes)
+            free = np.flatnonzero(self.slots[at] == -1)
+            slot, first = np.unique(at[free], return_index=True)
+            chosen = free[first]
+            self.slots[slot], self.values[slot] = keys[left[chosen]], values[left[chosen]]
+            left = np.delete(left, chosen)
+            self.probes += 1
+
+    def _place(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        h = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (h.astype(np.int64) + probe) & ((1 << self.bits) - 1)
+
+    def total(self, keys: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sum of the values of known keys, and the keys that aren't known."""
+        out, unknown = 0.0, []
+        for probe in range(self.probes):
+            if not len(keys):
+                break
+            at = self._place(keys, probe)
+            held = self.slots[at]
+            hit = held == keys
+            out += float(self.values[at[hit]].sum())
+            unknown.append(keys[held == -1])
+            keys = keys[~hit & (held != -1)]
+        return out, np.concatenate([keys, *unknown])
+
+
 def _tally(texts: list[bytes], order: int, block: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of many texts with their counts, in blocks of bounded size."""
     keys, counts, part, size = [], [], [], 0
@@ -76,7 +113,7 @@ def report(texts: list[bytes], held: list[bool], order: int = ORDER) -> tuple[li
 
 
 def code_lengths(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, n) of all 6-grams, n their training counts -> (g, logp): log10 of their last symbol's probability."""
+    """(g, n) of all 6-grams, n their training counts -> (g, n, logp): log10 of their last symbol's probability."""
     first = counted.groupBy(F.col("g").bitwiseAND(F.lit(255)).alias("g")).agg(F.sum("n").alias("n"))
     total, kinds = (x or 0 for x in first.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first())
     t, d = F.lit(float(total)), F.lit(float(kinds))
@@ -99,7 +136,7 @@ def code_lengths(counted: DataFrame, order: int = ORDER) -> DataFrame:
         q = F.when(t1 + d1 <= 0, F.col("q0")).when(F.col("n0") > 0, F.col("n0") / (t1 + d1)).otherwise(d1 / (t1 + d1) * F.col("q0"))
         p = F.when(F.col("t") == 0, F.col("p0")).when(shown, F.col("n") / (F.col("t") + F.col("d"))).otherwise(F.col("d") / (F.col("t") + F.col("d")) * F.col("q"))
         level = x.withColumn("q", q).withColumn("p", p).select("g", "n", "t", "d", "q", "p")
-    return level.select("g", F.log10("p").alias("logp"))
+    return level.select("g", "n", F.log10("p").alias("logp"))
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -126,43 +163,60 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 
     told = stored(dealt.groupBy("chunk").applyInArrow(tell, "chunk int, w binary, g long, n long"))
 
-    of_word = Window.partitionBy("w")
-    words = told.where("w is not null").select(
-        "chunk", "w", F.sum("n").over(of_word).cast("double").alias("x"),
-        (F.col("chunk") == F.min(F.when(F.col("n") > 0, F.col("chunk"))).over(of_word)).alias("first"),
-    )
-    held_grams = told.where("g is not null").select("chunk", "g", "n")
-    lengths = code_lengths(cut(held_grams.groupBy("g").agg(F.sum("n").alias("n"))), order)
-    answers = words.unionByName(held_grams.select("chunk", "g").join(lengths, "g").withColumnRenamed("logp", "x"), allowMissingColumns=True)
+    counts = stored(told.where("w is not null").groupBy("w").agg(F.sum("n").alias("n")))
+    n, v = (x or 0 for x in counts.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first())
+    lengths = stored(code_lengths(cut(told.where("g is not null").groupBy("g").agg(F.sum("n").alias("n"))), order))
+    words, grams_ = told.where("w is not null").select("chunk", "w"), told.where("g is not null").select("chunk", "g")
+    common_w, common_g = frequent(counts, HEAD_WORDS), frequent(lengths, HEAD_GRAMS)
+    rare_w = words.join(F.broadcast(common_w.select("w")), "w", "left_anti").join(counts, "w").select("chunk", "w", F.col("n").cast("double").alias("x"))
+    rare_g = grams_.join(F.broadcast(common_g.select("g")), "g", "left_anti").join(lengths, "g").select("chunk", "g", F.col("logp").alias("x"))
+    answers = stored(rare_w.unionByName(rare_g, allowMissingColumns=True))
+
+    head_w, head_g = common_w.select("w", "n").toPandas(), common_g.select("g", "logp").toPandas()
+    head = docs.sparkSession.sparkContext.broadcast((dict(zip(map(bytes, head_w["w"]), head_w["n"].tolist(), strict=True)), Table(head_g["g"].to_numpy(np.int64), head_g["logp"].to_numpy(float))))
 
     def judge(key: tuple[pa.Scalar, ...], part: pa.Table, answer: pa.Table) -> pa.Table:
+        often, table_ = head.value
         is_word = answer["w"].is_valid()
         word, gram = answer.filter(is_word), answer.filter(pa.compute.invert(is_word))
         total = dict(zip(word["w"].to_pylist(), word["x"].to_pylist(), strict=True))
         g, p = gram["g"].to_numpy(), gram["x"].to_numpy()
         by = np.argsort(g)
         g, p = g[by], p[by]
-        new = pa.compute.sum(word["first"].cast(pa.int64())).as_py() or 0
         out = []
-        for i, x in enumerate(part["t"]):
+        for x in part["t"]:
             t = x.as_py().lower()
-            own = t.split()
-            c = np.fromiter(map(total.__getitem__, own), float, len(own))
-            c = np.r_[c, total[END]]
-            mine = grams([t], order)
-            out.append((len(c), int((c > 0).sum()), float(np.log10(c + 1).sum()), float(p[np.searchsorted(g, mine)].sum()), new if i == 0 else 0))
-        cols = list(zip(*out, strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-        return pa.table([part["id"], part["held"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "held", "n_tokens", "n_known", "hits", "score", "new"])
-
-    found = cut(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, "id long, held boolean, n_tokens long, n_known long, hits double, score double, new long"))
-    n, v = (x or 0 for x in found.agg(F.sum(F.when(~F.col("held"), F.col("n_tokens"))), F.sum("new")).first())
+            own = [*t.split(), END]
+            c = np.fromiter((often[w] if w in often else total[w] for w in own), float, len(own))
+            score, rare = table_.total(grams([t], order))
+            score += p[np.searchsorted(g, rare)].sum()
+            out.append((len(c), int((c > 0).sum()), float(np.log10(c + 1).sum()), float(score)))
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([part["id"], part["held"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "held", "n_tokens", "n_known", "hits", "score"])
+
+    found = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, "id long, held boolean, n_tokens long, n_known long, hits double, score double")
     return found.select(
         "id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("hits") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score",
     )
 
 
+def frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows above a count that `most` of them pass at most; equal counts stay together.
+
+    The count is found from a histogram over eighths of powers of two.
+    """
+    step = F.floor(F.log2(F.col("n") + 1) * 8)
+    total, least = 0, None
+    for row in counted.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():
+        total += row["count"]
+        if total > most:
+            break
+        least = row["s"]
+    return counted.where(step >= F.lit(least)) if least is not None else counted.limit(0)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: base and model score of every document, held out where crc32 mod 7 is 2."""
     from quillgrain.llm.common import table
