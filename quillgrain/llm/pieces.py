@@ -34,6 +34,7 @@ BATCH_BYTES, ROOM = 1 << 19, 500_000
 class Vocabulary:
     """The pieces that can match (UTF-8, with the space mark), their ids and scores."""
 
+    path: str
     texts: list[bytes]
     ids: list[int]
     scores: list[float]
@@ -58,7 +59,7 @@ class Vocabulary:
                 ids.append(i)
                 scores.append(m.get_score(i))
                 surface[i] = piece.encode().replace(SPACE, b" ")
-        return cls(texts, ids, scores, byte_ids, surface, min(scores, default=0) <= -len(scores) / 2)
+        return cls(path, texts, ids, scores, byte_ids, surface, min(scores, default=0) <= -len(scores) / 2)
 
 
 def suffix_array(text: bytes, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,6 +263,18 @@ class Encoder:
         return np.concatenate(flats), np.concatenate(counts)
 
 
+#: A Python worker serves many tasks; what it learnt about a vocabulary in one serves the next.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: Vocabulary) -> Encoder:
+    """This worker's encoder for a vocabulary."""
+    if vocabulary.path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary.path] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary.path]
+
+
 class Decoder:
     """Texts of ids: the surfaces of pieces, laid end to end."""
 
@@ -287,7 +300,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
     vocabulary = Vocabulary.load(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = Encoder(vocabulary)
+        one = encoder(vocabulary)
         for b in batches:
             rest, texts = b.drop_columns(["_x"]), b.column("_x")
             for at in range(0, len(texts), 1000):  # ids take more room than the text
