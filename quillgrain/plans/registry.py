@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrain.plans import basics, investigation
+from quillgrain.plans import basics, folds, investigation
 
-MODULES = [basics, investigation]
+MODULES = [basics, folds, investigation]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
