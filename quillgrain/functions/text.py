@@ -121,9 +121,10 @@ def first_sentence(text: Column | str, limit: int = GIST) -> Column:
 
 
 def identifier_tokens(text: Column | str, stop: list[str] | None = None) -> Column:
-    """Token set of identifiers: snake and camel parts, lower case, longer than two characters."""
-    parts = F.flatten(F.transform(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit("[A-Za-z0-9_]+"), F.lit(0)), lambda t: F.split(t, "_+|(?<=[a-z0-9])(?=[A-Z])")))
-    out = F.array_distinct(F.filter(F.transform(parts, F.lower), lambda x: F.length(x) > 2))
+    """Token set of identifiers: whole names and their snake and camel parts, lower case, longer than two characters."""
+    names = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit("[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))
+    parts = F.filter(F.flatten(F.transform(names, lambda t: F.split(t, "_+|(?<=[a-z0-9])(?=[A-Z])"))), lambda x: F.length(x) > 2)
+    out = F.array_distinct(F.transform(F.concat(names, parts), F.lower))
     return F.array_except(out, words_list(stop)) if stop else out
 
 

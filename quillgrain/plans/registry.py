@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrain.plans import basics, folds, investigation
+from quillgrain.plans import basics, folds, investigation, recall
 
-MODULES = [basics, folds, investigation]
+MODULES = [basics, folds, investigation, recall]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid recall."""
-    return QUERIES["p01_read_seam"](spark, sf_dir)
+    return QUERIES["r09_hybrid_search"](spark, sf_dir)
