@@ -188,11 +188,11 @@ def earlier_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     late = single.join(least, "w").where("m < low").groupBy("h", "k").agg(F.collect_list("i").alias("earlier"))
     compared = marked.where("hot").select("h", "k", "low").join(late, ["h", "k"], "left").withColumn("earlier", F.coalesce("earlier", F.array().cast("array<int>")))
 
-    results = matched.unionByName(compared)
+    results = stored(matched.unionByName(compared))
     one = F.transform("earlier", lambda i: F.struct((F.col("p") + i).alias("s"), (F.col("p") + i + window).alias("e")))
     all_ = F.array(F.struct(F.col("p").alias("s"), (F.col("p") + F.col("c") - 1 + window).alias("e")))
     spans = members.select("h", "k", "_d", "_t", "p", "c").join(results, ["h", "k"]).select("_d", "_t", F.when(F.col("_d") > F.col("low"), all_).otherwise(one).alias("s"))
-    return spans.where(F.size("s") > 0).groupBy("_d", "_t").agg(F.flatten(F.collect_set("s")).alias("spans"))
+    return stored(spans.where(F.size("s") > 0).groupBy("_d", "_t").agg(F.flatten(F.collect_set("s")).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
