@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Signs that the harness failed, not the hypothesis.
 HARNESS_CUES = [
@@ -40,7 +41,7 @@ def harness_failed(exit_code: Column, stdout: Column, stderr: Column) -> Column:
     return (failed & F.coalesce(hit(F.coalesce(last, F.lit(""))), F.lit(False))) | ((F.coalesce(exit_code, F.lit(1)) != 0) & (F.trim(F.coalesce(stdout, F.lit(""))) == "") & hit(low))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _matches(patterns: pd.Series, texts: pd.Series) -> pd.Series:
     """'yes', 'no' or 'bad pattern' for patterns that differ from row to row."""
 

@@ -121,7 +121,7 @@ def r07(spark, d):
 @query("r08_neighbour_padding")
 def r08(spark, d):
     pairs, fused = _fused(spark, d)
-    g = R.gate(R.priors(pairs, fused), 16).withColumn("kind", F.lit("episodic"))
+    g = R.gate(R.priors(pairs, fused), 16).withColumns({"kind": F.lit("episodic"), "turn_idx": F.floor(F.col("turn_idx") / 4)})
     picked = g.where("rank <= take").select("query_id", "id", F.col("rank").alias("pick"))
     return R.pad_neighbours(picked, g)
 
