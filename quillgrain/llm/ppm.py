@@ -26,7 +26,7 @@ from quillgrain.llm.common import cut, id_crc, raw, stored
 ORDER = 5
 CHUNK_BYTES = 16 << 20
 #: Bounds of what is broadcast: the most frequent words and n-grams.
-HEAD_WORDS, HEAD_GRAMS = 1 << 18, 1 << 20
+HEAD_WORDS, HEAD_GRAMS = 1 << 17, 1 << 19
 #: Bytes that UTF-8 never holds: before a text's start, and the symbol for its end.
 START, STOP = b"\xff", b"\xfe"
 #: The end token among words, which hold no space.
@@ -46,7 +46,7 @@ class Table:
     """An open-addressing table of integers with values; looks up whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys)).bit_length() + 2)
+        self.bits = max(4, int(len(keys)).bit_length() + 1)
         self.slots, self.values, self.probes = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits), 0
         left = np.arange(len(keys))
         while len(left):
