@@ -1 +1 @@
-
+"""Functions over columns."""

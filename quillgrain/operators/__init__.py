@@ -1 +1 @@
-
+"""Operators over DataFrames."""

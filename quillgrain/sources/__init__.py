@@ -1 +1 @@
-
+"""Adapters of the given tables."""
