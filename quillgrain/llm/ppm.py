@@ -114,27 +114,28 @@ def report(texts: list[bytes], held: list[bool], order: int = ORDER) -> tuple[li
 
 def code_lengths(counted: DataFrame, order: int = ORDER) -> DataFrame:
     """(g, n) of all 6-grams, n their training counts -> (g, n, logp): log10 of their last symbol's probability."""
-    first = counted.groupBy(F.col("g").bitwiseAND(F.lit(255)).alias("g")).agg(F.sum("n").alias("n"))
+    levels = [counted]
+    for k in range(order, 0, -1):  # a shorter gram counts the distinct longer ones that end in it
+        suffix = F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))
+        levels.append(levels[-1].groupBy(suffix.alias("g")).agg(F.sum((F.col("n") > 0).cast("long")).alias("n")))
+    first = levels.pop()
     total, kinds = (x or 0 for x in first.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first())
-    t, d = F.lit(float(total)), F.lit(float(kinds))
-    q = F.lit(1.0 / max(1, 256 - kinds))
-    level = first.withColumns({"t": t, "d": d, "q": q}).withColumn(
-        "p", F.when(t == 0, F.lit(1 / 256)).when(F.col("n") > 0, F.col("n") / (t + d)).otherwise(d / (t + d) * q)
-    )
+    q = 1.0 / max(1, 256 - kinds)
+    unseen = kinds / 2 / total * q if total else 1 / 256
+    level = first.withColumns({"t": F.lit(float(total)), "d": F.lit(float(kinds)), "q": F.lit(q), "p": F.when((F.col("n") > 0) & F.lit(total > 0), (F.col("n") - 0.5) / F.lit(float(max(total, 1)))).otherwise(F.lit(unseen))})
     for k in range(1, order + 1):
         suffix = F.col("g").bitwiseAND(F.lit((1 << 8 * k) - 1))
-        grown = counted if k == order else counted.groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("g")).agg(F.sum("n").alias("n"))
         low = level.select(F.col("g").alias("s"), F.col("n").alias("n0"), F.col("t").alias("t0"), F.col("d").alias("d0"), F.col("q").alias("q0"), F.col("p").alias("p0"))
         context = Window.partitionBy("c")  # 256 rows at most
         shown = F.col("n") > 0
-        x = grown.withColumn("s", suffix).join(low, "s").withColumn("c", F.shiftright("g", 8)).withColumns({
+        x = levels.pop().withColumn("s", suffix).join(low, "s").withColumn("c", F.shiftright("g", 8)).withColumns({
             "t": F.sum("n").over(context).cast("double"),
             "d": F.sum(shown.cast("double")).over(context),
             "x": F.sum(F.when(shown, F.col("n0")).otherwise(0)).over(context).cast("double"),
         })
         t1, d1 = F.col("t0") - F.col("x"), F.col("d0") - F.col("d")
-        q = F.when(t1 + d1 <= 0, F.col("q0")).when(F.col("n0") > 0, F.col("n0") / (t1 + d1)).otherwise(d1 / (t1 + d1) * F.col("q0"))
-        p = F.when(F.col("t") == 0, F.col("p0")).when(shown, F.col("n") / (F.col("t") + F.col("d"))).otherwise(F.col("d") / (F.col("t") + F.col("d")) * F.col("q"))
+        q = F.when(d1 <= 0, F.col("q0")).when(F.col("n0") > 0, (F.col("n0") - 0.5) / t1).otherwise(d1 / 2 / t1 * F.col("q0"))
+        p = F.when(F.col("t") == 0, F.col("p0")).when(shown, (F.col("n") - 0.5) / F.col("t")).otherwise(F.col("d") / 2 / F.col("t") * F.col("q"))
         level = x.withColumn("q", q).withColumn("p", p).select("g", "n", "t", "d", "q", "p")
     return level.select("g", "n", F.log10("p").alias("logp"))
 
