@@ -248,7 +248,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    some = F.coalesce(text.rlike("[0-9]{3}|@"), F.lit(False))
+    some = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
     out = docs.withColumn("_m", F.when(some, found).otherwise(F.array().cast("array<string>")))
     parts = F.zip_with(
         F.split(text, ANY, -1),

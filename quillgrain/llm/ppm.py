@@ -2,7 +2,8 @@
 
 The model is a byte-context trie of order 5, kept as tables of byte n-grams (one table a level).
 A symbol that a context hasn't shown is reached by an escape to the next shorter context; escapes
-are estimated by method C (distinct symbols against all), and symbols that the longer context has
+are estimated by method D (half of the distinct symbols against all), shorter contexts count the
+distinct longer ones that they end (single counting), and symbols that the longer context has
 shown are excluded below it. As the trained counts stay fixed while scoring, the code length of a
 byte is a function of its 6-gram, so it is worked out once for every distinct 6-gram, by a join and
 a window for each level.

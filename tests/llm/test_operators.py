@@ -1,0 +1,355 @@
+"""The corpus operators against brute force, round trips and planted cases."""
+
+import random
+import zlib
+from datetime import date
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quillgrain.llm import best_fit, line_dedup, mtree, pieces, pii, ppm, quality_rules, simhash_dedup, substring_dedup, toxicity
+from quillgrain.llm.common import components, table
+
+SF = "/root/testdata/sf0.001"
+ODD = [None, "", "   ", "\n\n", "one", "word " * 3000, "same text here", "same text here", "é ñ 你好 🙂\tx"]
+
+
+def words(n, seed, vocabulary=400):
+    r = random.Random(seed)
+    return [f"w{r.randrange(vocabulary)}" for _ in range(n)]
+
+
+# ---- components
+
+def test_components_match_union_find(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = find(u), find(v)
+            parent[max(a, b)] = min(a, b)
+    assert got == {x: find(x) for x in parent}
+
+
+# ---- SimHash
+
+def plain_fingerprint(text):
+    w = (text or "").encode().lower().split()
+    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
+
+
+def test_fingerprints_and_components_match_brute_force(spark, docs):
+    base = words(120, 1)
+    near = [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in range(0, 120, 4)]
+    texts = [*ODD, " ".join(base), *near, *(" ".join(words(60, s)) for s in range(2, 20))]
+    got = {r.id: r for r in simhash_dedup.near_duplicates(simhash_dedup.fingerprints(docs(texts))).collect()}
+    fp = [plain_fingerprint(t) for t in texts]
+    assert [got[i].fp % 2**64 for i in range(len(texts))] == fp
+    low = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(fp):
+            for j, b in enumerate(fp):
+                if (a ^ b).bit_count() <= 2:
+                    low[i] = low[j] = min(low[i], low[j])
+    assert [got[i].component for i in range(len(texts))] == low
+    assert len(set(low)) < len(set(fp))
+
+
+def test_dense_bucket_gives_a_forest():
+    f = np.array([1 << i for i in range(50)], dtype=np.uint64)  # all within two bits
+    assert sum(len(a) for a, _ in simhash_dedup.spanning(f, 2)) == 49
+
+
+# ---- passages
+
+def plain_kept(texts, n=50):
+    split = [(t or "").encode().split() for t in texts]
+    first = {}
+    for i, w in enumerate(split):
+        for p in range(len(w) - n + 1):
+            first.setdefault(tuple(w[p : p + n]), i)
+    out = []
+    for i, w in enumerate(split):
+        gone = [False] * len(w)
+        for p in range(len(w) - n + 1):
+            if first[tuple(w[p : p + n])] < i:
+                gone[p : p + n] = [True] * n
+        out.append((len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [500, 0])
+def test_passages_match_brute_force(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_CONTENTS", hot)
+    p, q = words(70, 1, 10**6), words(55, 2, 10**6)
+    texts = [*ODD]
+    for s in range(12):
+        w = words(90, 10 + s, 10**6)
+        texts.append(" ".join(w[:40] + p + w[40:60] + (q if s % 2 else q[:49]) + w[60:]))
+    texts += [texts[-1], " ".join(p[:50]), " ".join(p[:49])]
+    got = {r.id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_kept(texts)
+
+
+def test_runs_cover_every_window_once():
+    w = [x.encode() for x in words(500, 5)]
+    h, first, n = substring_dedup.runs(w)
+    assert first[0] == 0 and (first[1:] == first[:-1] + n[:-1]).all() and n.sum() == 451
+
+
+# ---- lines
+
+def test_fuzzy_lines_match_brute_force(spark, docs):
+    line = words(60, 1)
+    texts = ["\n".join([" ".join(line), "short one", " ".join(words(30, 2))]), "\n".join([" ".join(line[:30] + ["edited"] + line[31:]), "Short  ONE", "its own line"]), *ODD]
+    got = {r.doc_id: r for r in line_dedup.drop_lines(docs(texts)).collect()}
+    every = [(i, k, line_dedup.normal(x.encode())) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
+    every = [x for x in every if x[2]]
+    fp = line_dedup.line_prints([x[2] for x in every]).view(np.uint64)
+    low = list(range(len(every)))
+    for _ in range(6):
+        for a in range(len(every)):
+            for b in range(a):
+                if (int(fp[a]) ^ int(fp[b])).bit_count() <= 3 and line_dedup.similar(every[a][2].decode(), every[b][2].decode()):
+                    low[a] = low[b] = min(low[a], low[b])
+    drop = {every[a][:2] for a in range(len(every)) if low[a] != a}
+    seen = {}
+    for i, t in enumerate(texts):  # rows equal in id and text only are one document: ids differ here
+        seen[i] = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in drop)
+    assert {i: r.text for i, r in got.items()} == seen
+    assert got[1].n_lines_removed >= 1
+
+
+def test_edit_distance():
+    assert line_dedup.edits("kitten", "sitting") == 3 and line_dedup.edits("", "abc") == 3 and line_dedup.edits("abc", "abc") == 0
+    assert line_dedup.similar("x" * 10, "x" * 8 + "yy") and not line_dedup.similar("x" * 10, "x" * 7 + "yyy")
+
+
+# ---- search
+
+def test_search_is_exact_with_ties_and_copies(spark):
+    r = np.random.default_rng(0)
+    v = r.integers(-60, 60, (900, 16))
+    v[300:420] = v[7]  # many copies
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(None, v[0].tolist()), (5000, [1, 2])]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    got = {}
+    for x in mtree.top_k(df, df.where("id % 50 = 0"), shard=200, block=4).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    for q in range(0, 900, 50):
+        s = v @ v[q]
+        best = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:5]
+        assert sorted(got[q]) == [(k + 1, i, s[i]) for k, i in enumerate(best)]
+    assert 5000 not in got
+
+
+def test_search_skips_computations():
+    r = np.random.default_rng(1)
+    c = r.normal(0, 300, (30, 8))
+    v = (c[r.integers(0, 30, 6000)] + r.normal(0, 5, (6000, 8))).astype(np.int64)
+    tree = mtree.Tree(np.arange(6000), v, 5)
+    tree.search(0, v[0])
+    assert tree.computed < 3000
+
+
+def test_unusable_vectors_take_no_part(spark):
+    rows = [(1, [1.0, None]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, None), (5, []), (6, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in df.where(mtree.usable(F.col("embedding"))).collect()] == [6]
+
+
+# ---- personal data
+
+def hide(spark, docs, texts, key="k"):
+    return [r.text for r in pii.pseudonymise(docs(texts), key).orderBy("doc_id").collect()]
+
+
+def luhn_ok(d):
+    s = [int(c) for c in reversed(d)]
+    return (sum(s[::2]) + sum(sum(divmod(2 * x, 10)) for x in s[1::2])) % 10 == 0
+
+
+def test_pseudonyms_keep_format_and_links(spark, docs):
+    out = hide(spark, docs, ["pay 4111 1111 1111 1111.", "4111-1111-1111-1111", "at 10.20.30.40, or 10.20.30.40.", "a.b12@mail7.example.com A.B12@MAIL7.example.com", "born 1984-02-29 and 29.02.1984 not 2023-02-30", "ssn 123-45-6789", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "+1 (017) 555-7713", "GB82 WEST 1234 5698 7654 32"])
+    a = out[0][4:-1].replace(" ", "")
+    assert a == out[1].replace("-", "") and luhn_ok(a) and a != "4111111111111111" and out[0][8] == " "
+    ip = out[2].split()[1].strip(",")
+    assert ip != "10.20.30.40" and out[2].count(ip) == 2 and all(0 <= int(o) < 256 for o in ip.split("."))
+    low, up = out[3].split()
+    assert low.split("@")[0].upper() == up.split("@")[0] and not low.startswith("a.b12") and low.endswith("@mail7.example.com")
+    iso, day = out[4].split()[1], out[4].split()[3]
+    assert date.fromisoformat(iso) == date(*map(int, reversed(day.split(".")))) and "2023-02-30" in out[4]
+    assert out[5] != "ssn 123-45-6789" and "24be" not in out[6] and out[7].startswith("+1 (")
+    iban = out[8].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_numbers_are_permuted_one_to_one(spark):
+    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    got = {r[0] for r in df.select(pii.permute_digits(F.col("d"), "k", "number")).collect()}
+    assert len(got) == 1000 and all(len(x) == 3 for x in got)
+    pairs = spark.range(300).select(pii.permute_pair(F.col("id") % 15, F.floor(F.col("id") / 15), F.lit(15), F.lit(20), "k", "x").alias("p"))
+    assert len({(r.p.l, r.p.r) for r in pairs.collect()}) == 300
+
+
+def test_plain_texts_stay(spark, docs):
+    keep = ["version 3.0 of 2004", "1.2.3.999", None, "", "call me at noon", "chapter 12, page 345"]
+    assert hide(spark, docs, keep) == keep
+    assert hide(spark, docs, ["4111111111111111"], "k") != hide(spark, docs, ["4111111111111111"], "other")
+
+
+# ---- language model
+
+def test_code_lengths_are_probabilities(spark):
+    texts = [b"abracadabra", b"abba", b"cab"]
+    k, n = ppm._tally(texts, 2)
+    contexts = {int(x) >> 8 for x in k} | {0x7A7A, 0x617A}
+    every = [(c << 8 | s, 0) for c in contexts for s in range(256)]
+    counted = spark.createDataFrame([(int(a), int(b)) for a, b in zip(k, n)] + every, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    p = {}
+    for r in ppm.code_lengths(counted, 2).collect():
+        p.setdefault(r.g >> 8, []).append(10**r.logp)
+    for c in contexts:
+        assert len(p[c]) == 256 and abs(sum(p[c]) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("heads", [(1 << 17, 1 << 19), (20, 50)])
+def test_base_scores_match_brute_force(spark, docs, monkeypatch, heads):
+    monkeypatch.setattr(ppm, "HEAD_WORDS", heads[0])
+    monkeypatch.setattr(ppm, "HEAD_GRAMS", heads[1])
+    texts = [*ODD, *(" ".join(words(80, s)) for s in range(20))]
+    got = {r.id: r for r in ppm.score(docs(texts), F.col("doc_id") % 4 == 1, chunk_bytes=2000).collect()}
+    toks = [[*(t or "").encode().lower().split(), b" "] for t in texts]
+    count = {}
+    for i, t in enumerate(toks):
+        if i % 4 != 1:
+            for w in t:
+                count[w] = count.get(w, 0) + 1
+    n, v = sum(count.values()), len(count)
+    for i, t in enumerate(toks):
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in count for w in t), n)
+        assert r.base_score == pytest.approx(sum(np.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in t))
+        assert r.score < 0
+
+
+# ---- toxicity
+
+def test_toxic_sentences_are_found(spark, docs):
+    r = random.Random(0)
+    texts, labels = [], []
+    for i in range(400):
+        s = [" ".join(words(8, r.random(), 60)) for _ in range(r.randrange(2, 9))]
+        if bad := i % 4 == 0:
+            s[r.randrange(len(s))] += " you idiot"
+        texts.append(". ".join(s) + ".")
+        labels.append((i, int(bad)))
+    d = docs(texts)
+    model = toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {x.doc_id: x for x in toxicity.score(d, model).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert held and all((got[i].score >= 0.5) == (i % 4 == 0) for i in held)
+    span = got[0].offences[0]
+    assert "idiot" in texts[0][span.start : span.end]
+
+
+def test_scores_of_odd_texts_and_without_labels(spark, docs):
+    model = toxicity.train(docs(ODD), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert all(0 <= r.score < 0.5 for r in toxicity.score(docs(ODD), model).collect())
+
+
+# ---- pieces
+
+def test_pieces_match_the_library_and_come_back(spark, docs):
+    spm = pytest.importorskip("sentencepiece")
+    texts = [*ODD, " leading  and   runs ", "\n a\n", "日本語 テスト", "“quoted” — ﬁne", "x" * 300]
+    rows = pieces.decode(pieces.encode(docs(texts))).orderBy("doc_id").collect()
+    lib = spm.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert [r.ids for r in rows] == lib.encode([t or "" for t in texts])
+    assert [r.decoded for r in rows] == [t or "" for t in texts]
+
+
+# ---- packing
+
+def test_packing_is_whole_and_within_capacity(spark, docs):
+    r = random.Random(0)
+    sizes = [(i, r.choice([0, 5, 300, 700, 5000, 20000])) for i in range(300)] + [(None, 40), (7, 40)]
+    df = spark.createDataFrame(sizes, "doc_id long, n long")
+    out = best_fit.pack(df, "n", shard_docs=100).collect()
+    assert sum(x.length for x in out) == sum(n for _, n in sizes)
+    bins = {}
+    for x in out:
+        bins.setdefault((x.bin_id, x.capacity), []).append((x.offset, x.length))
+    assert len({b for b, _ in bins}) == len(bins)
+    for (_, capacity), own in bins.items():
+        own.sort()
+        used = sum(n for _, n in own)
+        assert used <= capacity and capacity == next(c for c in best_fit.CAPACITIES if c >= used)
+        assert [o for o, n in own if n] == np.r_[0, np.cumsum([n for _, n in own if n])][:-1].astype(int).tolist()
+
+
+# ---- quality
+
+def test_counts_of_one_text():
+    t = b"a b c a b c\n#x $ %\n\n#x $ %\n  \n"
+    n = quality_rules.text_counts(t)
+    w = t.split()
+    assert n[:4] == (len(w), sum(map(len, w)), 6, 1)
+    tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    cover = {i + j for i, x in enumerate(tri) if tri.count(x) > 1 for j in range(3)}
+    assert n[4] == len(cover)
+
+
+def test_boilerplate_is_removed_and_copies_are_not(spark, docs):
+    common = "this site uses cookies to work"
+    texts = [common + "\n" + " ".join(words(60, s)) for s in range(30)] + ["clean " + " ".join(words(80, 99))] * 40 + [common] * 3 + ODD
+    out = {r.id: r for r in quality_rules.line_frequency(docs(texts), floor=20, share=0.1).collect()}
+    assert all(out[i].n_removed == 6 and not out[i].depleted for i in range(30))
+    assert not any(out[i].depleted for i in range(30, 70)) and all(out[i].depleted for i in range(70, 73))
+
+
+# ---- all of them on empty tables and clashing names
+
+def test_empty_tables(spark, docs):
+    d = docs([])
+    assert simhash_dedup.near_duplicates(simhash_dedup.fingerprints(d)).count() == 0
+    assert substring_dedup.remove_repeats(d).count() == 0
+    assert line_dedup.drop_lines(d).count() == 0
+    assert pii.pseudonymise(d, "k").count() == 0
+    assert ppm.score(d, F.col("doc_id") % 7 == 2).count() == 0
+    assert pieces.encode(d).count() == 0
+    assert best_fit.pack(d.withColumn("n", F.lit(1)), "n").count() == 0
+    assert quality_rules.line_frequency(d).count() == 0
+    v = spark.createDataFrame([], "id long, v array<long>")
+    assert mtree.top_k(v, v).count() == 0
+
+
+def test_clashing_columns(spark, docs):
+    d = docs(["a b c", "a b c"]).withColumns({"score": F.lit("x"), "ids": F.lit(1), "n_pii": F.lit("y"), "h": F.lit(2)})
+    assert toxicity.score(d, toxicity.Model(-5.0, {})).count() == 2
+    assert pieces.encode(d).count() == 2 and pii.pseudonymise(d, "k").count() == 2 and line_dedup.drop_lines(d).count() == 2
+
+
+# ---- the pipeline
+
+def test_pipeline_stages(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = table(spark, SF, "documents")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        if i + 1 < len(corpus_pipeline.STAGES):
+            assert out.columns == docs.columns, name
+            docs = out.cache()
+    assert out.select("doc_id").distinct().count() == docs.count()
