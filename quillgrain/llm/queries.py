@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgrain.llm import best_fit, line_dedup, mtree, pieces, pii, ppm, quality_rules, simhash_dedup, substring_dedup, toxicity
+from quillgrain.llm import best_fit, line_dedup, mtree, oracles, pieces, pii, ppm, quality_rules, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -18,4 +18,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_mtree": mtree.ORACLE,
+    "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op9_quality_rules": oracles.QUALITY_RULES,
 }
