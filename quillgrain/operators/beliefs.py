@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -95,7 +96,7 @@ def fold_subject(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Dat
 def merge(updates: DataFrame) -> DataFrame:
     """The belief store after all updates, folded for each (bank, subject) in the order of (turn, seq)."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         return next(fold_subject(key, iter([pdf.sort_values(["turn", "seq"])])))
 
     return read_claims(updates).groupBy("bank_id", "about").applyInPandas(run, STORE)

@@ -53,16 +53,34 @@ def s04(spark, d):
     return K.prepare(A.conversation_rows(spark, d)).select("bank_id", "id", "kind", "provenance", "salience", "content", "gist")
 
 
-@query("s05_embedding_texts", f"""with {S.CONV}, a as (select *, {S.squeeze('content')} as sq from conv), b as (select *, {_PARTS} from a),
+ORACLE_S05 = f"""with {S.CONV}, a as (select *, {S.squeeze('content')} as sq from conv), b as (select *, {_PARTS} from a),
   c as (select *, {_GIST} as gist, content as t from b), e as (select *, list_filter({_ENT}, lambda x: x not in {tuple(T.BLOCKED_ENTITIES)})[1:12] as ents from c)
 select bank_id, id, array_to_string(list_filter(['kind: ' || kind, 'turn: ' || turn_idx, 'people: ' || array_to_string(ents, ', '),
    'key phrases: ' || array_to_string(ents, ', '), 'gist: ' || gist, 'details: ' || sq, 'source: ' || provenance], lambda x: not x.ends_with(': ')), chr(10)) as document,
-  array_to_string(list_filter([gist, array_to_string(ents, ', '), array_to_string(ents, ', '), kind], lambda x: x <> ''), chr(10)) as cue from e""")
+  array_to_string(list_filter([gist, array_to_string(ents, ', '), array_to_string(ents, ', '), kind], lambda x: x <> ''), chr(10)) as cue from e"""
+
+
+@query("s05_embedding_texts", ORACLE_S05)
 def s05(spark, d):
     rows = K.prepare(A.conversation_rows(spark, d).withColumn("raw", F.col("content")))
     return K.embedding_texts(rows.withColumn("entities", T.entities("raw")))
 
 
+@query("t05_memory_document", f"select id, document from ({ORACLE_S05})")
+def t05(spark, d):
+    return s05(spark, d).select("id", "document")
+
+
+@query("t06_memory_cues", f"select id, cue from ({ORACLE_S05})")
+def t06(spark, d):
+    return s05(spark, d).select("id", "cue")
+
+
+@query("p06_scope_labels", f"with {S.CONV} select id, case provenance when 'told' then 'what_i_was_told_or_read' else 'what_happened_between_us' end as label from conv")
+def p06(spark, d):
+    return A.conversation_rows(spark, d).select("id", K.scope_label(K.provenance_scope(F.col("provenance"))).alias("label"))
+
+
 @query("s06_replace_by_source", """with old as (select doc_id, source, 'old' as version from documents), new as (select doc_id, source, 'new' as version from documents where source in ('src1', 'src2') and doc_id % 2 = 0)
 select * from old where source not in (select source from new) union all select * from new""")
 def s06(spark, d):

@@ -169,4 +169,43 @@ def j20(spark, d):
     return N.find_paths(asked, src.select("path"))
 
 
+@query("s10_corpus_listing")
+def s10(spark, d):
+    return N.listing(spark, d, "*.parquet").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"), "bytes", "archived")
+
+
+def _code(spark, d):
+    name = F.concat_ws("_", "event_type", F.col("user_id").cast("string"))
+    doc = F.concat(F.lit('    """Handles '), "event_type", F.lit('. More text."""'))
+    return A.table(spark, d, "events").select("event_id", F.concat(F.lit("gen/"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("def "), name, F.lit("(value):\n"), doc, F.lit("\n    return value * 2\n\n\nclass Second:\n    size = 1\n    colour = 'a longer line of code'\n")).alias("body"))
+
+
+@query("c03_code_pieces")
+def c03(spark, d):
+    return N.chunk(_code(spark, d)).select("path", "ordinal", "title", "start_line", "end_line")
+
+
+@query("t46_code_gist", "select event_id, 'def ' || event_type || '_' || user_id || '(value): — Handles ' || event_type || '.' as gist from events")
+def t46(spark, d):
+    return _code(spark, d).select("event_id", N.code_gist(F.col("body")).alias("gist"))
+
+
+@query("c04_bounded_pieces")
+def c04(spark, d):
+    src = A.table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.repeat("text", F.lit(4)).alias("body"))
+    return N.chunk(src).select("path", "ordinal", "title", "chars")
+
+
+@query("c05_symbols", "select event_id, 'function' as kind, event_type || '_' || user_id as name, 1 as line from events union all select event_id, 'class', 'Second', 6 from events")
+def c05(spark, d):
+    return N.symbol_index(_code(spark, d)).select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("event_id"), "kind", "name", "line")
+
+
+@query("s13_embedding_producer")
+def s13(spark, d):
+    from quillgrain.operators import vectors as X
+
+    return X.embed(A.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))).select("id", "embedding_model", "embedding_dim", F.size("embedding").alias("n"))
+
+
 QUERIES, ORACLES = C.queries, C.oracles
