@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence has a probability p = sigmoid(bias + sum of its word
-weights); the bag is toxic with the noisy-or 1 - prod(1 - p). Only document labels are needed to
+A document is a bag of sentences. A sentence has a probability p = sigmoid(bias + sum of the
+weights of its distinct words); the bag is toxic with the noisy-or 1 - prod(1 - p). Only document labels are needed to
 train the weights; afterwards the sentences with a high p are the places of offence.
 """
 
@@ -27,7 +27,7 @@ SAMPLE = 3000
 
 @dataclass
 class Model:
-    """Word weights (bounded by the sample's vocabulary), the bias, and the offence threshold."""
+    """Weights of words and beginnings (bounded by the sample's vocabulary), the bias, and the offence threshold."""
 
     bias: float
     weights: dict[str, float]
@@ -39,9 +39,14 @@ def tokens(sentence: str) -> list[str]:
     return [w for w in (x.strip(EDGE) for x in sentence.split()) if w]
 
 
-def fit(texts: list[str], labels: np.ndarray, least: int = 5, rounds: int = 150, l1: float = 2e-4, rate: float = 0.1) -> Model:
+def features(word: str) -> list[str]:
+    """A word and its first four and five letters, which stand for its inflections."""
+    return [word, *(f"{word[:n]}*" for n in (4, 5) if len(word) > n)]
+
+
+def fit(texts: list[str], labels: np.ndarray, least: int = 8, rounds: int = 100, l1: float = 2e-4, rate: float = 0.1) -> Model:
     """Full-batch Adam on the noisy-or likelihood, with an L1 step that clears useless words."""
-    bags = [[s for s in map(tokens, SENTENCE.findall(t.lower())) if s] or [[""]] for t in texts]
+    bags = [[list(dict.fromkeys(f for w in s for f in features(w))) for s in map(tokens, SENTENCE.findall(t.lower())) if s] or [[""]] for t in texts]
     spread = Counter(w for bag in bags for w in {w for s in bag for w in s})
     number = {w: i for i, w in enumerate(sorted(w for w, n in spread.items() if n >= least and w))}
     sentences = [s for bag in bags for s in bag]
@@ -58,7 +63,7 @@ def fit(texts: list[str], labels: np.ndarray, least: int = 5, rounds: int = 150,
         s = np.bincount(bag_of, np.logaddexp(0, z), len(y))
         stay = np.exp(-np.maximum(s, 1e-9))
         slope = weight_of * ((1 - y) - y * stay / np.maximum(1 - stay, 1e-9))
-        g = slope[bag_of] / (1 + np.exp(-z)) / len(y)
+        g = slope[bag_of] * np.exp(-np.logaddexp(0, -z)) / len(y)
         gw, gb = np.bincount(word, g[row], len(w)), g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -102,14 +107,15 @@ class Scorer:
     def weight(self, word: str) -> float:
         if len(self.seen) >= self.room:
             self.seen.clear()
-        return self.seen.setdefault(word, self.model.weights.get(word.strip(EDGE), 0.0))
+        weights = self.model.weights
+        return self.seen.setdefault(word, sum(weights.get(f, 0.0) for f in features(word.strip(EDGE))))
 
     def __call__(self, text: str) -> tuple[float, list[dict]]:
         seen, weight, bias = self.seen, self.weight, self.model.bias
         places, z = [], []
         for s in SENTENCE.finditer(text.lower()):
             total = bias
-            for word in s.group().split():
+            for word in dict.fromkeys(s.group().split()):
                 w = seen.get(word)
                 total += weight(word) if w is None else w
             z.append(total)
