@@ -197,7 +197,9 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([part["id"], part["held"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "held", "n_tokens", "n_known", "hits", "score"])
 
-    found = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, "id long, held boolean, n_tokens long, n_known long, hits double, score double")
+    del head_w, head_g
+    found = stored(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, "id long, held boolean, n_tokens long, n_known long, hits double, score double"))
+    head.destroy()
     return found.select(
         "id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
         (F.col("hits") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"), "score",
