@@ -133,7 +133,7 @@ def credence(asked: DataFrame, store: DataFrame, turn) -> DataFrame:
     s = store.select("bank_id", "about", F.col("claim").alias("held_claim"), live(turn).alias("live"))
     pairs = asked.join(s, ["bank_id", "about"], "left")
     sim = F.when(F.col("held_claim").isNotNull(), B.claim_similarity(F.col("claim"), F.col("held_claim"), F.col("about")))
-    w = Window.partitionBy("asked_id").orderBy(F.desc_nulls_last("sim"), "held_claim")
+    w = Window.partitionBy("asked_id").orderBy(F.desc_nulls_last("sim"), "held_claim", F.desc("live"))
     best = pairs.withColumn("sim", sim).withColumn("r", F.row_number().over(w)).where("r = 1")
     return best.select("asked_id", "bank_id", "about", "claim", F.when(F.col("sim") >= B.MATCH, F.col("live")).alias("credence"))
 

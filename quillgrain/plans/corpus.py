@@ -43,7 +43,7 @@ def t20(spark, d):
     return p.select("page_id", web.same_source(web.canonical_url("url"), web.canonical_url(variant)).alias("same"))
 
 
-@query("t16_identifier_tokens")
+@query("t16_identifier_tokens", "select event_id, array_to_string(list_sort([event_type, event_type || '_by_username' || user_id, 'name' || user_id, 'user']), ' ') as toks from events")
 def t16(spark, d):
     return A.table(spark, d, "events").select("event_id", F.array_join(F.sort_array(T.identifier_tokens(F.concat(F.col("event_type"), F.lit("_by_userName"), F.col("user_id").cast("string")), N.STOP)), " ").alias("toks"))
 

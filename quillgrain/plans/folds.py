@@ -103,19 +103,26 @@ def j16(spark, d):
 _WORDSET = S.distinct(S.tokens("t"))
 
 
-@query("j17_support_sets", f"""with {S.DOCM}, sm as (select doc_id as summary_id, case when doc_id % 7 = 0 then 'surmise' else 'received' end as scope, {S.squeeze('substr(text, 1, 300)')} as sq from documents where doc_id % 40 = 0),
+J17 = f"""with {S.DOCM}, sm as (select doc_id as summary_id, case when doc_id % 7 = 0 then 'surmise' else 'received' end as scope, {S.squeeze('substr(text, 1, 300)')} as sq from documents where doc_id % 40 = 0),
 c as (select summary_id, scope, unnest(list_filter(list_transform(string_split(regexp_replace(sq, '([.!?]) +([A-Z"''“‘])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) as claim, generate_subscripts(list_filter(list_transform(string_split(regexp_replace(sq, '([.!?]) +([A-Z"''“‘])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), 1) - 1 as pos from sm),
 cw as (select distinct summary_id, scope, pos, unnest(list_distinct({S.tokens('claim')})) as word from c), mw as (select distinct case when kind = 'inference' then 'surmise' else 'received' end as scope, event_key as ref, unnest(list_distinct({S.tokens('content')})) as word from docm),
 sh as (select summary_id, pos, ref, count(*) as n from cw join mw using (scope, word) where not list_contains({S.words(T.SUPPORT_STOPWORDS)}, word) group by 1, 2, 3 having count(*) >= 3),
 b as (select summary_id, pos, string_agg(ref, ' ' order by n desc, ref) as refs from (select * from sh qualify row_number() over (partition by summary_id, pos order by n desc, ref) <= 3) group by 1, 2)
-select summary_id, pos::int as pos, claim, coalesce(refs, '') as refs from c left join b using (summary_id, pos)""")
+select summary_id, pos::int as pos, claim, coalesce(refs, '') as refs from c left join b using (summary_id, pos)"""
+
+
+@query("j17_support_sets", J17)
 def j17(spark, d):
     rows = A.document_rows(spark, d).select(F.when(F.col("kind") == "inference", "surmise").otherwise("received").alias("scope"), F.col("event_key").alias("ref"), "content")
     sm = A.table(spark, d, "documents").where("doc_id % 40 = 0").select(F.col("doc_id").alias("summary_id"), F.when(F.col("doc_id") % 7 == 0, "surmise").otherwise("received").alias("scope"), F.substring("text", 1, 300).alias("summary"))
     return E.support_sets(sm, rows).select("summary_id", "pos", "claim", F.array_join("support_refs", " ").alias("refs"))
 
 
-@query("a14_supported_refs")
+A14 = J17.replace("case when doc_id % 7 = 0 then 'surmise' else 'received' end as scope", "'received' as scope").replace("case when kind = 'inference' then 'surmise' else 'received' end as scope", "'received' as scope")
+A14 = A14[: A14.index("b as (select summary_id, pos, string_agg")].rstrip().rstrip(",") + " select distinct ref from (select * from sh qualify row_number() over (partition by summary_id, pos order by n desc, ref) <= 3)"
+
+
+@query("a14_supported_refs", A14)
 def a14(spark, d):
     rows = A.document_rows(spark, d).select(F.lit("received").alias("scope"), F.col("event_key").alias("ref"), "content")
     sm = A.table(spark, d, "documents").where("doc_id % 40 = 0").select(F.col("doc_id").alias("summary_id"), F.lit("received").alias("scope"), F.substring("text", 1, 300).alias("summary"))
@@ -127,13 +134,20 @@ def a17(spark, d):
     return E.confidence(A.observations(spark, d)).orderBy(F.desc("hypothesis_id")).limit(5).select("hypothesis_id", "confidence", "n_supports", "n_contradicts")
 
 
-@query("r13_hedged_answer")
+_HEDGE = f"""with h as ({_FOLD}), cur as (select * from ({_CUR} select * from cur) where stance in ('supports', 'contradicts')),
+top as (select *, row_number() over (partition by hypothesis_id, stance order by first_seq) as r from cur qualify r <= 3),
+l as (select hypothesis_id, count_if(stance = 'supports') as n_s, string_agg('- ' || stance || ' [ev:' || first_seq || '] (' || url || ')', chr(10) order by (stance <> 'supports')::int, r) as lines from top group by 1)
+select hypothesis_id, case when status = 'disputed' then 'Sources disagree on this.' when coalesce(n_s, 0) > 0 then 'Best supported reading so far.' else 'No well-supported answer was established.' end || coalesce(chr(10) || lines, '') as answer, confidence from h left join l using (hypothesis_id)"""
+
+
+@query("r13_hedged_answer", _HEDGE)
 def r13(spark, d):
     obs = A.observations(spark, d)
     return E.hedge(E.confidence(obs), obs)
 
 
-@query("r14_accepted_conclusion")
+@query("r14_accepted_conclusion", f"""with h as ({_FOLD}), g as (select hypothesis_id, count_if(seq % 3 = 0) as n_refs, bool_and(stance = 'context') as told from ({S.OBS.removeprefix('obs as ')[1:-1]}) group by 1)
+select hypothesis_id, confidence, status, coalesce(n_refs > 0 and (confidence >= 0.6 or status = 'disputed' or (n_supports + n_contradicts = 0 and told)), false) as accepted from h left join g using (hypothesis_id)""")
 def r14(spark, d):
     obs = A.observations(spark, d)
     g = obs.select("hypothesis_id", (F.col("seq") % 3 == 0).alias("delivered"), (F.col("stance") == "context").alias("testimony"))
@@ -183,12 +197,19 @@ def _asked(spark, d):
     return u.select(F.col("seq").alias("asked_id"), "bank_id", "about", "claim")
 
 
-@query("f07_credence")
+_CRED = f"""with {S.BELIEFS}, ask as (select seq as asked_id, bank_id, about, claim from ups where turn in (45, 46)),
+st as (select bank_id, about, claim as held, confidence * pow(0.5, (60 - turn) / case kind when 'observation' then 5 when 'stated_fact' then 18 when 'preference' then 300 when 'goal' then 45 else 400 end::double) as live from ups where turn <= 12),
+p as (select asked_id, claim, held, live, list_filter(list_distinct(regexp_extract_all(lower(claim), '[a-z0-9'']+')), lambda x: x <> 'not' and not contains('|user|' || substr(about, 6) || '|', '|' || x || '|')) as fa, list_filter(list_distinct(regexp_extract_all(lower(held), '[a-z0-9'']+')), lambda x: x <> 'not' and not contains('|user|' || substr(about, 6) || '|', '|' || x || '|')) as fb from ask left join st using (bank_id, about)),
+q as (select asked_id, held, live, case when held is null then null when claim.starts_with('not') <> held.starts_with('not') then 0 else len(list_intersect(fa, fb)) / least(len(fa), len(fb))::double end as sim from p)
+select asked_id, case when sim >= 0.4 then live end as credence from q qualify row_number() over (partition by asked_id order by sim desc nulls last, held, live desc) = 1"""
+
+
+@query("f07_credence", f"select asked_id, round(credence, 9) as credence from ({_CRED})")
 def f07(spark, d):
     return H.credence(_asked(spark, d), _store(spark, d).where("last_updated_turn <= 12"), F.lit(60)).select("asked_id", F.round("credence", 9).alias("credence"))
 
 
-@query("f08_reconcile")
+@query("f08_reconcile", f"select asked_id as id, round(greatest(coalesce(credence, 0.275), 0.275), 4) as revised, abs(round(greatest(coalesce(credence, 0.275), 0.275), 4) - 0.5) > 1e-6 as changed from ({_CRED})")
 def f08(spark, d):
     asked = _asked(spark, d)
     cred = H.credence(asked, _store(spark, d).where("last_updated_turn <= 12"), F.lit(60))
