@@ -8,6 +8,7 @@ train the weights; afterwards the sentences with a high p are the places of offe
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,20 +47,38 @@ def features(word: str) -> list[str]:
 
 def fit(texts: list[str], labels: np.ndarray, least: int = 8, rounds: int = 100, l1: float = 2e-4, rate: float = 0.1) -> Model:
     """Full-batch Adam on the noisy-or likelihood, with an L1 step that clears useless words."""
-    bags = [[list(dict.fromkeys(f for w in s for f in features(w))) for s in map(tokens, SENTENCE.findall(t.lower())) if s] or [[""]] for t in texts]
-    spread = Counter(w for bag in bags for w in {w for s in bag for w in s})
-    number = {w: i for i, w in enumerate(sorted(w for w, n in spread.items() if n >= least and w))}
-    sentences = [s for bag in bags for s in bag]
-    bag_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    word = np.array([number.get(w, -1) for s in sentences for w in s], np.int64)
-    row = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])[word >= 0]
-    word = word[word >= 0]
+    known: dict[str, list[str]] = {}
+
+    def bag(text: str) -> list[list[str]]:
+        """Distinct features of each sentence; equal strings are one object."""
+        out = []
+        for s in SENTENCE.findall(text.lower()):
+            if own := tokens(s):
+                out.append(list(dict.fromkeys(f for w in own for f in (known.get(w) or known.setdefault(w, features(w))))))
+        return out or [[]]
+
+    spread: Counter = Counter()
+    for t in texts:
+        spread.update({f for s in bag(t) for f in s})
+    number = {w: i for i, w in enumerate(sorted(w for w, n in spread.items() if n >= least))}
+    del spread
+    sizes, counts, columns = [], [], array("i")
+    for t in texts:  # read twice, so that only numbers of the features kept are held
+        own = [[number[f] for f in s if f in number] for s in bag(t)]
+        sizes.append(len(own))
+        for s in own:
+            counts.append(len(s))
+            columns.extend(s)
+    bag_of = np.repeat(np.arange(len(texts)), sizes)
+    word = np.array(columns, np.int64)
+    del columns, known
+    row = np.repeat(np.arange(len(counts)), counts)
     y = labels.astype(float)
     weight_of = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
     w, b = np.zeros(len(number)), -4.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = b + np.bincount(row, w[word], len(sentences))
+        z = b + np.bincount(row, w[word], len(counts))
         s = np.bincount(bag_of, np.logaddexp(0, z), len(y))
         stay = np.exp(-np.maximum(s, 1e-9))
         slope = weight_of * ((1 - y) - y * stay / np.maximum(1 - stay, 1e-9))
