@@ -1,0 +1,126 @@
+"""Operators on small literal rows: what must hold whatever the data."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillgrain.functions import belief as B
+from quillgrain.functions import redact
+from quillgrain.functions import text as T
+from quillgrain.operators import bank as K
+from quillgrain.operators import beliefs as H
+from quillgrain.operators import chunks as N
+from quillgrain.operators import investigate as V
+from quillgrain.operators import lifecycle as L
+from quillgrain.operators import pages as P
+
+
+def one(spark, column, **values):
+    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)) if values else spark.range(1)
+    return df.select(column).first()[0]
+
+
+def test_gist_takes_whole_sentences(spark):
+    text = "First one. " + "word " * 60
+    assert one(spark, T.gist("t"), t=text) == "First one."
+    assert one(spark, T.gist("t"), t="word " * 100).endswith("word") and len(one(spark, T.gist("t"), t="word " * 100)) <= 240
+    assert one(spark, T.gist("t"), t=" a   b ") == "a b"
+
+
+def test_cuts_tell_the_true_length(spark):
+    assert one(spark, T.excerpt("t"), t="x" * 900).endswith("…[cut: 900 chars total]") and len(one(spark, T.excerpt("t"), t="x" * 900)) == 600
+    fitted = one(spark, T.fit_both_ends("t"), t="a" * 3000 + "z" * 3000)
+    assert len(fitted) == 4000 and fitted.startswith("a") and fitted.endswith("z") and "2,000 chars elided" in fitted
+
+
+def test_identifiers_split(spark):
+    assert set(one(spark, T.identifier_tokens("t"), t="rebuild_embeddings myName")) == {"rebuild_embeddings", "rebuild", "embeddings", "myname", "name"}
+
+
+@pytest.mark.parametrize(("claim", "want"), [("likes tea", 1), ("does not like tea", -1), ("never not late", 1), ("stopped", -1), ("dislikes tea", -1)])
+def test_polarity(spark, claim, want):
+    assert one(spark, B.polarity(F.col("c")), c=claim) == want
+
+
+def test_opposite_claims_are_not_alike(spark):
+    sim = lambda a, b: one(spark, B.claim_similarity(F.col("a"), F.col("b"), F.lit("ann")), a=a, b=b)
+    assert sim("ann prefers short answers", "ann does not prefer short answers") == 0 and sim("prefers tea", "ann prefers tea in the evening") == 1
+
+
+def test_the_stricter_kind_counts(spark):
+    assert one(spark, B.effective_kind(F.lit("observation"), F.col("c")), c="always late") == "trait"
+    assert one(spark, B.effective_kind(F.lit("identity"), F.col("c")), c="said so") == "identity"
+
+
+def updates(spark, rows):
+    return spark.createDataFrame([(0, "ann", k, c, p, t, i) for i, (k, c, p, t) in enumerate(rows)], "bank_id long, about string, kind string, claim string, confidence double, turn long, seq long")
+
+
+def test_beliefs_blend_and_compete(spark):
+    got = H.merge(updates(spark, [("goal", "finish the report", 0.5, 1), ("goal", "finish the report soon", 0.9, 1)])).collect()
+    assert len(got) == 1 and got[0].confidence == pytest.approx(0.65)  # capped
+    got = {r.claim: r.confidence for r in H.merge(updates(spark, [("goal", "finish report", 0.6, 1), ("goal", "learn piano", 0.6, 1)])).collect()}
+    assert got["finish report"] == pytest.approx(0.6 * 0.7) and got["learn piano"] == pytest.approx(0.6)
+    assert H.merge(updates(spark, [("observation", "door open", 0.3, 1), ("goal", "eat", 0.5, 61)])).count() == 1
+
+
+def test_read_seam_is_strict_and_keeps_rows_without_turn(spark):
+    rows = spark.createDataFrame([(1, 5, False, None), (2, 6, False, None), (3, None, False, None), (4, 1, True, None), (5, 1, False, "b0")], "id long, turn_idx long, archived boolean, retired_batch string")
+    ids = lambda **o: {r.id for r in K.visible(rows, **o).collect()}
+    assert ids(before=F.lit(6), include_archived=True) == {1, 3, 4} and ids(before=F.lit(6), include_archived=False) == {1, 3}
+    assert ids(before=None, include_archived=True, include_retired=True) == {1, 2, 3, 4, 5}
+
+
+def test_upsert_keeps_keyless_rows(spark):
+    old = spark.createDataFrame([(0, "k", 1), (0, "", 2)], "bank_id long, event_key string, id long")
+    new = spark.createDataFrame([(0, "k", 3), (0, "", 4)], "bank_id long, event_key string, id long")
+    assert {r.id for r in K.upsert(old, new, ["bank_id", "event_key"], "id").collect()} == {2, 3, 4}
+
+
+def test_first_fit_skips_and_goes_on(spark):
+    rows = spark.createDataFrame([(1, 1, 50), (1, 2, 60), (1, 3, 30), (2, 1, 500)], "q long, rank int, n long")
+    assert {(r.q, r["rank"]) for r in V.first_fit_budget(rows, "q", "rank", "n", 100).collect()} == {(1, 1), (1, 3), (2, 1)}
+
+
+def test_streaks_break_at_blanks(spark):
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(["a", "a", "", "a", "a", "a", "b"])], "run long, i long, v string")
+    assert [r.held_for for r in V.streaks(rows, "run", ["i"], "v").orderBy("i").collect()] == [1, 2, 0, 1, 2, 3, 1]
+
+
+def test_importance_is_asymptotic_and_lifted_once(spark):
+    rows = spark.createDataFrame([("a", 0.5, None), ("b", 0.5, 0.96), ("c", 0.5, None)], "event_key string, salience double, importance double")
+    hits = spark.createDataFrame([("a",), ("a",), ("b",)], "event_key string")
+    got = {r.event_key: r.importance for r in L.raise_importance(rows, hits).collect()}
+    assert got["a"] == pytest.approx(1 - 0.5 * 0.88**2) and got["b"] == pytest.approx(0.9648) and got["c"] is None
+    assert {r.event_key: r.importance for r in L.raise_importance(rows, hits, only_unrevised=True).collect()}["b"] == 0.96
+
+
+def test_redaction_names_what_it_ate(spark):
+    df = spark.createDataFrame([("task", "do it", "x"), ("api_key", "abc", ""), ("note", "sk-12345678901", "y"), ("text", "uses sk- on its own", "z")], "key string, value string, password string")
+    got = {r.key: (r.value, r.password, r.redacted) for r in redact.redact(df).collect()}
+    assert got["task"] == ("do it", "<redacted: password, 1 chars>", ["password"]) and got["api_key"][0] == "<redacted: api_key, 3 chars>" and got["api_key"][1] == ""
+    assert got["note"][0].startswith("<redacted: credential-shaped") and got["text"][0] == "uses sk- on its own"
+
+
+def test_markdown_and_code_pieces():
+    md = N.markdown_pieces("intro text that is long enough to stay alone here\n\n# One\n" + "body " * 20 + "\n## Two\n" + "more " * 20)
+    assert [p[0] for p in md] == ["(preamble)", "One", "Two"]
+    code = N.code_pieces("import os\nimport sys\nX = 'a long enough preamble line'\n\n\ndef f(a):\n    return a + 1 + 2 + 3 + 4 + 5 + 6\n\n\nclass C:\n    def m(self):\n        return 'a long enough body of it'\n", "python")
+    assert [p[0] for p in code][:2] == ["(module preamble)", "constant X"] or [p[0] for p in code][0].startswith(("(module", "constant"))
+    parts = N.bounded([("t", 1, 2, "x" * 45_000)])
+    assert [len(p[3]) for p in parts] == [20_000, 20_000, 5_000] and parts[0][0] == "t [part 1/3]"
+
+
+def test_replies_are_read_with_patience():
+    assert P.read_reply('Sure:\n```json\n{"a": [1, 2,],}\n```') == {"a": [1, 2]} and P.read_reply('{"a": "line\nbreak"} tail') == {"a": "line\nbreak"}
+    assert P.read_reply("no object") is None and P.read_reply(None) is None and P.read_reply("[1]") is None
+
+
+def test_page_findings():
+    kinds = [f[0] for f in P.findings_of('<div id="a"><p id="a">x</div></section><button>×</button><button aria-label="Close">×</button><div onclick="f()">')]
+    assert kinds.count("duplicate-id") == 1 and "stray-close" in kinds and kinds.count("unnamed-control") == 1 and "keyboard-unreachable" in kinds
+
+
+def test_safe_export_is_cut_and_redacted(spark):
+    df = spark.range(500).select(F.col("id"), F.concat(F.lit("ghp_"), F.lpad(F.col("id").cast("string"), 12, "x")).alias("note"))
+    got = P.safe_export(df, ["id"], rows=20).collect()
+    assert len(got) == 20 and {r.cut_by for r in got} == {"rows"} and all(r.note.startswith("<redacted") for r in got)
