@@ -15,6 +15,7 @@ totals and code lengths; of the rest a chunk gets back just its own, and then sc
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -78,6 +79,19 @@ class Table:
         return out, np.concatenate([keys, *unknown])
 
 
+#: The lookups of a worker; they are built once from what was broadcast.
+_LOOKUPS: dict[str, tuple[dict[bytes, int], Table]] = {}
+
+
+def lookups(few: tuple) -> tuple[dict[bytes, int], Table]:
+    """Counts of the frequent words and code lengths of the frequent grams."""
+    name, words, counts, keys, values = few
+    if name not in _LOOKUPS:
+        _LOOKUPS.clear()
+        _LOOKUPS[name] = dict(zip(words, counts.tolist(), strict=True)), Table(keys, values)
+    return _LOOKUPS[name]
+
+
 def _tally(texts: list[bytes], order: int, block: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of many texts with their counts, in blocks of bounded size."""
     keys, counts, part, size = [], [], [], 0
@@ -175,10 +189,13 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     answers = stored(rare_w.unionByName(rare_g, allowMissingColumns=True))
 
     head_w, head_g = common_w.select("w", "n").toPandas(), common_g.select("g", "logp").toPandas()
-    head = docs.sparkSession.sparkContext.broadcast((dict(zip(map(bytes, head_w["w"]), head_w["n"].tolist(), strict=True)), Table(head_g["g"].to_numpy(np.int64), head_g["logp"].to_numpy(float))))
+    few = (uuid.uuid4().hex, [bytes(w) for w in head_w["w"]], head_w["n"].to_numpy(), head_g["g"].to_numpy(np.int64), head_g["logp"].to_numpy(float))
+    del head_w, head_g
+    head = docs.sparkSession.sparkContext.broadcast(few)
+    del few
 
     def judge(key: tuple[pa.Scalar, ...], part: pa.Table, answer: pa.Table) -> pa.Table:
-        often, table_ = head.value
+        often, table_ = lookups(head.value)
         is_word = answer["w"].is_valid()
         word, gram = answer.filter(is_word), answer.filter(pa.compute.invert(is_word))
         total = dict(zip(word["w"].to_pylist(), word["x"].to_pylist(), strict=True))
@@ -197,7 +214,6 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([part["id"], part["held"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "held", "n_tokens", "n_known", "hits", "score"])
 
-    del head_w, head_g
     found = stored(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(judge, "id long, held boolean, n_tokens long, n_known long, hits double, score double"))
     head.destroy()
     return found.select(
