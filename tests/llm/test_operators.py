@@ -5,6 +5,7 @@ import zlib
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -132,6 +133,59 @@ def test_fuzzy_lines_match_brute_force(spark, docs):
     assert got[1].n_lines_removed >= 1
 
 
+def linked(lines):
+    """Every pair of normalised lines that pass the edit test; nothing else is asked."""
+    return {(a, b) for a in range(len(lines)) for b in range(a) if line_dedup.similar(lines[a], lines[b])}
+
+
+def left_over(n, links):
+    """The members of 0 to n-1 that aren't the least of their connected group."""
+    low = list(range(n))
+    while True:
+        before = list(low)
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+        if low == before:
+            return {i for i in range(n) if low[i] != i}
+
+
+def test_edited_lines_are_found_at_any_distance_in_bits(spark, docs):
+    r, lines = random.Random(4), []
+    for s in range(40):
+        w = words(r.choice([3, 8, 15, 30, 60]), 100 + s, 10**6)
+        lines.append(" ".join(w))
+        for _ in range(3):
+            v = list(w)
+            for _ in range(max(1, len(v) // 10)):
+                v[r.randrange(len(v))] = r.choice(["changed", "so", "another"])
+            lines.append(" ".join(v))
+    links = linked(lines)
+    fp = line_dedup.line_prints([x.encode() for x in lines]).view(np.uint64)
+    far = sum((int(fp[a]) ^ int(fp[b])).bit_count() > 3 for a, b in links)
+    assert far > len(links) // 2
+    gone = {x.doc_id for x in line_dedup.drop_lines(docs(lines)).where("n_lines_removed > 0").collect()}
+    expected = left_over(len(lines), links)
+    assert gone <= expected and len(gone) >= 0.97 * len(expected)
+
+
+def test_links_of_a_large_bucket_are_rows(spark, docs):
+    base = [words(40, s, 10**6) for s in (1, 2, 3)]
+    shared = words(40, 9, 10**6)
+    lines = [" ".join(b[:20] + shared + b[20:] + [f"v{i}"]) for i in range(60) for b in base]  # three groups in common buckets
+    gone = line_dedup.drop_lines(docs(lines))
+    assert {x.doc_id for x in gone.where("n_lines_removed > 0").collect()} == left_over(len(lines), linked(lines)) == set(range(3, 180))
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_offers_of_a_streamed_bucket(size):
+    key = np.repeat([5, 6, 7, 9], [1, 4, 10, 2])
+    rows = pd.DataFrame({"key": key, "id": np.arange(len(key))})
+    got = pd.concat(line_dedup.offers(4)(rows[i : i + size] for i in range(0, len(rows), size)))
+    where = {k: np.flatnonzero(key == k).tolist() for k in (6, 7, 9)}
+    assert sorted(zip(got.u, got.v, strict=True)) == sorted((u, v) for ids in where.values() for u in ids for v in ids[:4] if v < u)
+    assert set(got.u[got.key.notna()]) == set(where[7][4:]) and set(got.key.dropna()) == {7}
+
+
 def test_edit_distance():
     assert line_dedup.edits("kitten", "sitting") == 3 and line_dedup.edits("", "abc") == 3 and line_dedup.edits("abc", "abc") == 0
     assert line_dedup.similar("x" * 10, "x" * 8 + "yy") and not line_dedup.similar("x" * 10, "x" * 7 + "yyy")
