@@ -1,8 +1,8 @@
 """Quality rules: cross-document line frequency per host, beside per-document counts.
 
 Every line with a word is normalised (lower case, white space collapsed) and hashed. A line is
-*frequent* on a host when it stands in more distinct documents of the host than the limit, which
-is the larger of a floor and a share of the host's distinct documents. Copies of one text count as
+*frequent* on a host when it stands in more distinct documents of the host than the limit, a share
+of the host's distinct documents but a few documents at least. Copies of one text count as
 one document, so that a clean document with copies isn't taken for boilerplate. Frequent lines are
 removed, and a document that keeps less than a share of its words is rejected as depleted.
 """
@@ -21,7 +21,7 @@ from quillgrain.llm.common import cut, doc_key, raw
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
-FLOOR, SHARE, KEEP = 100, 0.02, 0.5
+FLOOR, SHARE, KEEP = 3, 0.02, 0.5
 _LINES = "array<struct<h:bigint,n:int>>"
 
 

@@ -374,6 +374,18 @@ def test_boilerplate_is_removed_and_copies_are_not(spark, docs):
     assert not any(out[i].depleted for i in range(30, 70)) and all(out[i].depleted for i in range(70, 73))
 
 
+@pytest.mark.parametrize("size", [20, 300, 6000])
+def test_boilerplate_is_removed_at_every_host_size_as_the_query_runs(spark, docs, size):
+    planted = max(5, size // 20)  # more than the limit
+    few = max(3, size // 100)  # not more
+    texts = []
+    for i in range(size):
+        lines = [" ".join(words(8, 1000 + i, 10**6))]
+        texts.append("\n".join(lines + ["this site uses cookies to work"] * (i < planted) + ["a line of some documents"] * (i < few)))
+    out = {r.id: r.n_removed for r in quality_rules.line_frequency(docs(texts)).collect()}
+    assert [out[i] for i in range(size)] == [6 * (i < planted) for i in range(size)]
+
+
 # ---- all of them on empty tables and clashing names
 
 def test_empty_tables(spark, docs):
