@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests) a temporary
-    folder is taken.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and all runs on one
+    machine (tests) a temporary folder is taken.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-cp-"))
+        place = sc.getConf().get("spark.checkpoint.dir")
+        if not place and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="spark-cp-"))
     return sc.getCheckpointDir()
 
 
@@ -75,14 +78,14 @@ def id_crc(col: str) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("null")).cast("binary"))
 
 
-def doc_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds the identity of a document: `_d`, its id (null last) and `_t`, a hash of its text.
+def doc_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d: str = "_d", t: str = "_t") -> DataFrame:
+    """Adds the identity of a document: `d`, its id (null last) and `t`, a hash of its text.
 
     Repeated rows share an identity and are treated alike; two texts under one id stay apart.
     """
     return docs.withColumns({
-        "_d": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)),
-        "_t": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
+        d: F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)),
+        t: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
     })
 
 

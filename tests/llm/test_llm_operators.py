@@ -118,14 +118,8 @@ def test_fuzzy_lines_match_brute_force(spark, docs):
     got = {r.doc_id: r for r in line_dedup.drop_lines(docs(texts)).collect()}
     every = [(i, k, line_dedup.normal(x.encode())) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
     every = [x for x in every if x[2]]
-    fp = line_dedup.line_prints([x[2] for x in every]).view(np.uint64)
-    low = list(range(len(every)))
-    for _ in range(6):
-        for a in range(len(every)):
-            for b in range(a):
-                if (int(fp[a]) ^ int(fp[b])).bit_count() <= 3 and line_dedup.similar(every[a][2].decode(), every[b][2].decode()):
-                    low[a] = low[b] = min(low[a], low[b])
-    drop = {every[a][:2] for a in range(len(every)) if low[a] != a}
+    gone = left_over(len(every), linked([x[2].decode() for x in every]))
+    drop = {every[a][:2] for a in gone}
     seen = {}
     for i, t in enumerate(texts):  # rows equal in id and text only are one document: ids differ here
         seen[i] = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in drop)
@@ -177,18 +171,36 @@ def test_links_of_a_large_bucket_are_rows(spark, docs):
 
 
 @pytest.mark.parametrize("size", [1, 3, 1000])
-def test_offers_of_a_streamed_bucket(size):
-    key = np.repeat([5, 6, 7, 9], [1, 4, 10, 2])
+@pytest.mark.parametrize("room", [2, 1000])
+def test_offers_of_a_streamed_bucket(size, room):
+    r = np.random.default_rng(2)
+    key = np.repeat([5, 6, 7, 9], [1, 4, 30, 2])
+    rows = pd.DataFrame({"key": key, "id": np.arange(len(key)), "fp": r.integers(-(2**63), 2**63 - 1, len(key)), "n": 100})
+    met, left = set(), rows
+    while len(left):  # what found no room comes back, until every two lines of a bucket have been compared
+        got = pd.concat([pd.DataFrame({"key": [], "u": [], "v": []}), *line_dedup.offers(40, 0, room)(left[i : i + size] for i in range(0, len(left), size))])
+        met |= set(zip(got.u[got.v.notna()], got.v[got.v.notna()], strict=True))
+        left = rows[rows["id"].isin(got.u[got.v.isna()])]
+    assert met == {(u, v) for u in rows["id"] for v in rows["id"] if v < u and key[u] == key[v]}
+
+
+@pytest.mark.parametrize("size", [1, 2, 1000])
+def test_only_shared_keys_go_on(size):
+    key = np.repeat([1, 2, 3, 4, 5], [1, 2, 1, 3, 1])
     rows = pd.DataFrame({"key": key, "id": np.arange(len(key))})
-    got = pd.concat(line_dedup.offers(4)(rows[i : i + size] for i in range(0, len(rows), size)))
-    where = {k: np.flatnonzero(key == k).tolist() for k in (6, 7, 9)}
-    assert sorted(zip(got.u, got.v, strict=True)) == sorted((u, v) for ids in where.values() for u in ids for v in ids[:4] if v < u)
-    assert set(got.u[got.key.notna()]) == set(where[7][4:]) and set(got.key.dropna()) == {7}
+    got = pd.concat(line_dedup.shared(rows[i : i + size] for i in range(0, len(rows), size)))
+    assert got["key"].tolist() == [2, 2, 4, 4, 4] and got["id"].tolist() == [1, 2, 4, 5, 6]
 
 
 def test_edit_distance():
     assert line_dedup.edits("kitten", "sitting") == 3 and line_dedup.edits("", "abc") == 3 and line_dedup.edits("abc", "abc") == 0
     assert line_dedup.similar("x" * 10, "x" * 8 + "yy") and not line_dedup.similar("x" * 10, "x" * 7 + "yyy")
+    r = random.Random(1)
+    for _ in range(500):
+        a, b = (" ".join(r.choice(["a", "bb", "ccc", "x", ""]) for _ in range(r.randrange(9))) for _ in range(2))
+        far = line_dedup.edits(a, b)
+        assert line_dedup.most_edits(a, b) >= far >= line_dedup.least_edits(a, b)
+        assert all((line_dedup.edits(a, b, m) <= m) == (far <= m) for m in (0, 2, 5))
 
 
 # ---- search
