@@ -1,7 +1,7 @@
 """Format-preserving Feistel pseudonyms for personal data, in Spark SQL functions alone.
 
-Found values are validated (octets of addresses, calendar dates, IBAN checksums; a card number's
-Luhn sum keeps its offset, so valid numbers give valid ones) and then permuted inside their own
+Found values are validated (octets of addresses, calendar dates, the check digits of IBANs and of
+card numbers; what fails stays as it is) and then permuted inside their own
 format by a keyed Feistel network. The permutation depends on the key, the kind and the value
 without its separators or case, so equal values stay linked across documents and spellings, and
 different values stay different. Rounds run as an `aggregate` over the round numbers, with SHA-256
@@ -10,6 +10,8 @@ as round function.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: In order of precedence; the texts are looked through once, by their alternation.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
+    # possessive throughout and only from the start of a run, so that no text makes it recurse or scan twice
+    "email": r"(?<![\p{L}\p{N}._%+\-])[._%+\-]*+[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++(?<=\p{L}{2})",
     "secret": _EDGE + r"(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,64}" + _END,
     "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "phone": r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{2,4}\)?){2,4}" + _END,
@@ -144,14 +147,14 @@ def _mod97(text: Column) -> Column:
 
 
 def _number(m: Column, key: str) -> Column:
-    """Card-like numbers: the payload is permuted and the last digit keeps its Luhn offset."""
+    """Numbers with a right check digit get another payload and its check digit; others are no card's and stay."""
 
     def run(d: Column) -> Column:
         body = F.substr(d, F.lit(1), F.length(d) - 1)
-        offset = F.right(d, F.lit(1)).cast("int") - luhn(body)
-        return _bind(permute_digits(body, key, "number"), lambda b: F.concat(b, F.pmod(luhn(b) + offset, F.lit(10)).cast("string")))
+        new = lambda: _bind(permute_digits(body, key, "number"), lambda b: F.concat(b, luhn(b).cast("string")))
+        return F.when(F.right(d, F.lit(1)).cast("int") == luhn(body), _refill(m, new(), "[0-9]")).otherwise(m)
 
-    return _refill(m, _bind(_digits(m), run), "[0-9]")
+    return _bind(_digits(m), run)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -209,10 +212,11 @@ def _ssn(m: Column, key: str) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     """The part before '@' is permuted, with the case of its letters kept; the domain stays."""
-    local = F.substring_index(m, "@", 1)
+    lead = F.regexp_extract(m, r"^[._%+\-]*", 0)
+    local = F.substr(F.substring_index(m, "@", 1), F.length(lead) + 1)
     new = permute_string(F.lower(local), key, "email")
     cased = F.when(local == F.upper(local), F.upper(new)).when(local == F.lower(local), new).otherwise(F.initcap(new))
-    return F.concat(cased, F.substr(m, F.length(local) + 1))
+    return F.concat(lead, cased, F.substr(m, F.length(lead) + F.length(local) + 1))
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -242,23 +246,24 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_pii") -> DataFrame:
-    """The rows with found values in `text_col` replaced, and their number in `count_col`.
+    """The rows with found values in `text_col` replaced, and their number in `count_col` (added or replaced).
 
-    Null texts stay null (0 found); empty texts stay empty. All other columns stay.
+    Null texts stay null (0 found); empty texts stay empty; repeated rows are treated alike, whatever
+    their ids; an empty table stays empty. All other columns stay, whatever their names.
     """
-    text = F.col(text_col)
+    text, m_ = F.col(text_col), f"m_{uuid.uuid4().hex}"
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     some = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
-    out = docs.withColumn("_m", F.when(some, found).otherwise(F.array().cast("array<string>")))
+    out = docs.withColumn(m_, F.when(some, found).otherwise(F.array().cast("array<string>")))
     parts = F.zip_with(
         F.split(text, ANY, -1),
-        F.concat(F.transform("_m", lambda m: pseudonym(m, key)), F.array(F.lit(""))),
+        F.concat(F.transform(m_, lambda m: pseudonym(m, key)), F.array(F.lit(""))),
         lambda piece, m: F.concat(piece, m),
     )
-    out = out.withColumn(text_col, F.when(F.size("_m") > 0, F.array_join(parts, "")).otherwise(text))
+    out = out.withColumn(text_col, F.when(F.size(m_) > 0, F.array_join(parts, "")).otherwise(text))
     if count_col:
-        out = out.withColumn(count_col, F.size("_m"))
-    return out.drop("_m")
+        out = out.withColumn(count_col, F.size(m_))
+    return out.drop(m_)
 
 
 #: For the query and the tests; a production job passes its own secret.

@@ -20,7 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrain.llm.common import cut, id_crc, raw, stored
@@ -79,16 +79,25 @@ class Table:
         return out, np.concatenate([keys, *unknown])
 
 
+def packed(df: DataFrame) -> bytes:
+    """The rows of a bounded table as one Arrow stream: the driver passes bytes on and holds no row."""
+    rows, out = df.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as stream:
+        stream.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
 #: The lookups of a worker; they are built once from what was broadcast.
 _LOOKUPS: dict[str, tuple[dict[bytes, int], Table]] = {}
 
 
 def lookups(few: tuple) -> tuple[dict[bytes, int], Table]:
     """Counts of the frequent words and code lengths of the frequent grams."""
-    name, words, counts, keys, values = few
+    name, words, grams_ = few
     if name not in _LOOKUPS:
         _LOOKUPS.clear()
-        _LOOKUPS[name] = dict(zip(words, counts.tolist(), strict=True)), Table(keys, values)
+        w, g = (pa.ipc.open_stream(x).read_all() for x in (words, grams_))
+        _LOOKUPS[name] = dict(zip(w["w"].to_pylist(), w["n"].to_pylist(), strict=True)), Table(g["g"].to_numpy(), g["logp"].to_numpy())
     return _LOOKUPS[name]
 
 
@@ -143,7 +152,7 @@ def code_lengths(counted: DataFrame, order: int = ORDER) -> DataFrame:
         low = level.select(F.col("g").alias("s"), F.col("n").alias("n0"), F.col("t").alias("t0"), F.col("d").alias("d0"), F.col("q").alias("q0"), F.col("p").alias("p0"))
         context = Window.partitionBy("c")  # 256 rows at most
         shown = F.col("n") > 0
-        x = levels.pop().withColumn("s", suffix).join(low, "s").withColumn("c", F.shiftright("g", 8)).withColumns({
+        x = levels.pop().withColumn("s", suffix).join(low.hint("shuffle_hash"), "s").withColumn("c", F.shiftright("g", 8)).withColumns({
             "t": F.sum("n").over(context).cast("double"),
             "d": F.sum(shown.cast("double")).over(context),
             "x": F.sum(F.when(shown, F.col("n0")).otherwise(0)).over(context).cast("double"),
@@ -183,16 +192,13 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     n, v = (x or 0 for x in counts.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first())
     lengths = stored(code_lengths(cut(told.where("g is not null").groupBy("g").agg(F.sum("n").alias("n"))), order))
     words, grams_ = told.where("w is not null").select("chunk", "w"), told.where("g is not null").select("chunk", "g")
-    common_w, common_g = frequent(counts, HEAD_WORDS), frequent(lengths, HEAD_GRAMS)
-    rare_w = words.join(F.broadcast(common_w.select("w")), "w", "left_anti").join(counts, "w").select("chunk", "w", F.col("n").cast("double").alias("x"))
-    rare_g = grams_.join(F.broadcast(common_g.select("g")), "g", "left_anti").join(lengths, "g").select("chunk", "g", F.col("logp").alias("x"))
+    often_w, often_g = frequent(counts, HEAD_WORDS), frequent(lengths, HEAD_GRAMS)
+    common_w, common_g = counts.where(often_w), lengths.where(often_g)
+    rare_w = words.join(F.broadcast(common_w.select("w")), "w", "left_anti").join(counts.where(~often_w).hint("shuffle_hash"), "w").select("chunk", "w", F.col("n").cast("double").alias("x"))
+    rare_g = grams_.join(F.broadcast(common_g.select("g")), "g", "left_anti").join(lengths.where(~often_g).hint("shuffle_hash"), "g").select("chunk", "g", F.col("logp").alias("x"))
     answers = stored(rare_w.unionByName(rare_g, allowMissingColumns=True))
 
-    head_w, head_g = common_w.select("w", "n").toPandas(), common_g.select("g", "logp").toPandas()
-    few = (uuid.uuid4().hex, [bytes(w) for w in head_w["w"]], head_w["n"].to_numpy(), head_g["g"].to_numpy(np.int64), head_g["logp"].to_numpy(float))
-    del head_w, head_g
-    head = docs.sparkSession.sparkContext.broadcast(few)
-    del few
+    head = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, packed(common_w.select("w", "n")), packed(common_g.select("g", "logp"))))
 
     def judge(key: tuple[pa.Scalar, ...], part: pa.Table, answer: pa.Table) -> pa.Table:
         often, table_ = lookups(head.value)
@@ -222,8 +228,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def frequent(counted: DataFrame, most: int) -> DataFrame:
-    """The rows above a count that `most` of them pass at most; equal counts stay together.
+def frequent(counted: DataFrame, most: int) -> Column:
+    """Whether a row is above a count that `most` of them pass at most; equal counts stay together.
 
     The count is found from a histogram over eighths of powers of two.
     """
@@ -234,7 +240,7 @@ def frequent(counted: DataFrame, most: int) -> DataFrame:
         if total > most:
             break
         least = row["s"]
-    return counted.where(step >= F.lit(least)) if least is not None else counted.limit(0)
+    return step >= F.lit(least) if least is not None else F.lit(False)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -141,18 +141,19 @@ def _contents(window: int, gram: int):
 
 def earlier_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(_d, _t, spans): the word spans [start, end) that windows held by a smaller id cover."""
-    rows = doc_key(docs, id_col, text_col).select("_d", "_t", raw(text_col).alias("t"))
+    rows = doc_key(docs.select(id_col, text_col), id_col, text_col).select("_d", "_t", raw(text_col).alias("t"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hs = [np.unique(runs(t.as_py().split(), window, gram)[0]) for t in b.column("t")]
             sizes = [len(x) for x in hs]
-            yield pa.record_batch([b.column("_d").take(pa.array(np.repeat(np.arange(len(hs)), sizes))), pa.array(np.concatenate([np.empty(0, np.int64), *hs]))], ["_d", "h"])
+            at = pa.array(np.repeat(np.arange(len(hs)), sizes))
+            yield pa.record_batch([b.column("_d").take(at), b.column("_t").take(at), pa.array(np.concatenate([np.empty(0, np.int64), *hs]))], ["_d", "_t", "h"])
 
-    anchored = stored(rows.select("_d", "t").mapInArrow(anchors, "_d long, h long"))
+    anchored = stored(rows.mapInArrow(anchors, "_d long, _t long, h long"))
     shared = anchored.groupBy("h").agg(F.min("_d").alias("lo"), F.max("_d").alias("hi")).where("lo < hi").select("h")
-    wanted = anchored.join(shared, "h").groupBy("_d").agg(F.collect_set("h").alias("hs"))
-    held = rows.join(wanted, "_d").select("_d", "_t", "t", "hs").mapInArrow(_contents(window, gram), f"_d long, _t long, runs {_RUN}")
+    wanted = anchored.join(shared, "h").groupBy("_d", "_t").agg(F.collect_set("h").alias("hs"))
+    held = rows.join(wanted, ["_d", "_t"]).select("_d", "_t", "t", "hs").mapInArrow(_contents(window, gram), f"_d long, _t long, runs {_RUN}")
     members = stored(held.select("_d", "_t", F.inline("runs")).withColumn("k", F.md5("content")))
 
     classes = stored(members.groupBy("h", "k").agg(F.min("_d").alias("low"), F.first("content").alias("content")))
@@ -199,10 +200,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_words, n_removed, kept) of every row; `kept` has the words left, joined by one space.
 
     Windows are judged on the input. Null and empty texts have no words. Rows with equal ids
-    don't remove each other's words; a null id counts as larger than all others.
+    don't remove each other's words; a null id counts as larger than all others. An empty table
+    gives no row. No other column is looked at.
     """
     spans = earlier_passages(docs, id_col, text_col, window, gram)
-    rows = doc_key(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), "_d", "_t", raw(text_col).alias("t"))
+    rows = doc_key(docs.select(id_col, text_col), id_col, text_col).select(F.col(id_col).cast("long").alias("id"), "_d", "_t", raw(text_col).alias("t"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,6 +8,7 @@ train the weights; afterwards the sentences with a high p are the places of offe
 from __future__ import annotations
 
 import re
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -18,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrain.llm.common import id_crc
+from quillgrain.llm.common import id_crc, stored
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 EDGE = "\"'()[]{}<>,;:|#*$%&-_“”‘’«»…/\\"
-#: Bounds of the labelled sample that the classifier is fitted on: documents of each label.
-SAMPLE = 3000
+#: Bounds of the labelled sample that the classifier is fitted on: documents and bytes of each label.
+SAMPLE, SAMPLE_BYTES = 3000, 24 << 20
 
 
 @dataclass
@@ -94,19 +95,27 @@ def fit(texts: list[str], labels: np.ndarray, least: int = 8, rounds: int = 100,
     return Model(float(b), {x: float(w[i]) for x, i in number.items() if w[i]})
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", per_label: int = SAMPLE, folds: int = 5) -> tuple[list[str], np.ndarray]:
-    """At most `per_label` whole texts of each label, by a hash of the id, none of them held out.
+def sample(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", per_label: int = SAMPLE, per_bytes: int = SAMPLE_BYTES, folds: int = 5
+) -> tuple[list[str], np.ndarray]:
+    """At most `per_label` whole texts and `per_bytes` bytes of each label, by a hash of the id, none of them held out.
 
     Only ids are ordered; the chosen ones, 2 * per_label at most, are joined to the texts by
-    broadcast. A document that is labelled both ways counts as toxic; null labels are left out.
+    broadcast, and texts come to the driver only after their sizes have been added up. A document
+    that is labelled both ways counts as toxic; null labels are left out. Of several texts under
+    one id the least is taken, so the sample is the same at every run.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (id_crc(id_col) % folds != 0))
     chosen = chosen.groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("_y"))
     parts = [chosen.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_label) for y in (0, 1)]
     few = parts[0].unionByName(parts[1]).select(F.col(id_col).alias("_i"), "_y")
     rows = docs.select(F.col(id_col).alias("_i"), F.coalesce("text", F.lit("")).alias("_x")).join(F.broadcast(few), "_i")
-    got = rows.dropDuplicates(["_i"]).select("_i", "_x", "_y").toPandas().sort_values("_i")
-    return got["_x"].tolist(), got["_y"].to_numpy()
+    texts = stored(rows.groupBy("_i", "_y").agg(F.min("_x").alias("_x")))
+    sizes = texts.select("_i", "_y", F.xxhash64("_i").alias("_h"), F.octet_length("_x").alias("_n")).toPandas().sort_values(["_h", "_i"])
+    fit_in = sizes[sizes.groupby("_y")["_n"].cumsum() <= per_bytes]
+    got = texts.where(F.col("_i").isin(fit_in["_i"].tolist())) if len(fit_in) < len(sizes) else texts
+    got = got.toArrow().sort_by("_i")
+    return got["_x"].to_pylist(), got["_y"].to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
@@ -118,25 +127,28 @@ def train(docs: DataFrame, labels: DataFrame, **options) -> Model:
 
 
 class Scorer:
-    """Scores texts; remembers the weights of raw words, for a bounded number of them."""
+    """Scores texts; remembers the weighty features of raw words, for a bounded number of them."""
 
     def __init__(self, model: Model, room: int = 200_000):
         self.model, self.room, self.seen = model, room, {}
 
-    def weight(self, word: str) -> float:
+    def weighty(self, word: str) -> tuple[str, ...]:
         if len(self.seen) >= self.room:
             self.seen.clear()
-        weights = self.model.weights
-        return self.seen.setdefault(word, sum(weights.get(f, 0.0) for f in features(word.strip(EDGE))))
+        return self.seen.setdefault(word, tuple(f for f in features(word.strip(EDGE)) if f in self.model.weights))
 
     def __call__(self, text: str) -> tuple[float, list[dict]]:
-        seen, weight, bias = self.seen, self.weight, self.model.bias
+        seen, weighty, weights, bias = self.seen, self.weighty, self.model.weights, self.model.bias
         places, z = [], []
         for s in SENTENCE.finditer(text.lower()):
-            total = bias
-            for word in dict.fromkeys(s.group().split()):
-                w = seen.get(word)
-                total += weight(word) if w is None else w
+            own: set[str] = set()  # as in training, each feature of a sentence counts once
+            for word in set(s.group().split()):
+                f = seen.get(word)
+                if f is None:
+                    f = weighty(word)
+                if f:
+                    own.update(f)
+            total = bias + sum([weights[f] for f in sorted(own)])
             z.append(total)
             if total > 0:
                 places.append({"start": s.start(), "end": s.end(), "p": 1 / (1 + np.exp(-total))})
@@ -145,24 +157,26 @@ class Scorer:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows with `score` and `offences`, the character spans and p of offending sentences.
+    """The rows with `score` and `offences` (added or replaced), the character spans and p of offending sentences.
 
-    Null, empty and wordless texts are one empty sentence. Lower-casing keeps the length of all but
-    a few letters, so spans are those of the lower-cased text.
+    Null, empty and wordless texts are one empty sentence; repeated rows and null ids are scored each
+    for itself; an empty table stays empty. All other columns stay, whatever their names. Lower-casing
+    keeps the length of all but a few letters, so spans are those of the lower-cased text.
     """
+    x = f"x_{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Scorer(model)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for b in batches:
-            found = [one(t.as_py() or "") for t in b.column("_x")]
-            rest = b.drop_columns(["_x"])
+            found = [one(t.as_py() or "") for t in b.column(x)]
+            rest = b.drop_columns([x])
             cols = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], kind)]
             yield pa.record_batch([*rest.columns, *cols], [*rest.schema.names, "score", "offences"])
 
     rest = docs.drop("score", "offences")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "score double, offences array<struct<start:int,end:int,p:double>>"])
-    return rest.withColumn("_x", F.col(text_col)).mapInArrow(run, schema)
+    return rest.withColumn(x, F.col(text_col)).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -311,6 +311,51 @@ def test_base_scores_match_brute_force(spark, docs, monkeypatch, heads):
         assert r.score < 0
 
 
+class PlainModel:
+    """PPM with escapes by method D, single counting below the longest context and full exclusion, by dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order, longest = order, {}
+        for t in texts:
+            s = b"\xff" * order + t + b"\xfe"
+            for i in range(order, len(s)):
+                longest[s[i - order : i + 1]] = longest.get(s[i - order : i + 1], 0) + 1
+        levels = [longest]
+        for _ in range(order):
+            shorter = {}
+            for g in levels[-1]:
+                shorter[g[1:]] = shorter.get(g[1:], 0) + 1
+            levels.append(shorter)
+        self.after = {}
+        for level in levels:
+            for g, n in level.items():
+                self.after.setdefault(g[:-1], {})[g[-1]] = n
+
+    def p(self, context, symbol, excluded=frozenset()):
+        here = {x: n for x, n in self.after.get(context, {}).items() if x not in excluded}
+        total, shown = sum(here.values()), excluded | set(here)
+        if symbol in here:
+            return (here[symbol] - 0.5) / total
+        lower = self.p(context[1:], symbol, shown) if context else 1 / (256 - len(shown))
+        return len(here) / 2 / total * lower if total else lower
+
+    def score(self, text):
+        s = b"\xff" * self.order + text + b"\xfe"
+        return sum(np.log10(self.p(s[i - self.order : i], s[i])) for i in range(self.order, len(s)))
+
+
+@pytest.mark.parametrize("heads", [(1 << 17, 1 << 19), (20, 50)])
+def test_model_scores_match_a_plain_model(spark, docs, monkeypatch, heads):
+    monkeypatch.setattr(ppm, "HEAD_WORDS", heads[0])
+    monkeypatch.setattr(ppm, "HEAD_GRAMS", heads[1])
+    texts = [*ODD, *(" ".join(words(40, s, 60)) for s in range(12)), "Abracadabra ABBA", "never seen: Ünïcode"]
+    held = [i % 4 == 1 for i in range(len(texts))]
+    got = {r.id: r.score for r in ppm.score(docs(texts), F.col("doc_id") % 4 == 1, chunk_bytes=2000).collect()}
+    low = [(t or "").encode().lower() for t in texts]
+    model = PlainModel([t for t, h in zip(low, held) if not h], ppm.ORDER)
+    assert [got[i] for i in range(len(texts))] == pytest.approx([model.score(t) for t in low], rel=1e-9)
+
+
 # ---- toxicity
 
 def test_toxic_sentences_are_found(spark, docs):
