@@ -32,7 +32,7 @@ PATTERNS = {
     "daydate": _EDGE + r"[0-9]{2}[./][0-9]{2}[./][0-9]{4}" + _END,
     "ssn": _EDGE + r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}" + _END,
     "phone10": r"(?<![\p{L}\p{N}])\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}" + _END,
-    "number": _EDGE + r"[0-9](?:[ \-]?[0-9]){11,18}" + _END,
+    "number": _EDGE + r"(?:[0-9]{12,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})" + _END,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrain.llm.common import components, cut, raw
+from quillgrain.llm.common import components, cut, doc_key, raw, shared, stored
 
 SEED = 42
 
@@ -122,6 +122,119 @@ def near_duplicates(fps: DataFrame, limit: int = 2) -> DataFrame:
     return fps.join(named.join(lows, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
+#: Near copies: sixteen segments of 24 bits; SAME bits of 384 differ at most, which is a shingle similarity of about 0.8.
+SEGMENTS, BITS, SAME = 16, 24, 60
+#: For a byte the eight bits, first the highest, as eight one-byte counters in a 64-bit word.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+_MIXERS = np.random.default_rng(SEED).integers(0, 2**64, SEGMENTS * BITS // 64, dtype=np.uint64) | np.uint64(1)
+
+
+def wide_fingerprint(text: bytes, width: int) -> bytes:
+    """SimHash of 384 bits of the word shingles of a lower-cased text; no word gives zeros."""
+    words = text.lower().split()
+    if not words:
+        return bytes(8 * len(_MIXERS))
+    h = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), np.uint64)
+    width = min(width, len(words))
+    shingle = np.zeros(len(h) - width + 1, np.uint64)
+    for i in range(width):
+        shingle = (shingle * np.uint64(0x9E3779B97F4A7C15)) ^ h[i : len(shingle) + i]
+        shingle ^= shingle >> np.uint64(31)
+    ones = np.zeros(64 * len(_MIXERS), np.int64)
+    for at in range(0, len(shingle), 255):  # one-byte counters hold 255 shingles
+        mixed = shingle[at : at + 255, None] * _MIXERS
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.add.reduce(_LANES[mixed.view(np.uint8)], axis=0).view(np.uint8)
+    return np.packbits(ones * 2 > len(shingle)).tobytes()
+
+
+def wild_keys(prints: np.ndarray) -> np.ndarray:
+    """For each fingerprint (48 bytes) the keys of its segments with one bit wild, all numbered apart."""
+    parts = prints.reshape(len(prints), SEGMENTS, BITS // 8).astype(np.int64)
+    segment = (parts[:, :, 0] << 16) | (parts[:, :, 1] << 8) | parts[:, :, 2]
+    wild = np.arange(BITS)
+    number = np.arange(SEGMENTS)[:, None] * BITS + wild
+    return ((segment[:, :, None] & ~(1 << wild)) | (number << BITS)).reshape(len(prints), -1)
+
+
+def nearest_links(same: int = SAME, room: int = 4096):
+    """A task over (key, id, fp) rows by key: (key, u, v) links a fingerprint to the nearest before it, if it is near enough.
+
+    A bucket is streamed. From one batch to the next go only its leaders, which had nothing near
+    before them. When `room` of them are held, further ones are given back as (key, id, null): they
+    have been compared with all leaders and meet each other in the next round.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, ids, prints = None, np.empty(0, np.int64), np.empty((0, len(_MIXERS)), np.uint64)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            key, own = pdf["key"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)
+            fp = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            us, vs, over = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
+                if key[s] != last:
+                    ids, prints = ids[:0], prints[:0]
+                last, lead = key[s], len(ids)
+                every, block = np.concatenate([ids, own[s:e]]), np.concatenate([prints, fp[s:e]])
+                far = np.zeros((e - s, len(every)), np.uint16)
+                for word in range(block.shape[1]):
+                    far += np.bitwise_count(fp[s:e, None, word] ^ block[None, :, word])
+                far[np.arange(len(every))[None, :] >= np.arange(lead, len(every))[:, None]] = 1000
+                at = far.argmin(axis=1)
+                near = far[np.arange(e - s), at] <= same
+                us.append(own[s:e][near])
+                vs.append(every[at[near]])
+                lone = s + np.flatnonzero(~near)
+                ids, prints = np.concatenate([ids, own[lone[: room - lead]]]), np.concatenate([prints, fp[lone[: room - lead]]])
+                over += [(last, x) for x in own[lone[max(0, room - lead) :]].tolist()]
+            u, v = np.concatenate(us), np.concatenate(vs)
+            yield pd.DataFrame({"key": pd.array([pd.NA] * len(u) + [k for k, _ in over], "Int64"), "u": np.r_[u, np.array([x for _, x in over], np.int64)], "v": pd.array([*v.tolist(), *[pd.NA] * len(over)], "Int64")})
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, same: int = SAME) -> DataFrame:
+    """(_d, _t, root): the identity of every document with the number of its group of near copies.
+
+    Fingerprints of word shingles are linked where `same` bits or fewer differ, as estimates of a
+    similarity of 0.8; they are found through segments with one wild bit, and groups are connected
+    components. Wordless texts have fingerprint zero and are copies of each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = pa.array([wide_fingerprint(t.as_py(), width) for t in b.column("t")], pa.binary())
+            yield pa.record_batch([b.column("_d"), b.column("_t"), fp], ["_d", "_t", "fp"])
+
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 500) for i in range(0, len(b), 500)):
+                keys = wild_keys(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(len(part), -1))
+                yield pa.record_batch([pa.array(keys.ravel()), part.column("id").take(pa.array(np.repeat(np.arange(len(part)), keys.shape[1])))], ["key", "id"])
+
+    rows = doc_key(docs.select(id_col, text_col), id_col, text_col).select("_d", "_t", raw(text_col).alias("t"))
+    prints = stored(rows.mapInArrow(run, "_d long, _t long, fp binary").withColumn("id", F.xxhash64("fp")))
+    nodes = stored(prints.select("id", "fp").dropDuplicates(["id"]))
+    dealt = nodes.mapInArrow(variants, "key long, id long")
+    dealt = stored(dealt.repartition("key").sortWithinPartitions("key").mapInPandas(shared, "key long, id long"))
+    links = None
+    while True:
+        ordered = dealt.join(nodes, "id").repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp")
+        found = stored(ordered.mapInPandas(nearest_links(same), "key long, u long, v long"))
+        passed = found.where("v is not null").select("u", "v").distinct()
+        links = passed if links is None else links.unionByName(passed)
+        dealt = found.where("key is not null").select("key", F.col("u").alias("id"))
+        if dealt.isEmpty():
+            break
+    roots = components(links).withColumnRenamed("node", "id")
+    return prints.select("_d", "_t", "id").join(roots, "id", "left").select("_d", "_t", F.coalesce("root", "id").alias("root"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op10: fingerprint and component of every document."""
     from quillgrain.llm.common import table

@@ -1,6 +1,8 @@
 """The corpus operators against brute force, round trips and planted cases."""
 
+import itertools
 import random
+import time
 import zlib
 from datetime import date
 
@@ -11,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillgrain.llm import best_fit, line_dedup, mtree, pieces, pii, ppm, quality_rules, simhash_dedup, substring_dedup, toxicity
-from quillgrain.llm.common import components, table
+from quillgrain.llm.common import components, shared, table
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", "   ", "\n\n", "one", "word " * 3000, "same text here", "same text here", "é ñ 你好 🙂\tx"]
@@ -73,6 +75,37 @@ def test_dense_bucket_gives_a_forest():
     assert sum(len(a) for a, _ in simhash_dedup.spanning(f, 2)) == 49
 
 
+def similarity(a, b, n=5):
+    x, y = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_are_grouped(spark, docs):
+    r, texts, group = random.Random(5), [], []
+    for s in range(40):
+        base = words(r.choice([60, 150, 400]), 700 + s, 10**6)
+        for k in range(4):
+            w = list(base)
+            for _ in range(len(w) // 90 * (k > 0)):
+                w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+            group.append(s)
+    found = {x._d: x.root for x in simhash_dedup.near_copies(docs(texts)).collect()}
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(texts[i].split(), texts[j].split()) >= 0.8]
+    assert sum(found[i] == found[j] for i, j in alike) >= 0.9 * len(alike) > 100
+    assert all(group[i] == group[j] for i in found for j in found if found[i] == found[j])
+
+
+def test_nearest_links_of_a_streamed_bucket():
+    fp = np.array([[2**i - 1] + [0] * 5 for i in (0, 1, 2, 60, 61)], np.uint64)
+    rows = pd.DataFrame({"key": 7, "id": np.arange(5), "fp": [x.tobytes() for x in fp]})
+    for size in (1, 2, 5):
+        got = pd.concat(simhash_dedup.nearest_links(5)(rows[i : i + size] for i in range(0, 5, size)))
+        assert {(u, v) for u, v in zip(got.u, got.v, strict=True)} in ({(1, 0), (2, 1), (4, 3)}, {(1, 0), (2, 0), (4, 3)})
+    got = pd.concat(simhash_dedup.nearest_links(5, 1)(rows[i : i + 1] for i in range(5)))
+    assert got.u[got.v.isna()].tolist() == [3, 4]
+
+
 # ---- passages
 
 def plain_kept(texts, n=50):
@@ -188,7 +221,7 @@ def test_offers_of_a_streamed_bucket(size, room):
 def test_only_shared_keys_go_on(size):
     key = np.repeat([1, 2, 3, 4, 5], [1, 2, 1, 3, 1])
     rows = pd.DataFrame({"key": key, "id": np.arange(len(key))})
-    got = pd.concat(line_dedup.shared(rows[i : i + size] for i in range(0, len(rows), size)))
+    got = pd.concat(shared(rows[i : i + size] for i in range(0, len(rows), size)))
     assert got["key"].tolist() == [2, 2, 4, 4, 4] and got["id"].tolist() == [1, 2, 4, 5, 6]
 
 
@@ -276,6 +309,24 @@ def test_plain_texts_stay(spark, docs):
     assert hide(spark, docs, ["4111111111111111"], "k") != hide(spark, docs, ["4111111111111111"], "other")
 
 
+def test_long_runs_neither_recurse_nor_stall(spark, docs):
+    texts = ["x@" + "a." * 20000, "a" * 10**6, "a." * 500_000, "7" * 10**6, "4 " * 500_000, "@" * 10**5, "GB82 " * 10**5, "." * 10**6 + "john@example.com"]
+    began = time.time()
+    out = hide(spark, docs, texts)
+    assert out[1:7] == texts[1:7] and out[7].endswith("@example.com") and "john" not in out[7]
+    assert time.time() - began < 60
+
+
+def test_only_valid_numbers_are_replaced(spark, docs):
+    keep = ["at 1700000000123 ms", "ISBN 978-0-306-40615-8", "4111 1111 1111 1112", "1234567890123"]
+    assert hide(spark, docs, keep) == keep
+    out = hide(spark, docs, ["card 4111111111111111 27 times", "5500-0000-0000-0004", "-john.d@example.com.", "john.d@example.com"])
+    card = out[0].split()[1]
+    assert luhn_ok(card) and card != "4111111111111111" and out[0].endswith(" 27 times")
+    assert luhn_ok(out[1].replace("-", "")) and out[1][4] == "-" and out[1] != "5500-0000-0000-0004"
+    assert out[2] == f"-{out[3]}." and out[3].endswith("@example.com") and "john" not in out[3]
+
+
 # ---- language model
 
 def test_code_lengths_are_probabilities(spark):
@@ -374,6 +425,14 @@ def test_toxic_sentences_are_found(spark, docs):
     assert held and all((got[i].score >= 0.5) == (i % 4 == 0) for i in held)
     span = got[0].offences[0]
     assert "idiot" in texts[0][span.start : span.end]
+    again, y = toxicity.sample(d, spark.createDataFrame(labels, "doc_id long, toxic int"), per_bytes=2000)
+    assert 0 < sum(len(t) for t, b in zip(again, y) if b) <= 2000 and y.any() and not y.all()
+
+
+def test_a_feature_of_a_sentence_counts_once():
+    one = toxicity.Scorer(toxicity.Model(-3.0, {"kill*": 2.0}))
+    assert one("kills")[0] == one("kills killer")[0] == one('kills kills, "kills"')[0] == pytest.approx(1 / (1 + np.exp(1)))
+    assert one("kills. killer")[0] == pytest.approx(1 - (1 - 1 / (1 + np.exp(1))) ** 2)
 
 
 def test_scores_of_odd_texts_and_without_labels(spark, docs):
@@ -411,6 +470,42 @@ def test_packing_is_whole_and_within_capacity(spark, docs):
         assert [o for o, n in own if n] == np.r_[0, np.cumsum([n for _, n in own if n])][:-1].astype(int).tolist()
 
 
+def cost(sizes, plan, caps, overhead):
+    return sum(next(c for c in caps if c >= used) + overhead for used in plan)
+
+
+def test_lengths_are_chosen_jointly():
+    r, caps, overhead = np.random.default_rng(3), (8, 16, 32), 2
+    mixed = 0
+    for _ in range(60):
+        sizes = np.sort(r.integers(1, 33, 6))[::-1]
+        got = best_fit.pack_shard(sizes, caps, overhead)
+        used = got.groupby("bin")["length"].sum().tolist()
+        ours = cost(sizes, used, caps, overhead)
+        single = [cost(sizes, best_fit.plan(sizes, o, caps, overhead)[1], caps, overhead) for o in caps]
+        best = min(
+            cost(sizes, [sum(s for s, b in zip(sizes, where) if b == k) for k in set(where)], caps, overhead)
+            for where in itertools.product(range(6), repeat=6)
+            if all(sum(s for s, b in zip(sizes, where) if b == k) <= caps[-1] for k in set(where)) and where[0] == 0
+        ) if _ < 5 else None
+        assert ours <= min(single) and (best is None or best <= ours <= 1.25 * best)
+        mixed += ours < min(single)
+    assert mixed  # opening each bin at its own length does better than any one length
+
+
+def test_opening_length_is_the_cheapest_for_what_comes():
+    bins, used, _ = best_fit.plan(np.array([9, 7, 5, 1]), None, (8, 16), 2)
+    assert used == [16, 6]  # 9 opens 16 and takes 7 with it; 5 opens 8
+    coming = best_fit.Remaining(np.array([9, 7, 7, 5, 1, 0]))
+    assert coming.fill(16) == 16 and coming.fill(14) == 14 and coming.fill(6) == 6 and coming.fill(0) == 0
+
+
+def test_repeated_rows_are_dealt_to_many_shards(spark):
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(100).alias("n"))
+    out = best_fit.pack(df, "n", shard_docs=500)
+    assert out.count() == 5000 and out.select((F.col("bin_id") / 2**31).cast("int")).distinct().count() > 3
+
+
 # ---- quality
 
 def test_counts_of_one_text():
@@ -460,9 +555,40 @@ def test_empty_tables(spark, docs):
 
 
 def test_clashing_columns(spark, docs):
-    d = docs(["a b c", "a b c"]).withColumns({"score": F.lit("x"), "ids": F.lit(1), "n_pii": F.lit("y"), "h": F.lit(2)})
+    names = ["score", "ids", "n_pii", "h", "drop", "gone", "_d", "_t", "_x", "_m", "id", "key", "root", "size", "shard", "t", "lines"]
+    d = docs(["a b c", "a b c"]).withColumns({n: F.lit("x") for n in names})
     assert toxicity.score(d, toxicity.Model(-5.0, {})).count() == 2
-    assert pieces.encode(d).count() == 2 and pii.pseudonymise(d, "k").count() == 2 and line_dedup.drop_lines(d).count() == 2
+    for out, changed in ((pieces.encode(d), {"ids"}), (pii.pseudonymise(d, "k"), {"n_pii"}), (line_dedup.drop_lines(d), {"text"})):
+        rows = out.collect()
+        assert len(rows) == 2 and all(r[n] == "x" for r in rows for n in names if n not in changed)
+    assert substring_dedup.remove_repeats(d).count() == simhash_dedup.near_copies(d).count() == quality_rules.line_frequency(d).count() == 2
+    assert simhash_dedup.near_duplicates(simhash_dedup.fingerprints(d)).count() == ppm.score(d, F.col("doc_id") == 1).count() == 2
+    assert best_fit.pack(d.withColumn("n", F.lit(3)), "n").count() == 2
+
+
+@pytest.fixture(scope="module")
+def hard(docs):
+    """Null ids, repeated rows, one id with two texts, no text, and a text of a megabyte in one line and in many."""
+    long = " ".join(words(150_000, 3))
+    return docs([(None, "a b c\nd e"), (None, "a b c\nd e"), (None, None), (1, "same row"), (1, "same row"), (1, "another text"), (2, ""), (3, long), (4, long.replace(" ", "\n", 60_000)), (5, None)])
+
+
+def test_hard_rows(spark, hard):
+    n = hard.count()
+    v = [r.score for r in toxicity.score(hard, toxicity.Model(-5.0, {"same": 9.0})).where("doc_id = 1").orderBy("text").collect()]
+    assert v[0] < 0.5 < v[1] == v[2]
+    lines = line_dedup.drop_lines(hard).collect()
+    assert len(lines) == n and [r.text for r in lines if r.doc_id == 1 and r.text != "another text"] == ["same row"] * 2
+    assert pii.pseudonymise(hard, "k").count() == n
+    assert ppm.score(hard, F.col("doc_id") == 1).count() == n
+    assert [r.decoded for r in pieces.decode(pieces.encode(hard.where("doc_id = 1"))).collect()].count("same row") == 2
+    assert best_fit.pack(hard.withColumn("n", best_fit.n_words()), "n").agg(F.sum("length")).first()[0] == hard.agg(F.sum(best_fit.n_words())).first()[0]
+    passages = {(r.id, r.n_words): r.n_removed for r in substring_dedup.remove_repeats(hard).collect()}
+    assert passages[3, 150_000] == 0 and passages[4, 150_000] == 150_000 and passages[None, 5] == 0
+    rules = quality_rules.line_frequency(hard).collect()
+    assert len(rules) == n and sum(r.n_words == 0 and r.depleted for r in rules) == 3
+    near = simhash_dedup.near_duplicates(simhash_dedup.fingerprints(hard))
+    assert near.count() == n and {r.component for r in near.where("fp = 0").collect()} == {2}
 
 
 # ---- the pipeline
@@ -476,3 +602,19 @@ def test_pipeline_stages(spark):
             assert out.columns == docs.columns, name
             docs = out.cache()
     assert out.select("doc_id").distinct().count() == docs.count()
+
+
+def test_stages_on_hard_rows_and_empty_tables(spark, hard, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = hard.withColumns({"_d": F.lit(1), "t": F.lit(2), "score": F.lit(3)})
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (extra, extra.limit(0)):
+            out = stage(spark, docs, str(tmp_path))
+            rows = out.count()
+            assert rows <= docs.count() + 300 and (docs is extra) == (rows > 0), name
+            if name != "best_fit":
+                assert out.columns == docs.columns
+            if name == "simhash_dedup" and rows:
+                # the wordless ones are copies, and 3 and 4 hold the same words
+                assert sorted(r.doc_id or 0 for r in out.select("doc_id").collect()) == [0, 1, 1, 2, 3]
