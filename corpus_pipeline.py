@@ -6,11 +6,13 @@ documents; the last returns the pieces of the packed sequences.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrain.llm import best_fit, line_dedup, pii, simhash_dedup, toxicity
-from quillgrain.llm.common import stored, table
+from quillgrain.llm.common import doc_key, stored, table
 
 
 def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -32,10 +34,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    groups = simhash_dedup.near_duplicates(simhash_dedup.fingerprints(docs))
-    kept = groups.where("id = component or component is null").select(F.col("id").alias("_i")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_i"))).select(*docs.columns)
+    """Of each group of near copies one row stays, that of the smallest id (null last), then of the least text hash."""
+    d, t = (f"{x}_{uuid.uuid4().hex}" for x in "dt")
+    groups = simhash_dedup.near_copies(docs)
+    kept = groups.groupBy("root").agg(F.min(F.struct("_d", "_t")).alias("k")).select(F.col("k._d").alias(d), F.col("k._t").alias(t))
+    # rows equal in id and text are one document; they lie together after the join
+    rows = doc_key(docs, d=d, t=t).join(kept.hint("shuffle_hash"), [d, t], "left_semi")
+    return rows.dropDuplicates([d, t]).select(*docs.columns)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
