@@ -12,6 +12,7 @@ scores is relaxed as usual. Characters without a piece fall back to byte pieces.
 
 from __future__ import annotations
 
+import uuid
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -292,17 +293,18 @@ class Decoder:
 
 
 def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """The rows with the ids of `text_col`; null and empty texts have no ids.
+    """The rows with the ids of `text_col` (added or replaced); null and empty texts have no ids.
 
-    The space mark U+2581 in a text is a space. The vocabulary travels with the task's code; its
+    Repeated rows and null ids are encoded each for itself; an empty table stays empty. All other
+    columns stay, whatever their names. The space mark U+2581 in a text is a space. The vocabulary travels with the task's code; its
     size is that of the file and doesn't depend on the data.
     """
-    vocabulary = Vocabulary.load(model)
+    vocabulary, x = Vocabulary.load(model), f"x_{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(vocabulary)
         for b in batches:
-            rest, texts = b.drop_columns(["_x"]), b.column("_x")
+            rest, texts = b.drop_columns([x]), b.column(x)
             for at in range(0, len(texts), 1000):  # ids take more room than the text
                 ids, count = one.encode([t.as_py() for t in texts[at : at + 1000]])
                 col = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(ids))
@@ -310,7 +312,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
 
     rest = docs.drop(ids_col)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), f"`{ids_col}` array<int>"])
-    return rest.withColumn("_x", raw(text_col)).mapInArrow(run, schema)
+    return rest.withColumn(x, raw(text_col)).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
