@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import operator
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Word lists, patterns and limits that the results depend on.
 STOPWORDS = (
@@ -22,6 +30,7 @@ SALIENCE_MARKERS = [
     "deadline", "decided", "decision", "prefer", "always", "never", "important", "remember", "budget", "name is",
     "birthday", "project", "launch", "wrong", "correct", "instead", "moved", "cancel", "promise",
 ]
+PHRASE_TOKEN = re.compile(r"[a-z0-9'-]{3,}")
 GIST, EXCERPT, OBSERVATION, OBSERVATION_HEAD, EPISODE, CELL = 240, 600, 4000, 1200, 1200, 2000
 
 
@@ -29,6 +38,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f mentions it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def words_list(words: list[str]) -> Column:
     """An array of fixed words."""
     return F.array(*[F.lit(w) for w in words])
@@ -74,6 +88,38 @@ def phrase_tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit("[a-z0-9'-]{3,}"), F.lit(0))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def ranked_phrases(texts: pd.Series, stop: pd.Series) -> pd.Series:
+    """The 24 best words (weight 1) and pairs of neighbours (1.5) without stop words: by weight, then pairs first, then by letters."""
+
+    def one(text: str | None, stop: set[str]) -> list[str]:
+        words = PHRASE_TOKEN.findall((text or "").lower())
+        fit = [w not in stop for w in words]
+        weight = Counter({w: float(n) for w, n in Counter(itertools.compress(words, fit)).items()})
+        for pair, n in Counter(zip(itertools.compress(words, map(operator.and_, fit, fit[1:])), itertools.compress(words[1:], map(operator.and_, fit, fit[1:])), strict=True)).items():
+            weight[" ".join(pair)] = 1.5 * n
+        return heapq.nsmallest(24, weight, key=lambda p: (-weight[p], " " not in p, p))
+
+    known = set(stop.iloc[0]) if len(stop) else set()
+    return texts.map(lambda t: one(t, known))
+
+
+def key_phrases(text: Column | str, names: Column, limit: int = 12) -> Column:
+    """Quoted spans, then names, then the best words and pairs; each once whatever its case, `limit` in all.
+
+    At most `limit` - 1 ranked phrases can be spoken for already, so 24 of them are enough.
+    """
+    t = F.coalesce(_col(text), F.lit(""))
+    quoted = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r'(?d)["“](.{3,100}?)[”"]'), F.lit(1)), squeeze), lambda q: q != "")
+    ranked = ranked_phrases(t, words_list(STOPWORDS))
+
+    def once(every: Column) -> Column:
+        return bind(F.transform(every, F.lower), lambda low: F.filter(every, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+
+    first = bind(F.concat(quoted, F.coalesce(names, F.array().cast("array<string>"))), lambda x: F.slice(once(x), 1, limit))
+    return F.slice(bind(F.concat(first, ranked), once), 1, limit)
+
+
 def query_terms(text: Column | str, limit: int = 16) -> Column:
     """Distinct tokens of a query without stop words, at most `limit`."""
     return F.slice(F.array_distinct(F.filter(phrase_tokens(text), lambda x: ~x.isin(STOPWORDS))), 1, limit)

@@ -52,14 +52,14 @@ def prepare(rows: DataFrame) -> DataFrame:
         "confidence": T.clamp(F.coalesce(has("confidence").cast("double"), F.lit(1.0))),
         "content": content,
         "gist": F.coalesce(F.nullif(T.squeeze(has("gist").cast("string")), F.lit("")), T.gist(content)),
-        "entities": T.entities("content"),
+        "entities": T.entities("content"), "key_phrases": T.key_phrases("content", T.entities("content")),
         "event_key": F.coalesce("event_key", F.lit("")),
     })
 
 
 def embedding_texts(rows: DataFrame) -> DataFrame:
     """The two texts of a row that are embedded; an empty cue falls back to the document."""
-    phrases = F.slice("entities", 1, 16)
+    phrases = F.col("key_phrases")
     doc = T.memory_document(F.col("kind"), F.col("turn_idx"), F.col("entities"), phrases, F.col("gist"), F.col("content"), F.col("provenance"), F.lit(""))
     cue = T.memory_cues(F.col("gist"), phrases, F.col("entities"), F.col("kind"))
     return rows.select("bank_id", "id", doc.alias("document"), F.coalesce(F.nullif(cue, F.lit("")), doc).alias("cue"))

@@ -60,11 +60,12 @@ def lexical_scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return terms.join(scored.select("bank_id", "token", "id", weight.alias("s")), ["bank_id", "token"]).groupBy("query_id", "id").agg(F.sum("s").alias("score"))
 
 
-def top(scores: DataFrame, n: int = LANE_TOP, ties: str = "asc") -> DataFrame:
-    """The n best rows of each query with their ranks."""
+def top(scores: DataFrame, n: int | None = LANE_TOP, ties: str = "asc") -> DataFrame:
+    """The n best rows of each query with their ranks; without n all that score."""
     order = F.asc("id") if ties == "asc" else F.desc("id")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), order)
-    return scores.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    ranked = scores.where("score > 0").withColumn("rank", F.row_number().over(w))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
 def visible_pairs(queries: DataFrame, rows: DataFrame, include_archived: bool = True) -> DataFrame:
@@ -95,10 +96,22 @@ def fuse(lanes: dict[str, DataFrame], weights: dict[str, float] | None = None) -
     return all_.groupBy("query_id", "id").agg(F.round(F.sum(share), 9).alias("fused"), F.array_sort(F.collect_set(F.when(F.col("rank") <= REASON_RANK, F.col("lane")))).alias("reasons"))
 
 
+def ranked_importance(rows: DataFrame, group: str) -> DataFrame:
+    """Importances respaced by their mid-rank inside the group's own 10th to 90th percentile."""
+    w = Window.partitionBy(group)
+    r = rows.withColumns({
+        "_k": F.rank().over(w.orderBy("importance")) - 1, "_c": F.count("*").over(Window.partitionBy(group, "importance")),
+        "_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy("importance", "id")) - 1,
+    })
+    pick = lambda q: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * q), F.col("importance"))).over(w)
+    r = r.withColumns({"_lo": pick(0.1), "_hi": pick(0.9)})
+    spread = F.col("_lo") + (2 * F.col("_k") + F.col("_c") - 1) / 2 / (F.col("_n") - 1) * (F.col("_hi") - F.col("_lo"))
+    flat = (F.col("_n") < 2) | (F.col("_hi") - F.col("_lo") <= 1e-9)
+    return r.withColumn("importance", F.when(flat, F.col("importance")).otherwise(spread)).drop("_k", "_c", "_n", "_i", "_lo", "_hi")
+
+
 def priors(pairs: DataFrame, fused: DataFrame) -> DataFrame:
     """All visible rows with their fused score and the scalar terms: importance, confidence, belief, exact hit, time."""
-    from quillgrain.plans.investigation import ranked_importance
-
     rows = ranked_importance(pairs, "query_id").join(fused, ["query_id", "id"], "left")
     exact = T.exact_cue_score(F.col("key_phrases"), F.col("entities"), F.col("query_text"))
     mode = T.temporal_mode("query_text")
@@ -172,7 +185,7 @@ def hybrid_search(queries: DataFrame, rows: DataFrame, k: int = LIMIT, facets: D
     """
     pairs = visible_pairs(queries, rows)
     lexical = lexical_scores(queries, rows).join(pairs.select("query_id", "id"), ["query_id", "id"], "left_semi")
-    lanes = {"lexical": top(lexical), "exact": top(exact_lane(pairs), 10**6)}
+    lanes = {"lexical": top(lexical), "exact": top(exact_lane(pairs), None)}
     if "query_vector" in queries.columns:
         lanes |= {"semantic": top(vector_lane(pairs, "vector"), ties="desc"), "cue": top(vector_lane(pairs, "cue_vector"), ties="desc")}
     if facets is not None:

@@ -124,11 +124,15 @@ def unstable(rows: DataFrame) -> DataFrame:
 
 
 def moved_anchor(rows: DataFrame) -> DataFrame:
-    """Pairs of experiments of a hypothesis that pinned different versions of one path."""
+    """Experiments that pin another version of a path than an earlier one of their hypothesis, with the earliest such.
+
+    A run meets the first run of each version only, not every run before it.
+    """
     pins = rows.select("hypothesis_id", "id", F.explode("precondition").alias("path", "sha"))
-    other = pins.select("hypothesis_id", "path", F.col("id").alias("earlier_id"), F.col("sha").alias("earlier_sha"))
+    first = pins.groupBy("hypothesis_id", "path", F.col("sha").alias("earlier_sha")).agg(F.min("id").alias("earlier_id"))
     n = F.least(F.length("sha"), F.length("earlier_sha"))
-    return pins.join(other, ["hypothesis_id", "path"]).where("earlier_id < id").where(F.substr("sha", F.lit(1), n) != F.substr("earlier_sha", F.lit(1), n))
+    moved = pins.join(first, ["hypothesis_id", "path"]).where("earlier_id < id").where(F.substr("sha", F.lit(1), n) != F.substr("earlier_sha", F.lit(1), n))
+    return moved.groupBy("hypothesis_id", "path", "id").agg(F.min("earlier_id").alias("earlier_id"))
 
 
 def event_log(rows: DataFrame, run: str, order: list[str]) -> DataFrame:

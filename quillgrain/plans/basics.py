@@ -40,30 +40,22 @@ def s03(spark, d):
     return n.groupBy("bank_id", "kind").agg((F.count("*") / 2).cast("long").alias("n_rows"), F.count("*").alias("n_vectors"))
 
 
-_ENT = S.distinct("regexp_extract_all(regexp_replace(t, '[^\\x00-\\x7F]', '_', 'g'), '\\b(?:[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){0,2})\\b')")
-_GIST = """case when length(sq) <= 240 then sq else coalesce(nullif(array_to_string(list_slice(parts, 1,
-    len(list_filter(range(1, len(parts) + 1), lambda i: length(array_to_string(list_slice(parts, 1, i), ' ')) <= 240))), ' '), ''),
-    regexp_replace(substr(sq, 1, 240), ' [^ ]*$', '')) end"""
-_PARTS = "string_split(regexp_replace(substr(sq, 1, 242), '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) as parts"
-
-
-@query("s04_prepare_rows", f"""with {S.CONV}, a as (select *, {S.squeeze('content')} as sq from conv), b as (select *, {_PARTS} from a)
-select bank_id, id, kind, provenance, {S.salience('content')} as salience, sq as content, {_GIST} as gist from b""")
+@query("s04_prepare_rows", f"""with {S.CONV}, a as (select *, {S.squeeze('content')} as sq from conv), b as (select *, {S.PARTS} from a)
+select bank_id, id, kind, provenance, {S.salience('content')} as salience, sq as content, {S.GIST} as gist from b""")
 def s04(spark, d):
     return K.prepare(A.conversation_rows(spark, d)).select("bank_id", "id", "kind", "provenance", "salience", "content", "gist")
 
 
-ORACLE_S05 = f"""with {S.CONV}, a as (select *, {S.squeeze('content')} as sq from conv), b as (select *, {_PARTS} from a),
-  c as (select *, {_GIST} as gist, content as t from b), e as (select *, list_filter({_ENT}, lambda x: x not in {tuple(T.BLOCKED_ENTITIES)})[1:12] as ents from c)
+ORACLE_S05 = f"""with {S.CONV}, a as (select *, {S.squeeze('content')} as sq from conv), b as (select *, {S.PARTS} from a),
+  c as (select *, {S.GIST} as gist, sq as t from b), d as (select *, {S.names()} as ents from c), {S.key_phrases("d", "id", "sq", "ents")}, e as (select d.*, phrases from d join kf on k = id)
 select bank_id, id, array_to_string(list_filter(['kind: ' || kind, 'turn: ' || turn_idx, 'people: ' || array_to_string(ents, ', '),
-   'key phrases: ' || array_to_string(ents, ', '), 'gist: ' || gist, 'details: ' || sq, 'source: ' || provenance], lambda x: not x.ends_with(': ')), chr(10)) as document,
-  array_to_string(list_filter([gist, array_to_string(ents, ', '), array_to_string(ents, ', '), kind], lambda x: x <> ''), chr(10)) as cue from e"""
+   'key phrases: ' || array_to_string(phrases, ', '), 'gist: ' || gist, 'details: ' || sq, 'source: ' || provenance], lambda x: not x.ends_with(': ')), chr(10)) as document,
+  array_to_string(list_filter([gist, array_to_string(phrases, ', '), array_to_string(ents, ', '), kind], lambda x: x <> ''), chr(10)) as cue from e"""
 
 
 @query("s05_embedding_texts", ORACLE_S05)
 def s05(spark, d):
-    rows = K.prepare(A.conversation_rows(spark, d).withColumn("raw", F.col("content")))
-    return K.embedding_texts(rows.withColumn("entities", T.entities("raw")))
+    return K.embedding_texts(K.prepare(A.conversation_rows(spark, d)))
 
 
 @query("t05_memory_document", f"select id, document from ({ORACLE_S05})")
@@ -128,12 +120,12 @@ def p01(spark, d):
     return seen.groupBy("query_id").agg(F.count("*").alias("n_visible"), F.min("id").alias("first_id"), F.max("turn_idx").alias("last_turn"))
 
 
-@query("p02_projection", f"""with {S.DOCM}, a as (select *, {S.squeeze('content')} as sq from docm), b as (select *, {_PARTS} from a)
+@query("p02_projection", f"""with {S.DOCM}, a as (select *, {S.squeeze('content')} as sq from docm), b as (select *, {S.PARTS} from a)
 select bank_id, event_key as memory_ref, case when turn_idx is null then 'at some earlier point' when 500 - turn_idx <= 1 then 'last turn' when 500 - turn_idx <= 4 then 'a few turns ago'
   when 500 - turn_idx <= 12 then 'about ' || (500 - turn_idx) || ' turns ago' else 'about ' || (500 - turn_idx) || ' turns ago, some while back' end as when_seen, kind,
-  case provenance when 'inferred' then 'what_i_concluded' else 'what_i_read' end as epistemic_origin, {_GIST} as gist, round(confidence, 3) as confidence from b where turn_idx < 500""")
+  case provenance when 'inferred' then 'what_i_concluded' else 'what_i_read' end as epistemic_origin, {S.GIST} as gist, round(confidence, 3) as confidence from b""")
 def p02(spark, d):
-    rows = A.document_rows(spark, d).where("turn_idx < 500").withColumn("gist", T.gist("content"))
+    rows = A.document_rows(spark, d).withColumn("gist", T.gist("content"))
     return K.project(rows, F.lit(500))
 
 
@@ -189,17 +181,17 @@ def t01(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.clamp(n).alias("v"))
 
 
-@query("t02_gist", f"with a as (select doc_id, {S.squeeze('text')} as sq from documents), b as (select *, {_PARTS} from a) select doc_id, {_GIST} as gist from b")
+@query("t02_gist", f"with a as (select doc_id, {S.squeeze('text')} as sq from documents), b as (select *, {S.PARTS} from a) select doc_id, {S.GIST} as gist from b")
 def t02(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.gist("text").alias("gist"))
 
 
-@query("t03_entities", f"with a as (select doc_id, text as t from documents) select doc_id, array_to_string(list_filter({_ENT}, lambda x: x not in {tuple(T.BLOCKED_ENTITIES)})[1:12], '|') as names from a")
+@query("t03_entities", f"with a as (select doc_id, text as t from documents) select doc_id, array_to_string({S.names()}, '|') as names from a")
 def t03(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.array_join(T.entities("text"), "|").alias("names"))
 
 
-def key_phrases(rows, limit: int = 12):
+def phrase_weights(rows, limit: int = 12):
     """Per id the best words (weight 1) and word pairs (1.5) without stop words: (id, rank, phrase, weight)."""
     toks = rows.select("id", T.phrase_tokens("content").alias("w"))
     ok = lambda x: ~x.isin(T.STOPWORDS)
@@ -214,14 +206,19 @@ def key_phrases(rows, limit: int = 12):
 _STOP = S.words(T.STOPWORDS)
 
 
-@query("t04_key_phrases", f"""with a as (select doc_id as id, unnest({S.tokens('text', "[a-z0-9''-]{3,}")}) as w, generate_subscripts({S.tokens('text', "[a-z0-9''-]{3,}")}, 1) as i from documents),
+@query("a09_phrase_weights", f"""with a as (select doc_id as id, unnest({S.tokens('text', "[a-z0-9''-]{3,}")}) as w, generate_subscripts({S.tokens('text', "[a-z0-9''-]{3,}")}, 1) as i from documents),
 b as (select id, w, lead(w) over (partition by id order by i) as n from a), p as (
   select id, w as phrase, 1.0::double as weight from b where not list_contains({_STOP}, w)
   union all select id, w || ' ' || n, 1.5 from b where n is not null and not list_contains({_STOP}, w) and not list_contains({_STOP}, n)),
 g as (select id, phrase, sum(weight) as weight from p group by 1, 2)
 select id, rank, phrase, weight from (select *, row_number() over (partition by id order by weight desc, len(string_split(phrase, ' ')) desc, phrase)::int as rank from g) where rank <= 12""")
+def a09(spark, d):
+    return phrase_weights(A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))).select("id", "rank", "phrase", "weight")
+
+
+@query("t04_key_phrases", f"with a as (select doc_id, text as t from documents), b as (select *, {S.names()} as ents from a), {S.key_phrases('b', 'doc_id', 't', 'ents')} select k as doc_id, array_to_string(phrases, '|') as phrases from kf")
 def t04(spark, d):
-    return key_phrases(A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))).select("id", "rank", "phrase", "weight")
+    return A.table(spark, d, "documents").select("doc_id", F.array_join(T.key_phrases("text", T.entities("text")), "|").alias("phrases"))
 
 
 @query("t07_query_terms", f"with {S.QUERIES}, a as (select query_id, list_filter({S.tokens('query_text', chr(91) + 'a-z0-9' + chr(39) * 2 + '-' + chr(93) + '{3,}')}, lambda x: not list_contains({_STOP}, x)) as l from qs) select query_id, array_to_string(({S.distinct('l')})[1:16], ' OR ') as terms from a")
@@ -236,23 +233,20 @@ def t08(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.temporal_mode(t).alias("mode"))
 
 
-@query("t09_exact_cue", f"""with {S.QUERIES}, m as (select doc_id as id, doc_id % 4 as bank_id, list_slice(string_split(text, ' '), 1, 2) as w, string_split(text, ' ')[1] as e from documents)
-select query_id, id, max(s) as score from (select query_id, id, case when trim(p) <> '' and contains(lower(query_text), lower(trim(p))) then 1.0 when trim(p) <> '' and contains(lower(trim(p)), lower(query_text)) and length(query_text) >= 4 then 0.8
-  when contains(lower(query_text), lower(e)) then 0.7 else 0 end::double as s from qs join (select id, bank_id, e, unnest([array_to_string(w, ' ')]) as p from m) using (bank_id)) group by 1, 2 having max(s) > 0""")
+@query("t09_exact_cue", f"with {S.QUERIES}, {S.CUES}, {S.EXACT} select query_id, id, score from ex where score > 0")
 def t09(spark, d):
-    m = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("bank_id"), F.split("text", " ").alias("w"))
-    pairs = A.recall_queries(spark, d).join(m, "bank_id")
-    s = T.exact_cue_score(F.array(F.array_join(F.slice("w", 1, 2), " ")), F.slice("w", 1, 1), F.col("query_text"))
-    return pairs.select("query_id", "id", s.alias("score")).where("score > 0")
+    m = A.document_rows(spark, d).select("bank_id", "id", T.entities("content").alias("entities"), "content").withColumn("phrases", T.key_phrases("content", F.col("entities")))
+    s = T.exact_cue_score(F.col("phrases"), F.col("entities"), F.col("query_text"))
+    return A.recall_queries(spark, d).join(m, "bank_id").select("query_id", "id", s.alias("score")).where("score > 0")
 
 
 _SET = S.distinct(S.tokens("text"))
 
 
-@query("t10_jaccard", f"""with a as (select doc_id, {_SET} as s from documents where doc_id < 400) select x.doc_id, y.doc_id as other_id, round(len(list_intersect(x.s, y.s)) / len(list_distinct(x.s || y.s))::double, 9) as similarity
+@query("t10_jaccard", f"""with a as (select doc_id, {_SET} as s from documents) select x.doc_id, y.doc_id as other_id, round(len(list_intersect(x.s, y.s)) / len(list_distinct(x.s || y.s))::double, 9) as similarity
 from a x join a y on y.doc_id = x.doc_id + 1 where len(x.s) > 0 and len(y.s) > 0""")
 def t10(spark, d):
-    a = A.table(spark, d, "documents").where("doc_id < 400").select("doc_id", T.token_set("text").alias("s")).where("size(s) > 0")
+    a = A.table(spark, d, "documents").select("doc_id", T.token_set("text").alias("s")).where("size(s) > 0")
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other_id"), F.col("s").alias("o"))
     return a.join(b, "doc_id").select("doc_id", "other_id", F.round(T.jaccard(F.col("s"), F.col("o")), 9).alias("similarity"))
 
@@ -374,14 +368,14 @@ def t30(spark, d):
     return A.conversation_rows(spark, d).select("id", B.polarity(F.concat("content", tail)).alias("polarity"))
 
 
-@query("t31_claim_similarity", f"""with {S.BELIEFS}, p as (select about, claim, turn from ups where turn <= 6), t as (select x.about, x.turn, y.turn as other, x.claim as a, y.claim as b from p x join p y on x.about = y.about and x.turn < y.turn),
+@query("t31_claim_similarity", f"""with {S.BELIEFS}, p as (select about, claim, turn from ups), t as (select x.about, x.turn, y.turn as other, x.claim as a, y.claim as b from p x join p y on x.about = y.about and y.turn = x.turn + 1),
 w as (select *, list_distinct(regexp_extract_all(lower(a), '[a-z0-9'']+')) as wa, list_distinct(regexp_extract_all(lower(b), '[a-z0-9'']+')) as wb, list_distinct(regexp_extract_all(lower(about), '[a-z0-9'']+')) as ws from t),
 f as (select about, turn, other, a, b, list_filter(wa, lambda x: x <> 'not' and not list_contains(ws, x)) as fa, list_filter(wb, lambda x: x <> 'not' and not list_contains(ws, x)) as fb from w)
 select about, turn, other, case when a.starts_with('not') <> b.starts_with('not') then 0 else len(list_intersect(fa, fb)) / least(len(fa), len(fb))::double end as similarity from f""")
 def t31(spark, d):
-    p = A.belief_updates(spark, d).where("turn <= 6").select("about", "claim", "turn")
-    o = p.select("about", F.col("claim").alias("b"), F.col("turn").alias("other"))
-    return p.join(o, "about").where("turn < other").select("about", "turn", "other", B.claim_similarity(F.col("claim"), F.col("b"), F.col("about")).alias("similarity"))
+    p = A.belief_updates(spark, d).select("about", "claim", "turn")
+    o = p.select("about", F.col("claim").alias("b"), F.col("turn").alias("other"), (F.col("turn") - 1).alias("turn"))
+    return p.join(o, ["about", "turn"]).select("about", "turn", "other", B.claim_similarity(F.col("claim"), F.col("b"), F.col("about")).alias("similarity"))
 
 
 _KIND = "case " + " ".join("when regexp_matches(t, '{}') then '{}'".format(v, k) for k, v in B.KIND_CUES.items()) + " end"

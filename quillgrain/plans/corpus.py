@@ -113,10 +113,10 @@ def a15(spark, d):
 
 def _files(spark, d):
     i = F.col("doc_id")
-    return A.table(spark, d, "documents").select((i % 4).alias("bank_id"), F.concat_ws("/", F.when(i % 9 == 0, "output").when(i % 10 == 0, "archive").otherwise("src"), F.concat(i.cast("string"), F.when(i % 5 == 0, ".bin").when(i % 2 == 0, ".py").otherwise(".md"))).alias("path"), i.alias("modified"), F.length("text").cast("long").alias("bytes"))
+    return A.table(spark, d, "documents").select((i % A.banks(spark, d, "documents")).alias("bank_id"), F.concat_ws("/", F.when(i % 9 == 0, "output").when(i % 10 == 0, "archive").otherwise("src"), F.concat(i.cast("string"), F.when(i % 5 == 0, ".bin").when(i % 2 == 0, ".py").otherwise(".md"))).alias("path"), i.alias("modified"), F.length("text").cast("long").alias("bytes"))
 
 
-_FILES = "files as (select doc_id % 4 as bank_id, case when doc_id % 9 = 0 then 'output' when doc_id % 10 = 0 then 'archive' else 'src' end || '/' || doc_id || case when doc_id % 5 = 0 then '.bin' when doc_id % 2 = 0 then '.py' else '.md' end as path, doc_id as modified, length(text) as bytes from documents)"
+_FILES = f"files as (select doc_id % {S.banks('documents')} as bank_id, case when doc_id % 9 = 0 then 'output' when doc_id % 10 = 0 then 'archive' else 'src' end || '/' || doc_id || case when doc_id % 5 = 0 then '.bin' when doc_id % 2 = 0 then '.py' else '.md' end as path, doc_id as modified, length(text) as bytes from documents)"
 
 
 @query("s11_ingest_reasons", f"""with {_FILES}, t as (select *, case when path like 'output/%' or path like '%.bin' or (path like 'archive/%' and path not like '%.md') or bytes > 500000 then 0 else bytes end as n from files),
@@ -139,7 +139,7 @@ def o16(spark, d):
 
 
 def _index(spark, d):
-    return A.table(spark, d, "documents").select((F.col("doc_id") % 4).alias("bank_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.lit(0).alias("ordinal"), T.first_sentence("text", N.GIST).alias("gist"), F.col("lang").alias("title"))
+    return A.table(spark, d, "documents").select((F.col("doc_id") % A.banks(spark, d, "documents")).alias("bank_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.lit(0).alias("ordinal"), T.first_sentence("text", N.GIST).alias("gist"), F.col("lang").alias("title"))
 
 
 @query("r11_chunk_relevance")

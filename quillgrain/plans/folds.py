@@ -17,6 +17,7 @@ from quillgrain.sources import adapters as A
 
 C = Catalog()
 query = C.query
+_EBANKS = S.banks("events", 2500)
 
 # ---- evidence
 
@@ -103,29 +104,34 @@ def j16(spark, d):
 _WORDSET = S.distinct(S.tokens("t"))
 
 
-J17 = f"""with {S.DOCM}, sm as (select doc_id as summary_id, case when doc_id % 7 = 0 then 'surmise' else 'received' end as scope, {S.squeeze('substr(text, 1, 300)')} as sq from documents where doc_id % 40 = 0),
+J17 = f"""with {S.DOCM}, sm as (select doc_id as summary_id, (doc_id // 20) || case when doc_id % 7 = 0 then ':surmise' else ':received' end as scope, {S.squeeze('text')} as sq from documents),
 c as (select summary_id, scope, unnest(list_filter(list_transform(string_split(regexp_replace(sq, '([.!?]) +([A-Z"''“‘])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) as claim, generate_subscripts(list_filter(list_transform(string_split(regexp_replace(sq, '([.!?]) +([A-Z"''“‘])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), 1) - 1 as pos from sm),
-cw as (select distinct summary_id, scope, pos, unnest(list_distinct({S.tokens('claim')})) as word from c), mw as (select distinct case when kind = 'inference' then 'surmise' else 'received' end as scope, event_key as ref, unnest(list_distinct({S.tokens('content')})) as word from docm),
+cw as (select distinct summary_id, scope, pos, unnest(list_distinct({S.tokens('claim')})) as word from c), mw as (select distinct (id // 20) || case when kind = 'inference' then ':surmise' else ':received' end as scope, event_key as ref, unnest(list_distinct({S.tokens('content')})) as word from docm),
 sh as (select summary_id, pos, ref, count(*) as n from cw join mw using (scope, word) where not list_contains({S.words(T.SUPPORT_STOPWORDS)}, word) group by 1, 2, 3 having count(*) >= 3),
 b as (select summary_id, pos, string_agg(ref, ' ' order by n desc, ref) as refs from (select * from sh qualify row_number() over (partition by summary_id, pos order by n desc, ref) <= 3) group by 1, 2)
 select summary_id, pos::int as pos, claim, coalesce(refs, '') as refs from c left join b using (summary_id, pos)"""
 
 
+def _window(doc, inferred=F.lit(False)):
+    """A summary's support lies in its own window of twenty documents, and in its own scope."""
+    return F.concat(F.floor(F.col(doc) / 20).cast("string"), F.when(inferred, ":surmise").otherwise(":received")).alias("scope")
+
+
 @query("j17_support_sets", J17)
 def j17(spark, d):
-    rows = A.document_rows(spark, d).select(F.when(F.col("kind") == "inference", "surmise").otherwise("received").alias("scope"), F.col("event_key").alias("ref"), "content")
-    sm = A.table(spark, d, "documents").where("doc_id % 40 = 0").select(F.col("doc_id").alias("summary_id"), F.when(F.col("doc_id") % 7 == 0, "surmise").otherwise("received").alias("scope"), F.substring("text", 1, 300).alias("summary"))
+    rows = A.document_rows(spark, d).select(_window("id", F.col("kind") == "inference"), F.col("event_key").alias("ref"), "content")
+    sm = A.table(spark, d, "documents").select(F.col("doc_id").alias("summary_id"), _window("doc_id", F.col("doc_id") % 7 == 0), F.col("text").alias("summary"))
     return E.support_sets(sm, rows).select("summary_id", "pos", "claim", F.array_join("support_refs", " ").alias("refs"))
 
 
-A14 = J17.replace("case when doc_id % 7 = 0 then 'surmise' else 'received' end as scope", "'received' as scope").replace("case when kind = 'inference' then 'surmise' else 'received' end as scope", "'received' as scope")
+A14 = J17.replace("case when doc_id % 7 = 0 then ':surmise' else ':received' end as scope", "':received' as scope").replace("case when kind = 'inference' then ':surmise' else ':received' end as scope", "':received' as scope")
 A14 = A14[: A14.index("b as (select summary_id, pos, string_agg")].rstrip().rstrip(",") + " select distinct ref from (select * from sh qualify row_number() over (partition by summary_id, pos order by n desc, ref) <= 3)"
 
 
 @query("a14_supported_refs", A14)
 def a14(spark, d):
-    rows = A.document_rows(spark, d).select(F.lit("received").alias("scope"), F.col("event_key").alias("ref"), "content")
-    sm = A.table(spark, d, "documents").where("doc_id % 40 = 0").select(F.col("doc_id").alias("summary_id"), F.lit("received").alias("scope"), F.substring("text", 1, 300).alias("summary"))
+    rows = A.document_rows(spark, d).select(_window("id"), F.col("event_key").alias("ref"), "content")
+    sm = A.table(spark, d, "documents").select(F.col("doc_id").alias("summary_id"), _window("doc_id"), F.col("text").alias("summary"))
     return E.support_sets(sm, rows).select(F.explode("support_refs").alias("ref")).distinct()
 
 
@@ -161,30 +167,33 @@ def f05(spark, d):
     return H.merge(A.belief_updates(spark, d))
 
 
-_STORE = f"with {S.BELIEFS}, st as (select bank_id, about, kind, claim, confidence, turn from ups where turn <= 40), lv as (select *, round(confidence * pow(0.5, (60 - turn) / case kind when 'observation' then 5 when 'stated_fact' then 18 when 'preference' then 300 when 'goal' then 45 else 400 end::double), 9) as live from st)"
+_LIVE = "confidence * pow(0.5, greatest(0, 100 - turn) / case kind when 'observation' then 5 when 'stated_fact' then 18 when 'preference' then 300 when 'goal' then 45 else 400 end::double)"
+_STORE = f"with {S.BELIEFS}, st as (select bank_id, about, kind, claim, arg_max(confidence, turn) as confidence, max(turn) as turn from ups group by 1, 2, 3, 4), lv as (select *, round({_LIVE}, 9) as live from st)"
 
 
 def _store(spark, d):
-    return A.belief_updates(spark, d).where("turn <= 40").select("bank_id", "about", "kind", "claim", "confidence", F.col("turn").alias("last_updated_turn"))
+    """One row of each claim of a subject: its latest update."""
+    u = A.belief_updates(spark, d).groupBy("bank_id", "about", "kind", "claim")
+    return u.agg(F.max_by("confidence", "turn").alias("confidence"), F.max("turn").alias("last_updated_turn"))
 
 
 @query("f06_belief_sweep", f"{_STORE} select bank_id, about, kind, claim, live from lv where live >= 0.05 qualify row_number() over (partition by bank_id, about order by live desc, kind, claim) <= 30")
 def f06(spark, d):
-    return H.sweep(_store(spark, d), F.lit(60)).select("bank_id", "about", "kind", "claim", "live")
+    return H.sweep(_store(spark, d), F.lit(100)).select("bank_id", "about", "kind", "claim", "live")
 
 
 @query("o05_active_sheet", f"{_STORE}, k as (select bank_id, about || '|' || kind || '|' || claim as key, max(live) as live from lv group by 1, 2), s as (select *, row_number() over (partition by bank_id order by round(live + case when key like '%goal%' then 0.08 else 0 end, 9) desc, key)::int as rank from k) select bank_id, rank, key, live from s where rank <= 5")
 def o05(spark, d):
     key = B.hypothesis_key(F.col("about"), F.col("kind"), F.col("claim"))
-    st = _store(spark, d).withColumn("_v", F.round(H.live(F.lit(60)), 9))
+    st = _store(spark, d).withColumn("_v", F.round(H.live(F.lit(100)), 9))
     top = st.groupBy("bank_id", "about", "kind", "claim").agg(F.max_by(F.struct("confidence", "last_updated_turn"), "_v").alias("x")).select("bank_id", "about", "kind", "claim", "x.confidence", "x.last_updated_turn")
     held = top.where("kind = 'goal'").select("bank_id", key.alias("key"))
-    return H.active_sheet(top, held, F.lit(60))
+    return H.active_sheet(top, held, F.lit(100))
 
 
 @query("o06_leading_beliefs", f"{_STORE}, r as (select bank_id, about, kind, claim, round(live, 3) as confidence, row_number() over (partition by bank_id, about, kind order by round(live, 3) desc, claim, turn)::int as rank from lv) select bank_id, about, kind, rank, claim, confidence from r where rank <= 3")
 def o06(spark, d):
-    return H.leading(_store(spark, d), F.lit(60))
+    return H.leading(_store(spark, d), F.lit(100))
 
 
 @query("a18_latest_belief_view", f"with {S.BELIEFS} select bank_id, max(turn) as latest_turn, count(distinct about) as n_subjects from ups group by 1")
@@ -193,26 +202,24 @@ def a18(spark, d):
 
 
 def _asked(spark, d):
-    u = A.belief_updates(spark, d).where("turn in (45, 46)")
-    return u.select(F.col("seq").alias("asked_id"), "bank_id", "about", "claim")
+    return A.belief_updates(spark, d).select(F.col("seq").alias("asked_id"), "bank_id", "about", "claim")
 
 
-_CRED = f"""with {S.BELIEFS}, ask as (select seq as asked_id, bank_id, about, claim from ups where turn in (45, 46)),
-st as (select bank_id, about, claim as held, confidence * pow(0.5, (60 - turn) / case kind when 'observation' then 5 when 'stated_fact' then 18 when 'preference' then 300 when 'goal' then 45 else 400 end::double) as live from ups where turn <= 12),
-p as (select asked_id, claim, held, live, list_filter(list_distinct(regexp_extract_all(lower(claim), '[a-z0-9'']+')), lambda x: x <> 'not' and not contains('|user|' || substr(about, 6) || '|', '|' || x || '|')) as fa, list_filter(list_distinct(regexp_extract_all(lower(held), '[a-z0-9'']+')), lambda x: x <> 'not' and not contains('|user|' || substr(about, 6) || '|', '|' || x || '|')) as fb from ask left join st using (bank_id, about)),
+_CRED = f"""{_STORE}, ask as (select seq as asked_id, bank_id, about, claim from ups), sl as (select bank_id, about, claim as held, {_LIVE} as live from st),
+p as (select asked_id, claim, held, live, list_filter(list_distinct(regexp_extract_all(lower(claim), '[a-z0-9'']+')), lambda x: x <> 'not' and not contains('|user|' || substr(about, 6) || '|', '|' || x || '|')) as fa, list_filter(list_distinct(regexp_extract_all(lower(held), '[a-z0-9'']+')), lambda x: x <> 'not' and not contains('|user|' || substr(about, 6) || '|', '|' || x || '|')) as fb from ask left join sl using (bank_id, about)),
 q as (select asked_id, held, live, case when held is null then null when claim.starts_with('not') <> held.starts_with('not') then 0 else len(list_intersect(fa, fb)) / least(len(fa), len(fb))::double end as sim from p)
 select asked_id, case when sim >= 0.4 then live end as credence from q qualify row_number() over (partition by asked_id order by sim desc nulls last, held, live desc) = 1"""
 
 
 @query("f07_credence", f"select asked_id, round(credence, 9) as credence from ({_CRED})")
 def f07(spark, d):
-    return H.credence(_asked(spark, d), _store(spark, d).where("last_updated_turn <= 12"), F.lit(60)).select("asked_id", F.round("credence", 9).alias("credence"))
+    return H.credence(_asked(spark, d), _store(spark, d), F.lit(100)).select("asked_id", F.round("credence", 9).alias("credence"))
 
 
 @query("f08_reconcile", f"select asked_id as id, round(greatest(coalesce(credence, 0.275), 0.275), 4) as revised, abs(round(greatest(coalesce(credence, 0.275), 0.275), 4) - 0.5) > 1e-6 as changed from ({_CRED})")
 def f08(spark, d):
     asked = _asked(spark, d)
-    cred = H.credence(asked, _store(spark, d).where("last_updated_turn <= 12"), F.lit(60))
+    cred = H.credence(asked, _store(spark, d), F.lit(100))
     inf = asked.select(F.col("asked_id").alias("id"), F.lit(0.6).alias("salience"), F.lit(0.5).alias("confidence"))
     return H.reconcile(inf, cred).select("id", "revised", "changed")
 
@@ -261,13 +268,13 @@ def l04(spark, d):
     return rows.select("id", L.archivable(F.lit(500)).alias("to_archive"))
 
 
-@query("l05_consolidation", f"""with {S.CONV}, w as (select *, case provenance when 'told' then 'received' else 'autobiographical' end as scope, substr(content, 1, 20) as gist from conv where turn_idx > bank_id * 5 and turn_idx <= 60),
+@query("l05_consolidation", f"""with {S.CONV}, g as (select *, {S.squeeze('content')} as sq from conv), gp as (select *, {S.PARTS} from g), w as (select *, case provenance when 'told' then 'received' else 'autobiographical' end as scope, {S.GIST} as gist from gp where turn_idx > bank_id * 5 and trim(content) <> ''),
 sp as (select bank_id, min(turn_idx) as start_turn, max(turn_idx) as end_turn from w group by 1), t as (select bank_id, scope, string_agg(gist, ' ' order by turn_idx, id) as summary from w group by 1, 2)
 select bank_id, scope, start_turn, end_turn, coalesce(summary, '') as summary from (select *, unnest(['autobiographical', 'received', 'surmise']) as scope from sp) left join t using (bank_id, scope) where summary is not null or scope = 'autobiographical'""")
 def l05(spark, d):
-    rows = A.conversation_rows(spark, d).withColumns({"archived": F.lit(False), "gist": F.substring("content", 1, 20)})
-    banks = spark.range(A.BANKS).withColumnRenamed("id", "bank_id")
-    return L.consolidate(rows, banks.withColumn("cursor", F.col("bank_id") * 5), banks.withColumn("now", F.lit(60))).select("bank_id", "scope", "start_turn", "end_turn", "summary")
+    rows = A.conversation_rows(spark, d).withColumns({"archived": F.lit(False), "gist": T.gist("content")})
+    now = rows.groupBy("bank_id").agg(F.max("turn_idx").alias("now"))
+    return L.consolidate(rows, now.select("bank_id", (F.col("bank_id") * 5).alias("cursor")), now).select("bank_id", "scope", "start_turn", "end_turn", "summary")
 
 
 @query("l06_consolidation_windows", f"""with {S.CONV} select bank_id, turn_idx as end_turn from conv where turn_idx % 10 = 0""")
@@ -277,23 +284,23 @@ def l06(spark, d):
 
 def _threads(spark, d):
     e = A.experiments(spark, d)
-    return e.select((F.col("hypothesis_id") % 4).alias("bank_id"), F.floor(F.col("id") / 500).alias("window_no"), F.concat(F.lit("thread "), F.col("digest")).alias("thread")).distinct()
+    return e.select((F.col("hypothesis_id") % A.banks(spark, d, "events", A.EVENTS_PER_BANK)).alias("bank_id"), F.floor(F.col("id") / 500).alias("window_no"), F.concat(F.lit("thread "), F.col("digest")).alias("thread")).distinct()
 
 
-@query("w13_thread_openings", f"with {S.EXPERIMENTS}, t as (select distinct hypothesis_id % 4 as bank_id, id // 500 as window_no, 'thread ' || digest as thread from ex), g as (select *, window_no - row_number() over (partition by bank_id, thread order by window_no) as i from t) select bank_id, window_no, thread, min(window_no) over (partition by bank_id, thread, i) as since from g")
+@query("w13_thread_openings", f"with {S.EXPERIMENTS}, t as (select distinct hypothesis_id % {_EBANKS} as bank_id, id // 500 as window_no, 'thread ' || digest as thread from ex), g as (select *, window_no - row_number() over (partition by bank_id, thread order by window_no) as i from t) select bank_id, window_no, thread, min(window_no) over (partition by bank_id, thread, i) as since from g")
 def w13(spark, d):
     return L.fold_threads(_threads(spark, d))
 
 
-@query("l07_close_threads", f"""with {S.EXPERIMENTS}, t as (select distinct hypothesis_id % 4 as bank_id, 'thread ' || digest as thread from ex where id < 300), o as (select *, row_number() over (partition by bank_id order by thread) - 1 as pos, count(*) over (partition by bank_id) as n from t),
-a as (select distinct hypothesis_id % 4 as bank_id, 'thread ' || digest as thread from ex where id between 200 and 400) select bank_id, thread, pos, n as of, case when pos is null then 'unknown' else 'closed' end as outcome from a left join o using (bank_id, thread)""")
+@query("l07_close_threads", f"""with {S.EXPERIMENTS}, t as (select distinct hypothesis_id % {_EBANKS} as bank_id, 'thread ' || digest as thread from ex where outcome <> 'refuted'), o as (select *, row_number() over (partition by bank_id order by thread) - 1 as pos, count(*) over (partition by bank_id) as n from t),
+a as (select distinct hypothesis_id % {_EBANKS} as bank_id, 'thread ' || digest as thread from ex) select bank_id, thread, pos, n as of, case when pos is null then 'unknown' else 'closed' end as outcome from a left join o using (bank_id, thread)""")
 def l07(spark, d):
     from pyspark.sql import Window
 
-    e = A.experiments(spark, d).withColumn("thread", F.concat(F.lit("thread "), "digest")).withColumn("bank_id", F.col("hypothesis_id") % 4)
-    o = e.where("id < 300").select("bank_id", "thread").distinct()
+    e = A.experiments(spark, d).withColumn("thread", F.concat(F.lit("thread "), "digest")).withColumn("bank_id", F.col("hypothesis_id") % A.banks(spark, d, "events", A.EVENTS_PER_BANK))
+    o = e.where("outcome <> 'refuted'").select("bank_id", "thread").distinct()
     o = o.withColumns({"pos": F.row_number().over(Window.partitionBy("bank_id").orderBy("thread")) - 1, "since": F.lit(0)})
-    return L.close_threads(o, e.where("id between 200 and 400")).select("bank_id", "thread", F.col("pos").cast("long").alias("pos"), "of", "outcome")
+    return L.close_threads(o, e).select("bank_id", "thread", F.col("pos").cast("long").alias("pos"), "of", "outcome")
 
 
 @query("l10_rebuild_texts", f"with {S.DOCM} select id, 'kind: ' || kind || chr(10) || 'turn: ' || turn_idx || chr(10) || 'details: ' || source || chr(10) || 'source: ' || provenance as document from docm where turn_idx is not null")
@@ -377,10 +384,10 @@ def l14(spark, d):
     return A.experiments(spark, d).groupBy("hypothesis_id").agg(F.bool_or(M.shows_failure()).alias("may_fix"))
 
 
-@query("j18_moved_anchor", f"with {S.EXPERIMENTS}, p as (select hypothesis_id, id, event_type as path, substr(sha1((k % 3)::varchar), 1, 8 + k % 2) as sha from ex where id % 20 = 0) select a.hypothesis_id, a.path, b.id as earlier_id, a.id from p a join p b on a.hypothesis_id = b.hypothesis_id and a.path = b.path and b.id < a.id where substr(a.sha, 1, least(length(a.sha), length(b.sha))) <> substr(b.sha, 1, least(length(a.sha), length(b.sha)))")
+@query("j18_moved_anchor", f"with {S.EXPERIMENTS}, p as (select hypothesis_id, id, event_type as path, substr(sha1((k % 3)::varchar), 1, 8 + k % 2) as sha from ex), f as (select hypothesis_id, path, sha, min(id) as first_id from p group by all) select a.hypothesis_id, a.path, min(f.first_id) as earlier_id, a.id from p a join f on a.hypothesis_id = f.hypothesis_id and a.path = f.path and f.first_id < a.id where substr(a.sha, 1, least(length(a.sha), length(f.sha))) <> substr(f.sha, 1, least(length(a.sha), length(f.sha))) group by a.hypothesis_id, a.path, a.id")
 def j18(spark, d):
     sha = F.expr("substr(sha1(cast(k % 3 as string)), 1, 8 + k % 2)")
-    rows = A.experiments(spark, d).where("id % 20 = 0").select("hypothesis_id", "id", F.create_map("event_type", sha).alias("precondition"))
+    rows = A.experiments(spark, d).select("hypothesis_id", "id", F.create_map("event_type", sha).alias("precondition"))
     return M.moved_anchor(rows).select("hypothesis_id", "path", "earlier_id", "id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgrain.operators import bank as K
 from quillgrain.operators import investigate as V
+from quillgrain.operators import retrieval as R
 from quillgrain.plans import sql as S
 from quillgrain.plans.catalog import Catalog
 from quillgrain.sources import adapters as A
@@ -39,9 +40,9 @@ def j01(spark, d):
 @query("j02_step_details", """with v as (select l_orderkey, l_linenumber, l_quantity > 5 as active, 'part ' || l_partkey as content from lineitem)
 select o_orderkey, l.l_linenumber as ord, a.content, coalesce(n.c, 0) as n_variants from orders join lineitem l on l.l_orderkey = o_orderkey
 left join v a on a.l_orderkey = l.l_orderkey and a.l_linenumber = l.l_linenumber and a.active
-left join (select l_orderkey, l_linenumber, count(*) c from v group by 1, 2) n on n.l_orderkey = l.l_orderkey and n.l_linenumber = l.l_linenumber where o_orderkey % 7 = 0""")
+left join (select l_orderkey, l_linenumber, count(*) c from v group by 1, 2) n on n.l_orderkey = l.l_orderkey and n.l_linenumber = l.l_linenumber""")
 def j02(spark, d):
-    s = steps(spark, d).where("o_orderkey % 7 = 0")
+    s = steps(spark, d)
     v = s.select("o_orderkey", "ord", (F.col("l_quantity") > 5).alias("active"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("content"))
     return V.step_details(turns(spark, d).select("o_orderkey"), s.select("o_orderkey", "ord"), v, "o_orderkey", ["o_orderkey", "ord"])
 
@@ -52,16 +53,16 @@ def j03(spark, d):
     return A.table(spark, d, "lineitem").where("l_orderkey between 100 and 900").join(p, "l_partkey", "left").select("l_orderkey", "l_linenumber", "p_name")
 
 
-@query("j04_cast_of_story", "select distinct o_custkey, s_name from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey where o_custkey < 200")
+@query("j04_cast_of_story", "select distinct o_custkey, s_name from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey")
 def j04(spark, d):
-    o = A.table(spark, d, "orders").where("o_custkey < 200").select("o_custkey", F.col("o_orderkey").alias("l_orderkey"))
+    o = A.table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("l_orderkey"))
     li = A.table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
     return o.join(li, "l_orderkey").join(A.table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey").select("o_custkey", "s_name").distinct()
 
 
-@query("j05_entry_with_book", "select p_partkey, p_name, n_name from part left join nation on n_nationkey = p_partkey % 25 where p_partkey % 11 = 3")
+@query("j05_entry_with_book", "select p_partkey, p_name, n_name from part left join nation on n_nationkey = p_partkey % 25")
 def j05(spark, d):
-    p = A.table(spark, d, "part").where("p_partkey % 11 = 3").select("p_partkey", "p_name", (F.col("p_partkey") % 25).alias("n_nationkey"))
+    p = A.table(spark, d, "part").select("p_partkey", "p_name", (F.col("p_partkey") % 25).alias("n_nationkey"))
     return p.join(A.table(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", "left").select("p_partkey", "p_name", "n_name")
 
 
@@ -87,13 +88,13 @@ def j08(spark, d):
     return V.descendants(chats, "c_custkey", "branched_from")
 
 
-_ROUTES = """direct as (select distinct c_custkey, c_nationkey as book from customer where c_custkey < 300),
-linked as (select distinct o_custkey as c_custkey, s_nationkey as book from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey where o_custkey < 300)"""
+_ROUTES = """direct as (select distinct c_custkey, c_nationkey as book from customer),
+linked as (select distinct o_custkey as c_custkey, s_nationkey as book from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey)"""
 
 
 def book_routes(spark, d):
-    direct = A.table(spark, d, "customer").where("c_custkey < 300").select("c_custkey", F.col("c_nationkey").alias("book"))
-    o = A.table(spark, d, "orders").where("o_custkey < 300").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("l_orderkey"))
+    direct = A.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("book"))
+    o = A.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("l_orderkey"))
     li = A.table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
     linked = o.join(li, "l_orderkey").join(A.table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("book")), "s_suppkey").select("c_custkey", "book")
     return direct, linked
@@ -125,9 +126,9 @@ def u03(spark, d):
     return A.table(spark, d, "customer").join(seen, "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("u04_ordered_distinct", f"with a as (select doc_id, list_slice(string_split(text, ' '), 1, 40) as l from documents) select doc_id, array_to_string({S.distinct('l')}, ' ') as w from a")
+@query("u04_ordered_distinct", f"with a as (select doc_id, string_split(text, ' ') as l from documents) select doc_id, array_to_string({S.distinct('l')}, ' ') as w from a")
 def u04(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.slice(F.split("text", " "), 1, 40)), " ").alias("w"))
+    return A.table(spark, d, "documents").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("w"))
 
 
 @query("j10_never_indexed", "select doc_id, source from documents where doc_id not in (select doc_id from labels) and source <> 'src0'")
@@ -253,21 +254,7 @@ def w01(spark, d):
     from quillgrain.functions import text as T
 
     v = A.conversation_rows(spark, d).select("bank_id", "id", T.salience("content").alias("importance"))
-    return ranked_importance(v, "bank_id").select("bank_id", "id", F.round("importance", 9).alias("importance"))
-
-
-def ranked_importance(rows, group: str):
-    """Importances respaced by their mid-rank inside the group's own 10th to 90th percentile."""
-    w = Window.partitionBy(group)
-    r = rows.withColumns({
-        "_k": F.rank().over(w.orderBy("importance")) - 1, "_c": F.count("*").over(Window.partitionBy(group, "importance")),
-        "_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy("importance", "id")) - 1,
-    })
-    pick = lambda q: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * q), F.col("importance"))).over(w)
-    r = r.withColumns({"_lo": pick(0.1), "_hi": pick(0.9)})
-    spread = F.col("_lo") + (2 * F.col("_k") + F.col("_c") - 1) / 2 / (F.col("_n") - 1) * (F.col("_hi") - F.col("_lo"))
-    flat = (F.col("_n") < 2) | (F.col("_hi") - F.col("_lo") <= 1e-9)
-    return r.withColumn("importance", F.when(flat, F.col("importance")).otherwise(spread)).drop("_k", "_c", "_n", "_i", "_lo", "_hi")
+    return R.ranked_importance(v, "bank_id").select("bank_id", "id", F.round("importance", 9).alias("importance"))
 
 
 @query("w02_recent_buffer", f"with {S.DOCM}, {S.QUERIES}, r as (select query_id, id, turn_idx, row_number() over (partition by query_id order by turn_idx desc, id desc) as back from qs join docm using (bank_id) where turn_idx < cutoff_turn and turn_idx >= cutoff_turn - 40) select * from r where back <= 12")
@@ -276,9 +263,9 @@ def w02(spark, d):
     return K.recent(rows, A.recall_queries(spark, d), turns=40).select("query_id", "id", "turn_idx", F.col("back").cast("long").alias("back"))
 
 
-@query("w03_latest_per_key", f"with {S.CONV} select bank_id, provenance, max(id) as id from conv where turn_idx < 100 group by 1, 2")
+@query("w03_latest_per_key", f"with {S.CONV} select bank_id, provenance, max(id) as id from conv group by 1, 2")
 def w03(spark, d):
-    rows = A.conversation_rows(spark, d).where("turn_idx < 100")
+    rows = A.conversation_rows(spark, d)
     return V.latest(rows, ["bank_id", "provenance"], [F.desc("turn_idx"), F.desc("id")]).select("bank_id", "provenance", "id")
 
 
@@ -287,11 +274,11 @@ def w04(spark, d):
     return V.latest(A.observations(spark, d), ["hypothesis_id"], [F.desc("seq")], 2).select("hypothesis_id", "seq", "rank")
 
 
-@query("w05_chronological_neighbours", f"with {S.CONV}, a as (select bank_id, id, turn_idx, lag(id) over w as p, lag(turn_idx) over w as pt, lead(id) over w as n, lead(turn_idx) over w as nt from conv where id % 3 <> 1 window w as (partition by bank_id order by turn_idx, id)) select id, case when turn_idx - pt <= 1 then p end as before_id, case when nt - turn_idx <= 1 then n end as after_id from a")
+@query("w05_chronological_neighbours", f"with {S.CONV}, a as (select bank_id, id, turn_idx, lag(id) over w as p, lag(turn_idx) over w as pt, lead(id) over w as n, lead(turn_idx) over w as nt from conv where provenance <> 'remembered' window w as (partition by bank_id order by turn_idx, id)) select id, case when turn_idx - pt <= 1 then p end as before_id, case when nt - turn_idx <= 1 then n end as after_id from a")
 def w05(spark, d):
     w = Window.partitionBy("bank_id").orderBy("turn_idx", "id")
     t = F.col("turn_idx")
-    r = A.conversation_rows(spark, d).where("id % 3 <> 1")
+    r = A.conversation_rows(spark, d).where("provenance <> 'remembered'")
     return r.select("id", F.when(t - F.lag("turn_idx").over(w) <= 1, F.lag("id").over(w)).alias("before_id"), F.when(F.lead("turn_idx").over(w) - t <= 1, F.lead("id").over(w)).alias("after_id"))
 
 
@@ -354,11 +341,11 @@ def o09(spark, d):
     return A.document_rows(spark, d).where("retired_batch is not null").orderBy(F.desc("id")).limit(200).select("id", "retired_batch")
 
 
-@query("o10_question_dedup", f"with {S.CONV}, a as (select id, trim(regexp_replace(lower({S.squeeze('substr(content, 1, 6)')}), '[^a-z0-9 ]', '', 'g')) as k from conv) select id, min(id) over (partition by k) as kept_id from a")
+@query("o10_question_dedup", f"with {S.CONV}, a as (select id, trim(regexp_replace(lower({S.squeeze('content')}), '[^a-z0-9 ]', '', 'g')) as k from conv) select id, min(id) over (partition by k) as kept_id from a")
 def o10(spark, d):
     from quillgrain.functions import text as T
 
-    return A.conversation_rows(spark, d).select("id", F.min("id").over(Window.partitionBy(T.normal_question(F.substring("content", 1, 6)))).alias("kept_id"))
+    return A.conversation_rows(spark, d).select("id", F.min("id").over(Window.partitionBy(T.normal_question("content"))).alias("kept_id"))
 
 
 @query("o11_panel_listing", f"with {S.CONV} select bank_id, id from (select *, row_number() over (partition by bank_id order by turn_idx desc, id desc) r from conv) where r <= 40")
@@ -366,9 +353,9 @@ def o11(spark, d):
     return V.latest(A.conversation_rows(spark, d), ["bank_id"], [F.desc("turn_idx"), F.desc("id")], max(1, min(60, 40))).select("bank_id", "id")
 
 
-@query("o12_transcript", "select conv_id, string_agg(role || ': ' || substr(text, 1, 30), chr(10) order by turn) as transcript from conversations group by 1")
+@query("o12_transcript", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as transcript from conversations group by 1")
 def o12(spark, d):
-    c = A.table(spark, d, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), F.substring("text", 1, 30)).alias("line"))
+    c = A.table(spark, d, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("line"))
     lines = F.array_sort(F.collect_list(F.struct("turn", "line")))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x.line), "\n").alias("transcript"))
 

@@ -17,10 +17,16 @@ C = Catalog()
 query = C.query
 
 
+def cued(spark, d):
+    """Documents as memories with their names and key phrases."""
+    m = A.document_rows(spark, d).withColumns({"importance": F.col("salience"), "entities": T.entities("content")})
+    return m.withColumn("key_phrases", T.key_phrases("content", F.col("entities")))
+
+
 def rows(spark, d):
     """Documents as memories with cues and, where there is one, a vector."""
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.when(F.col("label") == 0, "m0").otherwise("m1").alias("stamp"))
-    m = A.document_rows(spark, d).withColumns({"importance": F.col("salience"), "key_phrases": F.array(F.array_join(F.slice(F.split("content", " "), 1, 2), " ")), "entities": F.slice(T.entities("content"), 1, 3)})
+    m = cued(spark, d)
     return m.join(e, "id", "left").withColumn("cue_vector", F.transform("vector", lambda x: x * x))
 
 
@@ -56,13 +62,12 @@ def o02(spark, d):
 
 
 _VIS = "vis as (select q.*, m.* exclude (bank_id) from qs q join docm m using (bank_id) where retired_batch is null and (turn_idx is null or turn_idx < cutoff_turn))"
-_EXACT = "ex as (select query_id, id, case when trim(p) <> '' and contains(lower(query_text), lower(trim(p))) then 1.0 when trim(p) <> '' and contains(lower(trim(p)), lower(query_text)) and length(query_text) >= 4 then 0.8 else 0 end::double as score from (select *, array_to_string(list_slice(string_split(content, ' '), 1, 2), ' ') as p from vis))"
+_EXACT = f"{S.CUES}, {S.EXACT.replace('from qs join cu using (bank_id)', 'from vis join cu using (id)')}"
 
 
 @query("o03_exact_lane", f"with {S.DOCM}, {S.QUERIES}, {_VIS}, {_EXACT} select query_id, id, row_number() over (partition by query_id order by score desc, id)::int as rank from ex where score > 0")
 def o03(spark, d):
-    m = A.document_rows(spark, d).withColumns({"key_phrases": F.array(F.array_join(F.slice(F.split("content", " "), 1, 2), " ")), "entities": F.array().cast("array<string>")})
-    return R.top(R.exact_lane(R.visible_pairs(A.recall_queries(spark, d), m)), 10**6).select("query_id", "id", "rank")
+    return R.top(R.exact_lane(R.visible_pairs(A.recall_queries(spark, d), cued(spark, d))), None).select("query_id", "id", "rank")
 
 
 _FUSE = f"""{_LEX}, {_VIS}, {_EXACT}, l1 as (select query_id, id, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from lex join (select query_id, id from vis) using (query_id, id) where score > 0 qualify rank <= 60),
@@ -72,11 +77,11 @@ fu as (select query_id, id, round(sum(s::double), 9) as fused, list_sort(list(di
 
 
 def _fused(spark, d):
-    m = A.document_rows(spark, d).withColumns({"key_phrases": F.array(F.array_join(F.slice(F.split("content", " "), 1, 2), " ")), "entities": F.array().cast("array<string>"), "importance": F.col("salience")})
+    m = cued(spark, d)
     q = A.recall_queries(spark, d)
     pairs = R.visible_pairs(q, m)
     lex = R.lexical_scores(q, m).join(pairs.select("query_id", "id"), ["query_id", "id"], "left_semi")
-    return pairs, R.fuse({"lexical": R.top(lex), "exact": R.top(R.exact_lane(pairs), 10**6)})
+    return pairs, R.fuse({"lexical": R.top(lex), "exact": R.top(R.exact_lane(pairs), None)})
 
 
 @query("r02_rank_fusion", f"with {_FUSE} select query_id, id, round(fused, 6) as fused, coalesce(array_to_string(reasons, ' '), '') as reasons from fu")
@@ -138,10 +143,10 @@ def r10(spark, d):
     return R.context(R.hybrid_search(q, m, 16), recent, m)
 
 
-@query("o07_summary_top", "with e as (select vec_id, embedding::double[] as v from embeddings), s as (select vec_id % 4 as bank_id, vec_id as end_turn, v from e where vec_id % 7 = 0), o as (select * from s qualify row_number() over (partition by bank_id order by end_turn desc) > 1), p as (select item_id as query_id, end_turn, list_dot_product(e.v, o.v) as score from benchmark join e on vec_id = item_id join o on bank_id = item_id % 4) select query_id, end_turn, row_number() over (partition by query_id order by round(score, 9) desc, end_turn desc)::int as rank from p qualify rank <= 2")
+@query("o07_summary_top", "with e as (select vec_id, embedding::double[] as v from embeddings), s as (select vec_id % " + S.banks("documents") + " as bank_id, vec_id as end_turn, v from e), o as (select * from s qualify row_number() over (partition by bank_id order by end_turn desc) > 1), p as (select item_id as query_id, end_turn, list_dot_product(e.v, o.v) as score from benchmark join e on vec_id = item_id join o on bank_id = item_id % " + S.banks("documents") + ") select query_id, end_turn, row_number() over (partition by query_id order by round(score, 9) desc, end_turn desc)::int as rank from p qualify rank <= 2")
 def o07(spark, d):
     e = A.table(spark, d, "embeddings")
-    s = e.where("vec_id % 7 = 0").select((F.col("vec_id") % 4).alias("bank_id"), F.col("vec_id").alias("end_turn"), F.lit("s").alias("summary"), F.col("embedding").alias("vector"))
+    s = e.select((F.col("vec_id") % A.banks(spark, d, "documents")).alias("bank_id"), F.col("vec_id").alias("end_turn"), F.lit("s").alias("summary"), F.col("embedding").alias("vector"))
     return R.summary_top(queries(spark, d), s).select("query_id", "end_turn", "rank")
 
 
@@ -161,10 +166,10 @@ def v03(spark, d):
     return X.nearest(e, e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "stamp", "vector"), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("t11_similarity", f"with t as (select doc_id, {S.distinct(S.tokens('text'))} as s, embedding::double[] as v from documents left join embeddings on vec_id = doc_id where doc_id between 480 and 520) select a.doc_id, b.doc_id as other_id, round(case when a.v is not null and b.v is not null then greatest(0, list_dot_product(a.v, b.v)) when len(a.s) = 0 or len(b.s) = 0 then 0 else len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s))::double end, 6) as similarity from t a join t b on b.doc_id = a.doc_id + 1")
+@query("t11_similarity", f"with t as (select doc_id, {S.distinct(S.tokens('text'))} as s, embedding::double[] as v from documents left join embeddings on vec_id = doc_id) select a.doc_id, b.doc_id as other_id, round(case when a.v is not null and b.v is not null then greatest(0, list_dot_product(a.v, b.v)) when len(a.s) = 0 or len(b.s) = 0 then 0 else len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s))::double end, 6) as similarity from t a join t b on b.doc_id = a.doc_id + 1")
 def t11(spark, d):
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
-    a = A.table(spark, d, "documents").where("doc_id between 480 and 520").select("doc_id", T.token_set("text").alias("s")).join(e, "doc_id", "left")
+    a = A.table(spark, d, "documents").select("doc_id", T.token_set("text").alias("s")).join(e, "doc_id", "left")
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other_id"), F.col("s").alias("s2"), F.col("v").alias("v2"))
     sim = F.when(F.col("v").isNotNull() & F.col("v2").isNotNull() & (F.size("v") == F.size("v2")), F.greatest(F.lit(0.0), T.dot(F.col("v"), F.col("v2")))).otherwise(T.jaccard(F.col("s"), F.col("s2")))
     return a.join(b, "doc_id").select("doc_id", "other_id", F.round(sim, 6).alias("similarity"))

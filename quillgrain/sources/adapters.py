@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillgrain.functions import text as T
 
-BANKS = 4
+#: Rows of a table for each bank, so that banks stay as small as they are in the smallest tables.
+PER_BANK, EVENTS_PER_BANK = 250, 2500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,10 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def banks(spark: SparkSession, sf_dir: str, name: str, rows: int = PER_BANK) -> int:
+    """How many banks the rows of a table are dealt to; four at least."""
+    return max(4, table(spark, sf_dir, name).count() // rows)
+
+
 def conversation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as raw memories; turn_idx counts on inside a bank."""
     c = table(spark, sf_dir, "conversations")
-    bank = F.col("conv_id") % BANKS
+    bank = F.col("conv_id") % banks(spark, sf_dir, "conversations")
     return c.select(
         bank.alias("bank_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("session_id"),
         F.col("turn").alias("turn"),
@@ -34,7 +40,7 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
     inferred = i % 7 == 0
     return d.select(
-        (i % BANKS).alias("bank_id"), i.alias("id"), F.when(i % 11 != 0, i).alias("turn_idx"),
+        (i % banks(spark, sf_dir, "documents")).alias("bank_id"), i.alias("id"), F.when(i % 11 != 0, i).alias("turn_idx"),
         F.when(inferred, "inference").when(i % 19 == 0, "commitment").otherwise("semantic").alias("kind"),
         F.when(inferred, "inferred").otherwise("read").alias("provenance"), F.col("text").alias("content"), "source",
         F.when(inferred, (i % 10) / 10).otherwise(0.8).alias("confidence"), T.salience("text").alias("salience"),
@@ -47,19 +53,19 @@ def recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twelve words of every benchmark item, one bank each, with a turn as cutoff."""
     b = table(spark, sf_dir, "benchmark")
     return b.select(
-        F.col("item_id").alias("query_id"), (F.col("item_id") % BANKS).alias("bank_id"),
+        F.col("item_id").alias("query_id"), (F.col("item_id") % banks(spark, sf_dir, "documents")).alias("bank_id"),
         F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("query_text"), (F.lit(500) + F.col("item_id") * 7).cast("long").alias("cutoff_turn"),
     )
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as an ordered stream of evidence on twenty hypotheses of five addresses each."""
+    """Labelled documents as an ordered stream of evidence on hypotheses of twenty documents and five addresses each."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return rows.select(
-        (F.col("doc_id") % 20).alias("hypothesis_id"), F.col("doc_id").alias("seq"),
-        F.concat(F.lit("https://source.example/"), (F.col("doc_id") % 20).cast("string"), F.lit("/"), (F.floor(F.col("doc_id") / 20) % 5).cast("string")).alias("url"),
+        F.floor(F.col("doc_id") / 20).alias("hypothesis_id"), F.col("doc_id").alias("seq"),
+        F.concat(F.lit("https://source.example/"), F.floor(F.col("doc_id") / 20).cast("string"), F.lit("/"), (F.col("doc_id") % 5).cast("string")).alias("url"),
         F.when(F.col("toxic") == 1, "contradicts").when(F.col("quality") == 1, "supports").otherwise("context").alias("stance"),
-        F.substring("text", 1, 700).alias("body"),
+        F.col("text").alias("body"),
     )
 
 
@@ -71,7 +77,7 @@ def belief_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.lit("identity")
     for name, v in kinds.items():
         kind = F.when(F.col("event_type") == name, v).otherwise(kind)
-    bank = F.col("user_id") % BANKS
+    bank = F.col("user_id") % banks(spark, sf_dir, "events", EVENTS_PER_BANK)
     return e.select(
         bank.alias("bank_id"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("about"), kind.alias("kind"),
         F.concat(F.when(k % 2 == 1, "not ").otherwise(""), F.col("event_type"), F.lit(" bucket"), (k % 5).cast("string")).alias("claim"),
