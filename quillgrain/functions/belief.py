@@ -77,19 +77,24 @@ def polarity(claim: Column) -> Column:
     return F.when(hits % 2 == 1, -1).otherwise(1)
 
 
-def claim_similarity(a: Column, b: Column, subject: Column) -> Column:
-    """0 for opposite polarity, 1 for a subset, else shared words over those of the smaller claim."""
+def claim_parts(claim: Column, subject: Column) -> Column:
+    """What is compared of a claim: its polarity, and its words without those of the subject, if any are left."""
+    words = claim_tokens(claim)
+    rest = F.array_except(words, claim_tokens(subject))
+    return F.struct(polarity(claim).alias("polarity"), F.when((F.coalesce(subject, F.lit("")) != "") & (F.size(rest) > 0), rest).otherwise(words).alias("words"))
 
-    def over(ta: Column, tb: Column) -> Column:
-        both = F.size(F.array_intersect(ta, tb))
-        least = F.least(F.size(ta), F.size(tb))
-        return F.when(least == 0, F.when(F.size(ta) == F.size(tb), 1.0).otherwise(0.0)).when(both == least, 1.0).otherwise(both / least)
 
-    def without(t: Column) -> Column:
-        rest = F.array_except(t, claim_tokens(subject))
-        return F.when((F.coalesce(subject, F.lit("")) != "") & (F.size(rest) > 0), rest).otherwise(t)
+def parts_similarity(a: Column, b: Column) -> Column:
+    """0 for opposite polarity, 1 for a subset, else shared words over those of the smaller claim."""
+    ta, tb = a["words"], b["words"]
+    both, least = F.size(F.array_intersect(ta, tb)), F.least(F.size(ta), F.size(tb))
+    over = F.when(least == 0, F.when(F.size(ta) == F.size(tb), 1.0).otherwise(0.0)).when(both == least, 1.0).otherwise(both / least)
+    return F.when(a["polarity"] != b["polarity"], 0.0).otherwise(over)
 
-    return F.when(polarity(a) != polarity(b), 0.0).otherwise(over(without(claim_tokens(a)), without(claim_tokens(b))))
+
+def claim_similarity(a: Column, b: Column, subject: Column) -> Column:
+    """How alike two claims on a subject are, by their parts."""
+    return parts_similarity(claim_parts(a, subject), claim_parts(b, subject))
 
 
 def inferred_kind(claim: Column) -> Column:

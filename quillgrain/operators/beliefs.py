@@ -129,13 +129,20 @@ def leading(store: DataFrame, turn, competitors: int = 2) -> DataFrame:
 
 
 def credence(asked: DataFrame, store: DataFrame, turn) -> DataFrame:
-    """Asked (bank_id, about, asked_id, claim): the live confidence of the best match of 0.4 or more, else null."""
-    s = store.select("bank_id", "about", F.col("claim").alias("held_claim"), live(turn).alias("live"))
-    pairs = asked.join(s, ["bank_id", "about"], "left")
-    sim = F.when(F.col("held_claim").isNotNull(), B.claim_similarity(F.col("claim"), F.col("held_claim"), F.col("about")))
-    w = Window.partitionBy("asked_id").orderBy(F.desc_nulls_last("sim"), "held_claim", F.desc("live"))
+    """Asked (bank_id, about, asked_id, claim): the live confidence of the best match of 0.4 or more, else null.
+
+    Each different claim of a subject is looked up once, and its words are worked out before it meets
+    what the subject holds.
+    """
+    parts = B.claim_parts(F.col("claim"), F.col("about"))
+    key = ["bank_id", "about", "claim"]
+    s = store.select("bank_id", "about", F.col("claim").alias("held_claim"), live(turn).alias("live"), parts.alias("held"))
+    pairs = asked.select(*key).distinct().withColumn("own", parts).join(s, ["bank_id", "about"], "left")
+    sim = F.when(F.col("held_claim").isNotNull(), B.parts_similarity(F.col("own"), F.col("held")))
+    w = Window.partitionBy(*key).orderBy(F.desc_nulls_last("sim"), "held_claim", F.desc("live"))
     best = pairs.withColumn("sim", sim).withColumn("r", F.row_number().over(w)).where("r = 1")
-    return best.select("asked_id", "bank_id", "about", "claim", F.when(F.col("sim") >= B.MATCH, F.col("live")).alias("credence"))
+    found = best.select(*key, F.when(F.col("sim") >= B.MATCH, F.col("live")).alias("credence"))
+    return asked.join(found, key, "left").select("asked_id", *key, "credence")
 
 
 def reconcile(inferences: DataFrame, credences: DataFrame) -> DataFrame:

@@ -37,10 +37,10 @@ def queries(spark, d):
 
 _TOK = f"regexp_extract_all(translate(lower(content), '{R.ACCENTED}', '{R.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
 _STOP = S.words(T.STOPWORDS)
-_LEX = f"""{S.DOCM}, {S.QUERIES}, tk as (select bank_id, id, len({_TOK}) as doc_len, unnest({_TOK}) as token from docm), po as (select bank_id, id, doc_len, token, count(*) as tf from tk group by all),
-df as (select token, count(*) as df from po group by 1), sz as (select count(*)::double as n, avg(len({_TOK})) as avg_len from docm),
-t1 as (select query_id, bank_id, {S.distinct("list_filter(regexp_extract_all(lower(query_text), '[a-z0-9''-]{3,}'), lambda x: not list_contains(" + _STOP + ", x))")}[1:16] as l from qs),
-tq as (select distinct query_id, bank_id, unnest(regexp_extract_all(array_to_string(l, ' '), '[\\p{{L}}\\p{{N}}]+')) as token from t1),
+_LEX = f"""{S.DOCM}, {S.QUERIES}, tl as materialized (select bank_id, id, {_TOK} as toks from docm), tk as (select bank_id, id, len(toks) as doc_len, unnest(toks) as token from tl), po as materialized (select bank_id, id, doc_len, token, count(*) as tf from tk group by all),
+df as materialized (select token, count(*) as df from po group by 1), sz as (select count(*)::double as n, avg(len(toks)) as avg_len from tl),
+t1 as materialized (select query_id, bank_id, {S.distinct("list_filter(regexp_extract_all(lower(query_text), '[a-z0-9''-]{3,}'), lambda x: not list_contains(" + _STOP + ", x))")}[1:16] as l from qs),
+tq as materialized (select distinct query_id, bank_id, unnest(regexp_extract_all(array_to_string(l, ' '), '[\\p{{L}}\\p{{N}}]+')) as token from t1),
 lex as (select query_id, id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))) as score from tq join po using (bank_id, token) join df using (token), sz group by 1, 2)"""
 
 
