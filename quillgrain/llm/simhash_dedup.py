@@ -122,15 +122,16 @@ def near_duplicates(fps: DataFrame, limit: int = 2) -> DataFrame:
     return fps.join(named.join(lows, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
-#: Near copies: sixteen segments of 24 bits; SAME bits of 384 differ at most, which is a shingle similarity of about 0.8.
-SEGMENTS, BITS, SAME = 16, 24, 60
+#: Near copies: sixteen segments of 24 bits and SPARE bits besides; SAME of them all differ at most, which is a
+#: shingle similarity of about 0.8. An id holds ID_BITS of the spare bits, of which ID_SAME differ at most.
+SEGMENTS, BITS, SPARE, SAME, ID_BITS, ID_SAME = 16, 24, 64, 70, 40, 12
 #: For a byte the eight bits, first the highest, as eight one-byte counters in a 64-bit word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
-_MIXERS = np.random.default_rng(SEED).integers(0, 2**64, SEGMENTS * BITS // 64, dtype=np.uint64) | np.uint64(1)
+_MIXERS = np.random.default_rng(SEED).integers(0, 2**64, (SEGMENTS * BITS + SPARE) // 64, dtype=np.uint64) | np.uint64(1)
 
 
 def wide_fingerprint(text: bytes, width: int) -> bytes:
-    """SimHash of 384 bits of the word shingles of a lower-cased text; no word gives zeros."""
+    """SimHash of 448 bits of the word shingles of a lower-cased text; no word gives zeros."""
     words = text.lower().split()
     if not words:
         return bytes(8 * len(_MIXERS))
@@ -151,14 +152,60 @@ def wide_fingerprint(text: bytes, width: int) -> bytes:
 
 
 def wild_keys(prints: np.ndarray) -> np.ndarray:
-    """For each fingerprint (48 bytes) the keys of its segments with one bit wild, all numbered apart."""
-    parts = prints.reshape(len(prints), SEGMENTS, BITS // 8).astype(np.int64)
+    """For each fingerprint (a row of bytes) the keys of its segments with one bit wild, all numbered apart."""
+    parts = prints[:, : SEGMENTS * BITS // 8].reshape(len(prints), SEGMENTS, BITS // 8).astype(np.int64)
     segment = (parts[:, :, 0] << 16) | (parts[:, :, 1] << 8) | parts[:, :, 2]
     wild = np.arange(BITS)
     number = np.arange(SEGMENTS)[:, None] * BITS + wild
     return ((segment[:, :, None] & ~(1 << wild)) | (number << BITS)).reshape(len(prints), -1)
 
 
+def number_of(fp: bytes) -> int:
+    """The id of a fingerprint: ID_BITS of its spare bits, then bits of a hash that tell fingerprints apart."""
+    free = 64 - ID_BITS
+    lead = int.from_bytes(fp[-SPARE // 8 :], "big") >> (SPARE - ID_BITS)
+    x = lead << free | xxhash.xxh3_64_intdigest(fp) >> ID_BITS
+    return x - (x >> 63 << 64)
+
+
+def alike(most: int = ID_SAME, room: int = 20_000):
+    """A task over (key, id) rows by key: those whose ids are near to another one's of their bucket.
+
+    Buckets that unlike fingerprints share by chance end here, before fingerprints are fetched.
+    """
+
+    def settle(key: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        bits = ids.view(np.uint64) >> np.uint64(64 - ID_BITS)
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        keep = np.ones(len(key), bool)
+        two = start[size == 2]
+        keep[two] = keep[two + 1] = np.bitwise_count(bits[two] ^ bits[two + 1]) <= most
+        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            if n <= 2000:  # larger ones go on whole
+                far = np.bitwise_count(bits[s : s + n, None] ^ bits[None, s : s + n])
+                np.fill_diagonal(far, 64)
+                keep[s : s + n] = far.min(axis=1) <= most
+        return pd.DataFrame({"key": key[keep], "id": ids[keep]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+        for pdf in shared(batches):
+            key, ids = np.concatenate([key, pdf["key"].to_numpy(np.int64)]), np.concatenate([ids, pdf["id"].to_numpy(np.int64)])
+            if len(key) >= room:
+                last = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+                if last:
+                    yield settle(key[:last], ids[:last])
+                    key, ids = key[last:], ids[last:]
+                else:
+                    yield pd.DataFrame({"key": key, "id": ids})
+                    key, ids = key[:0], ids[:0]
+        if len(key):
+            yield settle(key, ids)
+
+    return run
+
+
 def nearest_links(same: int = SAME, room: int = 4096):
     """A task over (key, id, fp) rows by key: (key, u, v) links a fingerprint to the nearest before it, if it is near enough.
 
@@ -208,8 +255,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([wide_fingerprint(t.as_py(), width) for t in b.column("t")], pa.binary())
-            yield pa.record_batch([b.column("_d"), b.column("_t"), fp], ["_d", "_t", "fp"])
+            fp = [wide_fingerprint(t.as_py(), width) for t in b.column("t")]
+            yield pa.record_batch([b.column("_d"), b.column("_t"), pa.array(fp, pa.binary()), pa.array(map(number_of, fp), pa.int64())], ["_d", "_t", "fp", "id"])
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,10 +265,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.record_batch([pa.array(keys.ravel()), part.column("id").take(pa.array(np.repeat(np.arange(len(part)), keys.shape[1])))], ["key", "id"])
 
     rows = doc_key(docs.select(id_col, text_col), id_col, text_col).select("_d", "_t", raw(text_col).alias("t"))
-    prints = stored(rows.mapInArrow(run, "_d long, _t long, fp binary").withColumn("id", F.xxhash64("fp")))
+    prints = stored(rows.mapInArrow(run, "_d long, _t long, fp binary, id long"))
     nodes = stored(prints.select("id", "fp").dropDuplicates(["id"]))
     dealt = nodes.mapInArrow(variants, "key long, id long")
-    dealt = stored(dealt.repartition("key").sortWithinPartitions("key").mapInPandas(shared, "key long, id long"))
+    dealt = stored(dealt.repartition("key").sortWithinPartitions("key").mapInPandas(alike(), "key long, id long"))
     links = None
     while True:
         ordered = dealt.join(nodes, "id").repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp")

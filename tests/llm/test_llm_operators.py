@@ -97,7 +97,7 @@ def test_near_copies_are_grouped(spark, docs):
 
 
 def test_nearest_links_of_a_streamed_bucket():
-    fp = np.array([[2**i - 1] + [0] * 5 for i in (0, 1, 2, 60, 61)], np.uint64)
+    fp = np.array([[2**i - 1] + [0] * 6 for i in (0, 1, 2, 60, 61)], np.uint64)
     rows = pd.DataFrame({"key": 7, "id": np.arange(5), "fp": [x.tobytes() for x in fp]})
     for size in (1, 2, 5):
         got = pd.concat(simhash_dedup.nearest_links(5)(rows[i : i + size] for i in range(0, 5, size)))
@@ -106,6 +106,17 @@ def test_nearest_links_of_a_streamed_bucket():
     assert got.u[got.v.isna()].tolist() == [3, 4]
 
 
+@pytest.mark.parametrize(("size", "room"), [(1, 4), (3, 4), (100, 20_000)])
+def test_chance_buckets_end_before_fingerprints_are_fetched(size, room):
+    r = np.random.default_rng(4)
+    base = r.integers(-(2**63), 2**63 - 1, 6)
+    key = np.array([1, 1, 2, 2, 3, 3, 3, 4])
+    ids = np.array([base[0], base[0] ^ (7 << 40), base[1], base[2], base[3], base[4], base[4] ^ (1 << 60), base[5]])
+    rows = pd.DataFrame({"key": key, "id": ids})
+    got = pd.concat(simhash_dedup.alike(12, room)(rows[i : i + size] for i in range(0, len(rows), size)))
+    assert got["id"].tolist() == ids[[0, 1, 5, 6]].tolist()
+
+
 # ---- passages
 
 def plain_kept(texts, n=50):
