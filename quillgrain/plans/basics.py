@@ -240,7 +240,7 @@ def t09(spark, d):
     return A.recall_queries(spark, d).join(m, "bank_id").select("query_id", "id", s.alias("score")).where("score > 0")
 
 
-_SET = S.distinct(S.tokens("text"))
+_SET = f"list_distinct({S.tokens('text')})"
 
 
 @query("t10_jaccard", f"""with a as (select doc_id, {_SET} as s from documents) select x.doc_id, y.doc_id as other_id, round(len(list_intersect(x.s, y.s)) / len(list_distinct(x.s || y.s))::double, 9) as similarity

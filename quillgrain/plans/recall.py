@@ -166,7 +166,7 @@ def v03(spark, d):
     return X.nearest(e, e.where("id % 100 = 0").select(F.col("id").alias("query_id"), "stamp", "vector"), 10).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("t11_similarity", f"with t as (select doc_id, {S.distinct(S.tokens('text'))} as s, embedding::double[] as v from documents left join embeddings on vec_id = doc_id) select a.doc_id, b.doc_id as other_id, round(case when a.v is not null and b.v is not null then greatest(0, list_dot_product(a.v, b.v)) when len(a.s) = 0 or len(b.s) = 0 then 0 else len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s))::double end, 6) as similarity from t a join t b on b.doc_id = a.doc_id + 1")
+@query("t11_similarity", f"with t as (select doc_id, list_distinct({S.tokens('text')}) as s, embedding::double[] as v from documents left join embeddings on vec_id = doc_id) select a.doc_id, b.doc_id as other_id, round(case when a.v is not null and b.v is not null then greatest(0, list_dot_product(a.v, b.v)) when len(a.s) = 0 or len(b.s) = 0 then 0 else len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s))::double end, 6) as similarity from t a join t b on b.doc_id = a.doc_id + 1")
 def t11(spark, d):
     e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
     a = A.table(spark, d, "documents").select("doc_id", T.token_set("text").alias("s")).join(e, "doc_id", "left")
