@@ -112,9 +112,10 @@ b as (select summary_id, pos, string_agg(ref, ' ' order by n desc, ref) as refs
 select summary_id, pos::int as pos, claim, coalesce(refs, '') as refs from c left join b using (summary_id, pos)"""
 
 
-def _window(doc, inferred=F.lit(False)):
+def _window(doc, inferred=None):
     """A summary's support lies in its own window of twenty documents, and in its own scope."""
-    return F.concat(F.floor(F.col(doc) / 20).cast("string"), F.when(inferred, ":surmise").otherwise(":received")).alias("scope")
+    scope = F.lit(":received") if inferred is None else F.when(inferred, ":surmise").otherwise(":received")
+    return F.concat(F.floor(F.col(doc) / 20).cast("string"), scope).alias("scope")
 
 
 @query("j17_support_sets", J17)
