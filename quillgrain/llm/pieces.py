@@ -12,8 +12,8 @@ scores is relaxed as usual. Characters without a piece fall back to byte pieces.
 
 from __future__ import annotations
 
-import uuid
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
