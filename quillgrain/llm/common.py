@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,18 +91,24 @@ def doc_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d:
     })
 
 
-def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def keyed(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """(key, id) rows."""
+    return pa.record_batch([pa.array(key), pa.array(ids)], ["key", "id"])
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task over (key, id) rows by key: those of keys with two rows or more. One row is held back."""
     key, ids, kept = np.empty(0, np.int64), np.empty(0, np.int64), False
-    for pdf in batches:
-        key, ids = np.concatenate([key, pdf["key"].to_numpy(np.int64)]), np.concatenate([ids, pdf["id"].to_numpy(np.int64)])
+    for b in batches:
+        key, ids = (np.concatenate([held, b.column(c).to_numpy()]) for held, c in ((key, "key"), (ids, "id")))
         if len(key) > 1:
             same = key[1:] == key[:-1]
             take = np.r_[kept, same] | np.r_[same, False]
-            yield pd.DataFrame({"key": key[:-1][take[:-1]], "id": ids[:-1][take[:-1]]})
+            if take[:-1].any():
+                yield keyed(key[:-1][take[:-1]], ids[:-1][take[:-1]])
             key, ids, kept = key[-1:], ids[-1:], bool(same[-1])
     if len(key) and kept:
-        yield pd.DataFrame({"key": key, "id": ids})
+        yield keyed(key, ids)
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

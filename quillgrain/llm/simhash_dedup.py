@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrain.llm.common import components, cut, doc_key, raw, shared, stored
+from quillgrain.llm.common import components, cut, doc_key, keyed, raw, shared, stored
 
 SEED = 42
 
@@ -174,7 +174,7 @@ def alike(most: int = ID_SAME, room: int = 20_000):
     Buckets that unlike fingerprints share by chance end here, before fingerprints are fetched.
     """
 
-    def settle(key: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    def settle(key: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         bits = ids.view(np.uint64) >> np.uint64(64 - ID_BITS)
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
@@ -186,19 +186,19 @@ def alike(most: int = ID_SAME, room: int = 20_000):
                 far = np.bitwise_count(bits[s : s + n, None] ^ bits[None, s : s + n])
                 np.fill_diagonal(far, 64)
                 keep[s : s + n] = far.min(axis=1) <= most
-        return pd.DataFrame({"key": key[keep], "id": ids[keep]})
+        return keyed(key[keep], ids[keep])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids = np.empty(0, np.int64), np.empty(0, np.int64)
-        for pdf in shared(batches):
-            key, ids = np.concatenate([key, pdf["key"].to_numpy(np.int64)]), np.concatenate([ids, pdf["id"].to_numpy(np.int64)])
+        for b in shared(batches):
+            key, ids = np.concatenate([key, b.column("key").to_numpy()]), np.concatenate([ids, b.column("id").to_numpy()])
             if len(key) >= room:
                 last = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
                 if last:
                     yield settle(key[:last], ids[:last])
                     key, ids = key[last:], ids[last:]
                 else:
-                    yield pd.DataFrame({"key": key, "id": ids})
+                    yield keyed(key, ids)
                     key, ids = key[:0], ids[:0]
         if len(key):
             yield settle(key, ids)
@@ -268,7 +268,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = stored(rows.mapInArrow(run, "_d long, _t long, fp binary, id long"))
     nodes = stored(prints.select("id", "fp").dropDuplicates(["id"]))
     dealt = nodes.mapInArrow(variants, "key long, id long")
-    dealt = stored(dealt.repartition("key").sortWithinPartitions("key").mapInPandas(alike(), "key long, id long"))
+    dealt = stored(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(alike(), "key long, id long"))
     links = None
     while True:
         ordered = dealt.join(nodes, "id").repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp")
