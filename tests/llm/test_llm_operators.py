@@ -8,12 +8,13 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from quillgrain.llm import best_fit, line_dedup, mtree, pieces, pii, ppm, quality_rules, simhash_dedup, substring_dedup, toxicity
-from quillgrain.llm.common import components, shared, table
+from quillgrain.llm.common import components, keyed, shared, table
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", "   ", "\n\n", "one", "word " * 3000, "same text here", "same text here", "é ñ 你好 🙂\tx"]
@@ -173,7 +174,7 @@ def test_fuzzy_lines_match_brute_force(spark, docs):
 
 def linked(lines):
     """Every pair of normalised lines that pass the edit test; nothing else is asked."""
-    return {(a, b) for a in range(len(lines)) for b in range(a) if line_dedup.similar(lines[a], lines[b])}
+    return {(a, b) for a in range(len(lines)) for b in range(a) if line_dedup.similar([(lines[a], lines[b])])[0]}
 
 
 def left_over(n, links):
@@ -231,14 +232,14 @@ def test_offers_of_a_streamed_bucket(size, room):
 @pytest.mark.parametrize("size", [1, 2, 1000])
 def test_only_shared_keys_go_on(size):
     key = np.repeat([1, 2, 3, 4, 5], [1, 2, 1, 3, 1])
-    rows = pd.DataFrame({"key": key, "id": np.arange(len(key))})
-    got = pd.concat(shared(rows[i : i + size] for i in range(0, len(rows), size)))
-    assert got["key"].tolist() == [2, 2, 4, 4, 4] and got["id"].tolist() == [1, 2, 4, 5, 6]
+    rows = keyed(key, np.arange(len(key)))
+    got = pa.Table.from_batches(shared(rows[i : i + size] for i in range(0, len(rows), size)))
+    assert got["key"].to_pylist() == [2, 2, 4, 4, 4] and got["id"].to_pylist() == [1, 2, 4, 5, 6]
 
 
 def test_edit_distance():
     assert line_dedup.edits("kitten", "sitting") == 3 and line_dedup.edits("", "abc") == 3 and line_dedup.edits("abc", "abc") == 0
-    assert line_dedup.similar("x" * 10, "x" * 8 + "yy") and not line_dedup.similar("x" * 10, "x" * 7 + "yyy")
+    assert line_dedup.similar([("x" * 10, "x" * 8 + "yy"), ("x" * 10, "x" * 7 + "yyy"), ("", "")]) == [True, False, True]
     r = random.Random(1)
     for _ in range(500):
         a, b = (" ".join(r.choice(["a", "bb", "ccc", "x", ""]) for _ in range(r.randrange(9))) for _ in range(2))
@@ -247,6 +248,17 @@ def test_edit_distance():
         assert all((line_dedup.edits(a, b, m) <= m) == (far <= m) for m in (0, 2, 5))
 
 
+@pytest.mark.parametrize("group_bytes", [1, 300, 1 << 20])
+def test_edits_side_by_side(monkeypatch, group_bytes):
+    r = random.Random(2)
+    pairs = [tuple("".join(r.choice("abé😀") for _ in range(r.choice([0, 1, 7, 8, 9, 40, 63, 64, 65]))) for _ in range(2)) for _ in range(300)]
+    full = [(a, b) for a, b in pairs if a and b]
+    assert line_dedup.side_by_side(full) == [line_dedup.edits(a, b) for a, b in full]
+    monkeypatch.setattr(line_dedup, "GROUP_BYTES", group_bytes)
+    close = [line_dedup.edits(a, b) <= 0.6 * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+    assert line_dedup.similar(pairs, 0.4) == close and any(close) and not all(close)
+
+
 # ---- search
 
 def test_search_is_exact_with_ties_and_copies(spark):
