@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgrain.llm import best_fit, fim, line_dedup, mtree, oracles, pieces, pii, ppm, quality_rules, simhash_dedup, substring_dedup, toxicity
+from quillgrain.llm import best_fit, fim, line_dedup, mtree, oracles, pieces, pii, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_simhash_dedup": simhash_dedup.query,
+    "op11_sharding": sharding.query,
     "op13_fill_in_middle": fim.query,
 }
 ORACLES: dict[str, str] = {
