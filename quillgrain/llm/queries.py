@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillgrain.llm import best_fit, fim, line_dedup, mtree, oracles, pieces, pii, ppm, quality_rules, sharding, simhash_dedup, substring_dedup, toxicity
+from quillgrain.llm import best_fit, fim, line_dedup, mtree, oracles, pieces, pii, ppm, quality_rules, ranked_search, sharding, simhash_dedup, substring_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,11 +16,13 @@ QUERIES = {
     "op9_quality_rules": quality_rules.query,
     "op10_simhash_dedup": simhash_dedup.query,
     "op11_sharding": sharding.query,
+    "op12_ranked_search": ranked_search.query,
     "op13_fill_in_middle": fim.query,
 }
 ORACLES: dict[str, str] = {
     "op3_mtree": mtree.ORACLE,
     "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op9_quality_rules": oracles.QUALITY_RULES,
+    "op12_ranked_search": ranked_search.ORACLE,
     "op13_fill_in_middle": fim.ORACLE,
 }
