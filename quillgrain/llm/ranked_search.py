@@ -35,6 +35,7 @@ SHARD_BYTES, SHARD_DOCS, BLOCK, WINDOW, ITEMS = 16 << 20, 1 << 16, 64, 8192, 256
 #: One of so many shards is searched first.
 FIRST = 16
 NO_ID = 2**63 - 1
+_FIRST_BOUND = np.zeros(1, np.int64)
 
 _BYTES = np.arange(256)
 _UPPER = (_BYTES >= 65) & (_BYTES <= 90)
@@ -55,12 +56,18 @@ def terms_of(text: Column) -> Column:
 
 # ---- lists of a shard
 
+def _starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether a term of one of the joined texts starts at a byte."""
+    held = _IS_TERM[data]
+    before = np.r_[False, held[:-1]][: len(held)]
+    before[bounds[:-1][bounds[:-1] < len(data)]] = False
+    return held & ~before
+
+
 def postings(data: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of joined texts: different terms, and by term and document: term, document, occurrences; terms of each document."""
     held = _IS_TERM[data]
-    before = np.r_[False, held[:-1]]
-    before[bounds[:-1][bounds[:-1] < len(data)]] = False
-    first = np.flatnonzero(held & ~before)
+    first = np.flatnonzero(_starts(data, bounds))
     starts = np.cumsum(held, dtype=np.int64)[first] - 1
     kept = _LOWER[data[held]]
     owner = np.searchsorted(bounds, first, "right") - 1
@@ -211,8 +218,14 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     table gives an empty index. No other column is read.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), raw(text_col).alias("t"))
-    counts = docs.select(F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(TERM)).cast("long").alias("n")).where("n > 0").agg(F.count("*"), F.sum("n")).first()
-    n_docs, n_terms = counts[0], counts[1] or 0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.array([_starts(np.frombuffer(x.as_buffer(), np.uint8), _FIRST_BOUND).sum() for x in b.column("t")], np.int64)
+            yield pa.record_batch([pa.array([(n > 0).sum()]), pa.array([n.sum()])], ["d", "n"])
+
+    counts = rows.select("t").mapInArrow(count, "d long, n long").agg(F.sum("d"), F.sum("n")).first()
+    n_docs, n_terms = counts[0] or 0, counts[1] or 0
 
     def shard(number: int, ids: list[np.ndarray], texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         sizes = np.concatenate([np.diff(np.frombuffer(t.buffers()[1], np.int64)[t.offset : t.offset + len(t) + 1]) for t in texts])
