@@ -102,12 +102,13 @@ _BLOCK_ROW = "stamp string, dim int, block long, n int, ids binary, vectors bina
 def blocks_of(rows: DataFrame, size: int = BLOCK, pivots: int = PIVOTS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Vectors (id, stamp, vector) as blocks of at most `size` near ones, each with its centre, radius and largest norm.
 
-    Rows go to the nearest of at most `pivots` vectors, those of the least id hashes, and a task
+    Rows go to the nearest of at most `pivots` vectors, those of the least id hashes (fewer for few rows), and a task
     groups at most about `task_rows` rows of one pivot, so a dense region is many tasks. The blocks are
     a table with one row each.
     """
     rows = rows.where("id is not null and vector is not null and size(vector) > 0").select(F.col("id").cast("long").alias("id"), F.coalesce("stamp", F.lit("")).alias("stamp"), "vector", F.size("vector").alias("dim"))
-    first = rows.select("dim", "vector").orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    few = max(1, min(pivots, 4 * rows.count() // size))
+    first = rows.select("dim", "vector").orderBy(F.xxhash64("id"), "id").limit(few).collect()
     centres = {d: np.array([r.vector for r in first if r.dim == d], float) for d in {r.dim for r in first}}
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
