@@ -68,10 +68,12 @@ def embedding_texts(rows: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The latest row of each key; rows whose last key is empty are all kept.
 
-    One shuffle on the keys; the newest version wins, `new` over `old` on a tie.
+    One shuffle on the keys; `new` wins over `old`, then the newest version; of rows equal in both the
+    one of the least hash, so that the result doesn't hang on their order.
     """
+    rest = [F.col(f.name) for f in sorted(new.schema, key=lambda f: f.name) if f.name in old.columns and f.dataType.typeName() != "map"]
     both = old.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)), allowMissingColumns=True)
-    latest = Window.partitionBy(*keys).orderBy(F.desc("_n"), F.desc(version))
+    latest = Window.partitionBy(*keys).orderBy(F.desc("_n"), F.desc(version), F.xxhash64(*rest))
     keyed = both.where(F.col(keys[-1]).cast("string") != "").withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
     return keyed.unionByName(both.where(F.coalesce(F.col(keys[-1]).cast("string"), F.lit("")) == "")).drop("_n")
 

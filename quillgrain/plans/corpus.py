@@ -126,11 +126,28 @@ def s11(spark, d):
     return N.skip_reasons(_files(spark, d), budget=200_000).select("path", "why")
 
 
+def _relisted(spark, d):
+    """A listing of the documents as sources, and a later one: some rewritten, some longer, some gone, some new."""
+    i = F.col("doc_id")
+    src = A.chunk_sources(spark, d).withColumn("bytes", F.octet_length("body").cast("long"))
+    later = src.where(i % 7 != 0).withColumns({"body": F.when(i % 10 == 0, F.concat(F.lit("# Anew\n\n"), "body")).otherwise(F.col("body")), "modified": F.when(i % 10 == 0, i + 1).otherwise(i)})
+    later = later.withColumn("bytes", F.octet_length("body").cast("long"))
+    return src.where(i % 9 != 1), later
+
+
+_LIST = f"""{_BODY}, o as (select path, doc_id as modified, strlen(body) as bytes from src where doc_id % 9 <> 1),
+n as (select path, doc_id + (doc_id % 10 = 0)::int as modified, strlen(body) + 8 * (doc_id % 10 = 0)::int as bytes from src where doc_id % 7 <> 0)"""
+
+
+@query("s12_listing_difference", f"with {_LIST} select path, case when o.path is null then 'new' when n.path is null then 'vanished' when o.bytes = n.bytes and o.modified = n.modified then 'same' else 'changed' end as change from o full join n using (path)")
+def s12_difference(spark, d):
+    return N.listing_difference(*_relisted(spark, d)).select("path", "change")
+
+
 @query("s12_reindex_changed")
 def s12(spark, d):
-    src = A.chunk_sources(spark, d)
-    old = N.chunk(src)
-    return N.reindex(old, src.where("doc_id % 10 = 0"), src.where("doc_id % 7 <> 0").select("path")).select("path", "ordinal", "chunk_key", "chars")
+    old, now = _relisted(spark, d)
+    return N.reindex(N.chunk(old), N.listing_difference(old, now), now).select("path", "ordinal", "chunk_key", "title", "chars")
 
 
 @query("o16_bounded_sample")

@@ -8,40 +8,55 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgrain.operators import beliefs as H
+from quillgrain.operators import chunks as N
 from quillgrain.operators import evidence as E
+from quillgrain.operators import lifecycle as L
+from quillgrain.operators.bank import upsert
+from quillgrain.sources.buckets import BUCKETS, BucketTable
 
 HELD = "kind string, claim string, confidence double, first_seen_turn long, last_updated_turn long, words array<string>, polarity int"
 _NAMES = [c.split()[0] for c in HELD.split(", ")]
 
 
+class BeliefState(StatefulProcessor):
+    """What is held about one (bank, subject): a list state of thirty claims at most."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", HELD)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [dict(zip(_NAMES, row, strict=True)) for row in self.held.get()] if self.held.exists() else []
+        new = pd.concat(list(rows)).sort_values(["turn", "seq"]).to_dict("records")
+        for x in held + new:
+            x["words"] = set(x["words"])
+        s = H.Subject(held)
+        s.run(new)
+        self.held.put([tuple(sorted(h[n]) if n == "words" else h[n] for n in _NAMES) for h in s.held])
+        yield pd.DataFrame([{"bank_id": key[0], "about": key[1]} | {c: h[c] for c in H.COLUMNS[2:]} for h in s.held], columns=H.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
 def belief_stream(updates: DataFrame) -> DataFrame:
     """The changed subjects of each micro-batch with all they hold; the last of each is the batch result.
 
-    State is the held claims of one (bank, subject), thirty at most.
+    `belief_store` reads what is held back from the checkpoint. Needs the RocksDB state store.
     """
+    return H.read_claims(updates).groupBy("bank_id", "about").transformWithStateInPandas(BeliefState(), H.STORE, "Update", "None")
 
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [dict(zip(_NAMES, row, strict=True)) for row in state.get[0]] if state.exists else []
-        for h in held:
-            h["words"] = set(h["words"])
-        pdf = pd.concat(list(batches)).sort_values(["turn", "seq"])
-        rows = pdf.to_dict("records")
-        for u in rows:
-            u["words"] = set(u["words"])
-        s = H.Subject(held)
-        s.run(rows)
-        state.update(([tuple(sorted(h[n]) if n == "words" else h[n] for n in _NAMES) for h in s.held],))
-        out = [{"bank_id": key[0], "about": key[1]} | {c: h[c] for c in H.COLUMNS[2:]} for h in s.held]
-        yield pd.DataFrame(out, columns=H.COLUMNS)
 
-    return H.read_claims(updates).groupBy("bank_id", "about").applyInPandasWithState(fold, H.STORE, f"held array<struct<{HELD.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>", "update", GroupStateTimeout.NoTimeout)
+def belief_store(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The whole belief store as the state of a stopped or running `belief_stream` holds it."""
+    state = spark.read.format("statestore").option("stateVarName", "held").load(checkpoint)
+    return state.select("key.bank_id", "key.about", *[F.col(f"list_element.{c}").alias(c) for c in H.COLUMNS[2:]])
 
 
 class EvidenceState(StatefulProcessor):
@@ -54,9 +69,14 @@ class EvidenceState(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         c, s, k, d, f = self.total.get() if self.total.exists() else (E.PRIOR, 0, 0, False, 0)
         pin = lambda x: max(E.BAND[0], min(E.BAND[1], x))
-        for _, r in pd.concat(list(rows)).sort_values("seq").iterrows():
-            stance = r["stance"] if r["stance"] in ("supports", "contradicts") else "context"
-            before = self.stances.getValue((r["url"],))[0] if self.stances.containsKey((r["url"],)) else None
+        new = pd.concat(list(rows)).sort_values("seq")
+        seen: dict[str, str] = {}  # of this batch; each address is read and written once
+        for url, said in zip(new["url"].tolist(), new["stance"].tolist(), strict=True):
+            stance = said if said in ("supports", "contradicts") else "context"
+            if url in seen:
+                before = seen[url]
+            else:
+                before = self.stances.getValue((url,))[0] if self.stances.containsKey((url,)) else None
             s += (stance == "supports") - (before == "supports")
             k += (stance == "contradicts") - (before == "contradicts")
             if before is None:
@@ -67,7 +87,9 @@ class EvidenceState(StatefulProcessor):
                     c, d = round(pin(c), 4), True
             elif {before, stance} == {"supports", "contradicts"}:
                 c, d, f = round(pin(c), 4), True, f + 1
-            self.stances.updateValue((r["url"],), (stance,))
+            seen[url] = stance
+        for url, stance in seen.items():
+            self.stances.updateValue((url,), (stance,))
         self.total.update((float(c), int(s), int(k), bool(d), int(f)))
         yield pd.DataFrame({"hypothesis_id": [key[0]], "confidence": [c], "status": ["disputed" if d else "open"], "n_supports": [s], "n_contradicts": [k]})
 
@@ -78,73 +100,116 @@ class EvidenceState(StatefulProcessor):
 def evidence_stream(observations: DataFrame) -> DataFrame:
     """Hypotheses touched by each micro-batch with their confidence so far.
 
-    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass), as all streams here.
     """
     return observations.groupBy("hypothesis_id").transformWithStateInPandas(EvidenceState(), "hypothesis_id long, confidence double, status string, n_supports int, n_contradicts int", "Update", "None")
 
 
-def window_stream(rows: DataFrame) -> DataFrame:
-    """(bank_id, end_turn) of each consolidation window as it closes: ten turns or forty rows after the last."""
-    from quillgrain.operators.lifecycle import EVERY_TURNS, ROW_PRESSURE
+class WindowState(StatefulProcessor):
+    """The turn of a bank's last window and its rows since."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.since = handle.getValueState("since", "turn long, rows long")
 
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, n = state.get if state.exists else (0, 0)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        at, n = self.since.get() if self.since.exists() else (0, 0)
+        turns, counts = np.unique(np.concatenate([b["turn_idx"].to_numpy() for b in rows]), return_counts=True)
         ends = []
-        for turn, own in pd.concat(list(batches)).groupby("turn_idx", sort=True):
-            n += len(own)
-            if turn - at >= EVERY_TURNS or n >= ROW_PRESSURE:
-                ends.append(int(turn))
-                at, n = int(turn), 0
-        state.update((at, n))
+        for turn, more in zip(turns.tolist(), counts.tolist(), strict=True):
+            n += more
+            if turn - at >= L.EVERY_TURNS or n >= L.ROW_PRESSURE:
+                ends.append(turn)
+                at, n = turn, 0
+        self.since.update((int(at), int(n)))
         yield pd.DataFrame({"bank_id": [key[0]] * len(ends), "end_turn": ends})
 
-    return rows.select("bank_id", "turn_idx").groupBy("bank_id").applyInPandasWithState(fold, "bank_id long, end_turn long", "at long, n long", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def stall_stream(rows: DataFrame, limit: int = 2) -> DataFrame:
-    """(run, seq, stalls, stalled) of each row: repeats of a step without progress, counted on across batches."""
+def window_stream(rows: DataFrame) -> DataFrame:
+    """(bank_id, end_turn) of each consolidation window as it closes: ten turns or forty rows after the last."""
+    turns = rows.select("bank_id", "turn_idx").where("turn_idx is not null")
+    return turns.groupBy("bank_id").transformWithStateInPandas(WindowState(), "bank_id long, end_turn long", "Append", "None")
+
+
+class StallState(StatefulProcessor):
+    """A run's last step and how often it came again without progress."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "step string, stalls long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, n = self.last.get() if self.last.exists() else (None, 0)
+        new = pd.concat(list(rows)).sort_values("seq")
+        stalls = []
+        for step, progress in zip(new["step"].tolist(), new["progress"].tolist(), strict=True):
+            n = n + 1 if not progress and step == last else 0
+            last = step
+            stalls.append(n)
+        self.last.update((last, int(n)))
+        yield pd.DataFrame({"run": key[0], "seq": new["seq"], "stalls": stalls, "stalled": [x >= self.limit for x in stalls]})
+
+    def close(self) -> None:
+        pass
 
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n = state.get if state.exists else (None, 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            n = n + 1 if not r.progress and r.step == last else 0
-            last = r.step
-            out.append((key[0], r.seq, n, n >= limit))
-        state.update((last, n))
-        yield pd.DataFrame(out, columns=["run", "seq", "stalls", "stalled"])
 
-    return rows.groupBy("run").applyInPandasWithState(fold, "run long, seq long, stalls long, stalled boolean", "last string, n long", "append", GroupStateTimeout.NoTimeout)
+def stall_stream(rows: DataFrame, limit: int = 2) -> DataFrame:
+    """(run, seq, stalls, stalled) of each row: repeats of a step without progress, counted on across batches."""
+    return rows.groupBy("run").transformWithStateInPandas(StallState(limit), "run long, seq long, stalls long, stalled boolean", "Append", "None")
 
 
-def upsert_stream(rows: DataFrame, place: str, checkpoint: str, keys: list[str], version: str):
-    """Keeps a Parquet table of the latest row of each key: every micro-batch is upserted into a new snapshot.
+def upsert_stream(rows: DataFrame, place: str, checkpoint: str, keys: list[str], version: str, buckets: int = BUCKETS):
+    """Keeps a table of the latest row of each key below `place`.
 
-    A replayed batch writes the same snapshot again. The name of the current one is its batch's.
+    A micro-batch rewrites only the hash buckets that its keys lie in, and a replayed one is a no-op.
+    `BucketTable(spark, place, keys, rows.schema, buckets).read()` is the table.
     """
-    from quillgrain.operators.bank import upsert
+    schema = rows.schema
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{place}/v{number - 1}") if number else batch.limit(0)
-        upsert(old, batch, keys, version).write.mode("overwrite").parquet(f"{place}/v{number}")
+        held = BucketTable(batch.sparkSession, place, keys, schema, buckets)
+        held.change(number, batch, lambda old: upsert(old, batch, keys, version))
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
-def reindex_stream(files: DataFrame, place: str, checkpoint: str):
-    """Keeps the chunk index of a stream of text sources (path, body): changed ones replace their chunks."""
-    from quillgrain.operators.chunks import chunk
+def index_table(spark: SparkSession, place: str, buckets: int = BUCKETS) -> BucketTable:
+    """The chunk index that `reindex_stream` keeps."""
+    return BucketTable(spark, f"{place}/chunks", ["path"], N.CHUNK, buckets)
+
+
+def reindex_stream(ticks: DataFrame, folder: str, place: str, checkpoint: str, pattern: str = "*", buckets: int = BUCKETS):
+    """Keeps the chunk index of the files below a folder; every micro-batch of `ticks` compares listings.
+
+    `ticks` says when to look: a `binaryFile` stream of the folder, which has a batch when a file is
+    new, or a rate stream, which also sees that files changed or vanished while none was added. A
+    batch's listing (path, bytes, time) is stored under its number before it is compared with the one
+    before, so a replay sees the same difference. Only changed files are read and cut, and only the
+    buckets of changed and vanished ones are rewritten.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = chunk(batch)
-        if number:
-            old = spark.read.parquet(f"{place}/v{number - 1}")
-            new = old.join(batch.select("path").distinct(), "path", "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{place}/v{number}")
-
-    return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+        table = index_table(spark, place, buckets)
+        done = table.numbers()
+        if number in done:
+            return
+        at = f"{place}/listing/{number}"
+        N.listing(spark, folder, pattern).select("path", "bytes", "modified").write.mode("ignore").parquet(at)
+        now = spark.read.parquet(at)
+        before = spark.read.parquet(f"{place}/listing/{done[-1]}") if done else now.limit(0)
+        found = N.listing_difference(before, now).where("change <> 'same'")
+        fresh = found.where("change <> 'vanished'")
+        since = fresh.agg(F.min("modified")).first()[0]
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+        texts = whole.where(F.col("modificationTime") >= F.lit(since)).join(fresh.select("path"), "path", "left_semi").select("path", F.col("content").cast("string").alias("body"))
+        table.change(number, found, lambda old: old.join(found.select("path"), "path", "left_anti").unionByName(N.chunk(texts)))
+
+    return ticks.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
 def drain(stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:

@@ -1,13 +1,17 @@
 """Streams end where the batch folds end."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgrain.operators import beliefs as H
+from quillgrain.operators import chunks as N
 from quillgrain.operators import evidence as E
 from quillgrain.operators import investigate as V
 from quillgrain.operators import lifecycle as L
+from quillgrain.operators.bank import upsert
 from quillgrain.sources import adapters as A
+from quillgrain.sources.buckets import BucketTable
 from quillgrain.streaming import stateful as St
 
 SF = "/root/testdata/sf0.001"
@@ -52,24 +56,87 @@ def test_stall_stream_is_the_batch_count(spark, tmp_path):
     assert {(r.run, r.seq, r.stalls) for r in out.collect()} == want
 
 
+def bytes_below(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
 def test_upsert_stream_keeps_one_row_a_key(spark, tmp_path):
     rows = A.conversation_rows(spark, SF).select("bank_id", "event_key", "id", "content")
-    twice = rows.withColumn("copy", F.lit(0)).unionByName(rows.withColumn("copy", F.lit(1)))  # the second batch is the first again
-    q = St.upsert_stream(as_stream(twice, tmp_path / "in", 2, "copy"), str(tmp_path / "out"), str(tmp_path / "cp"), ["bank_id", "event_key"], "id").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[1:]))
-    got = spark.read.parquet(str(last))
+    newer = rows.where("id % 5 = 0").withColumn("content", F.lit("newer"))
+    both = rows.withColumn("copy", F.lit(0)).unionByName(newer.withColumn("copy", F.lit(1)))
+    stream = as_stream(both, tmp_path / "in", 2, "copy")
+    St.upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["bank_id", "event_key"], "copy", 8).trigger(availableNow=True).start().awaitTermination()
+    got = BucketTable(spark, str(tmp_path / "out"), ["bank_id", "event_key"], stream.schema, 8).read()
+    want = rows.withColumn("content", F.when(F.col("id") % 5 == 0, "newer").otherwise(F.col("content")))
     assert got.count() == rows.count() == got.select("bank_id", "event_key").distinct().count()
-
-
-def test_reindex_stream_replaces_changed_sources(spark, tmp_path):
-    one = spark.createDataFrame([("a.md", "# One\n\n" + "word " * 60), ("b.md", "# Two\n\n" + "text " * 60)], "path string, body string")
-    two = spark.createDataFrame([("a.md", "# Anew\n\n" + "other " * 60)], "path string, body string")
-    one.coalesce(1).write.parquet(str(tmp_path / "in"))
-    files = lambda: spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = lambda: St.reindex_stream(files(), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert got.select(want.columns).exceptAll(want).count() == 0
+
+
+def test_a_change_writes_the_buckets_it_touches_and_a_replay_nothing(spark, tmp_path):
+    rows = spark.range(4000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"), F.lit(0).alias("n"))
+    t = BucketTable(spark, str(tmp_path), ["k"], rows.schema, 32)
+    put = lambda number, batch: t.change(number, batch, lambda old: upsert(old, batch, ["k"], "n"))
+    assert put(0, rows) and bytes_below(tmp_path / "data" / "0") > 0
+    few = rows.where("k in (17, 18)").withColumns({"v": F.lit("new"), "n": F.lit(1)}).unionByName(spark.createDataFrame([(9999, "added", 1)], rows.schema))
+    assert put(1, few)
+    assert bytes_below(tmp_path / "data" / "1") < 0.25 * bytes_below(tmp_path / "data" / "0")
+    before = bytes_below(tmp_path)
+    assert not put(1, rows.limit(5)) and bytes_below(tmp_path) == before
+    assert t.read().count() == 4001 and t.read().where("n = 1").count() == 3
+    assert put(2, rows.limit(0)) and t.read().count() == 4001  # an empty batch commits, too
+    gone = rows.where("k = 17")
+    assert t.change(3, gone, lambda old: old.join(gone.select("k"), "k", "left_anti")) and t.read().count() == 4000
+    assert t.vacuum(1) > 0 and t.read().count() == 4000 and not put(1, rows)
+
+
+def test_a_change_that_failed_leaves_the_table(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "a") for i in range(50)], "k long, v string")
+    t = BucketTable(spark, str(tmp_path), ["k"], rows.schema, 4)
+    t.change(0, rows, lambda old: rows)
+    one = rows.where("k = 1")
+    with pytest.raises(ValueError):
+        t.change(1, one, lambda old: rows.withColumn("v", F.lit("b")))
+    assert t.numbers() == [0] and t.read().where("v = 'b'").count() == 0
+    assert t.change(1, one, lambda old: old.withColumn("v", F.lit("c"))) and 0 < t.read().where("v = 'c'").count() < 50
+
+
+def test_belief_store_is_read_from_the_state(spark, tmp_path):
+    up = A.belief_updates(spark, SF).where("bank_id < 2")
+    St.drain(St.belief_stream(as_stream(up, tmp_path / "in", 3, "turn")), "update", "beliefs_state", str(tmp_path / "cp"))
+    cols = ["bank_id", "about", "kind", "claim", F.round("confidence", 6), "first_seen_turn", "last_updated_turn"]
+    want, got = (sorted(map(tuple, x.select(*cols).collect())) for x in (H.merge(up), St.belief_store(spark, str(tmp_path / "cp"))))
+    assert want and got == want
+
+
+def test_reindex_stream_follows_the_folder(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    write = lambda name, text: (folder / name).write_text(text)
+    for i in range(12):
+        write(f"kept{i}.md", f"# Kept {i}\n\n" + "word " * 60)
+    write("a.md", "# One\n\n" + "word " * 60)
+    write("b.md", "# Two\n\n" + "text " * 60)
+    schema = spark.read.format("binaryFile").load(str(folder)).schema
+    ticks = lambda: spark.readStream.format("binaryFile").schema(schema).load(str(folder))
+    run = lambda: St.reindex_stream(ticks(), str(folder), str(tmp_path / "out"), str(tmp_path / "cp"), buckets=16).trigger(availableNow=True).start().awaitTermination()
     run()
-    two.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    titles = lambda: {r.path.rsplit("/", 1)[-1]: r.title for r in St.index_table(spark, str(tmp_path / "out"), 16).read().collect()}
+    first = titles()
+    assert len(first) == 14 and first["b.md"] == "Two"
+    (folder / "b.md").unlink()
+    write("a.md", "# Anew, and longer\n\n" + "other " * 70)
+    write("c.md", "# Three\n\n" + "more " * 60)
     run()
-    got = {r.path: r.title for r in spark.read.parquet(str(tmp_path / "out" / "v1")).collect()}
-    assert got == {"a.md": "Anew", "b.md": "Two"}
+    assert titles() == {k: v for k, v in first.items() if k != "b.md"} | {"a.md": "Anew, and longer", "c.md": "Three"}
+    table = St.index_table(spark, str(tmp_path / "out"), 16)
+    assert table.numbers() == [0, 1] and 0 < sum(v == 1 for v in table.manifest().values()) <= 3 < sum(v == 0 for v in table.manifest().values())
+
+
+def test_reindexed_chunks_are_those_of_the_sources_there_are(spark):
+    from quillgrain.plans.corpus import _relisted
+
+    old, now = _relisted(spark, SF)
+    found = N.listing_difference(old, now)
+    got, want = N.reindex(N.chunk(old), found, now), N.chunk(now)
+    assert {r[0] for r in found.select("change").distinct().collect()} == {"new", "changed", "vanished", "same"}
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < want.count()
