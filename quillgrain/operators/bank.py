@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrain.functions import text as T
+from quillgrain.sources.scratch import stored
 
 # Kinds, provenances, scopes and their labels.
 KINDS = ["episodic", "dialogue", "inference", "semantic", "commitment"]
@@ -153,3 +154,40 @@ def blank_fields(rows: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """One row for each required field that is null or blank."""
     audit = F.array(*[F.when(F.coalesce(F.trim(F.col(f).cast("string")), F.lit("")) == "", F.lit(f)) for f in fields])
     return rows.select(id_col, F.explode(F.array_compact(audit)).alias("field"))
+
+
+def references(rows: DataFrame, table: str, key: str, column: str, parent: str, action: str) -> DataFrame:
+    """A declared reference as rows: what `column` of each row of `table` points at, and what its deletion does (cascade or set null)."""
+    return rows.where(F.col(column).isNotNull()).select(
+        F.lit(table).alias("tab"), F.col(key).cast("long").alias("id"), F.lit(column).alias("col"), F.lit(parent).alias("parent"), F.col(column).cast("long").alias("parent_id"), F.lit(action).alias("action"),
+    )
+
+
+def carried(deleted: DataFrame, refs: DataFrame, levels: int = 50) -> DataFrame:
+    """(tab, id, outcome, col): all rows that go with the `deleted` (tab, id), and the references that become null.
+
+    A recursive query follows the cascades to their end, `levels` at most; references in a circle are
+    an error. A row that goes has no reference set to null.
+    """
+    spark = deleted.sparkSession
+    gone = spark.sql(
+        f"""with recursive gone(tab, id) max recursion level {levels} as (
+              select tab, cast(id as bigint) from {{deleted}}
+              union all select r.tab, r.id from gone join {{refs}} r on r.parent = gone.tab and r.parent_id = gone.id where r.action = 'cascade')
+            select distinct tab, id from gone""",
+        deleted=deleted, refs=refs,
+    )
+    gone = stored(gone)
+    lost = refs.where("action = 'set null'").join(gone.select(F.col("tab").alias("parent"), F.col("id").alias("parent_id")), ["parent", "parent_id"], "left_semi")
+    lost = lost.join(gone, ["tab", "id"], "left_anti").select("tab", "id", F.lit("set null").alias("outcome"), "col")
+    return gone.select("tab", "id", F.lit("deleted").alias("outcome"), F.lit("").alias("col")).unionByName(lost)
+
+
+def after_delete(rows: DataFrame, table: str, key: str, outcomes: DataFrame) -> DataFrame:
+    """The rows of a table that are left, with the references that became null."""
+    own = outcomes.where(F.col("tab") == table)
+    kept = rows.join(own.where("outcome = 'deleted'").select(F.col("id").alias(key)), key, "left_anti")
+    nulls = own.where("outcome = 'set null'").groupBy(F.col("id").alias(key)).agg(F.collect_set("col").alias("_null"))
+    kept = kept.join(nulls, key, "left")
+    null = lambda c: F.when(~F.coalesce(F.array_contains("_null", c), F.lit(False)), F.col(c)).alias(c)
+    return kept.select(*[F.col(c) if c == key else null(c) for c in rows.columns])

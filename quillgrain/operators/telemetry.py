@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -135,6 +136,46 @@ def moved_anchor(rows: DataFrame) -> DataFrame:
     return moved.groupBy("hypothesis_id", "path", "id").agg(F.min("earlier_id").alias("earlier_id"))
 
 
+@dataclass
+class Appended:
+    """The outputs of an append: the log as it is then, evidence of the new runs, hypotheses with confidence and version, notes, refusals."""
+
+    log: DataFrame
+    evidence: DataFrame
+    hypotheses: DataFrame
+    notes: DataFrame
+    refused: DataFrame
+
+
+def append_experiments(log: DataFrame, arriving: DataFrame, hypotheses: DataFrame, observations: DataFrame) -> Appended:
+    """Graded runs added to the log under a version guard, as evidence on their hypotheses.
+
+    Runs are (id, hypothesis_id, digest, outcome, precondition); arriving ones also say the
+    `seen_version` of their hypothesis (hypothesis_id, version) and are refused if it has another now
+    or isn't there. A batch is one step: runs that saw the same version are added together, and it
+    then rises by one. An outcome is evidence for, against or context; a run that pins another version
+    of a file than an earlier run of its hypothesis measured something else and is context. A run that
+    comes out differently than the first one of its digest gets a note. The new evidence goes after
+    the `observations` (hypothesis_id, seq, url, stance) and the confidences are folded anew.
+    """
+    from quillgrain.operators import evidence as E
+
+    known = arriving.join(hypotheses.select("hypothesis_id", F.col("version").alias("_v")), "hypothesis_id", "left")
+    refused = known.where(F.col("_v").isNull() | ~F.col("_v").eqNullSafe(F.col("seen_version"))).select("id", "hypothesis_id", F.when(F.col("_v").isNull(), "no such hypothesis").otherwise("stale version").alias("why"))
+    new = arriving.join(refused.select("id"), "id", "left_anti").select(*log.columns)
+    whole = log.unionByName(new)
+    first = whole.groupBy("digest").agg(F.min(F.struct("id", "outcome")).alias("_f"))
+    notes = new.join(first, "digest").where("id > _f.id and outcome <> _f.outcome").select("id", "hypothesis_id", "digest", F.col("_f.outcome").alias("earlier"), "outcome")
+    moved = moved_anchor(whole).select("id").distinct().withColumn("_moved", F.lit(True))
+    stance = F.when(F.col("_moved"), "context").when(F.col("outcome") == "confirmed", "supports").when(F.col("outcome") == "refuted", "contradicts").otherwise("context")
+    evidence = new.join(moved, "id", "left").select("hypothesis_id", F.col("id").alias("seq"), F.concat(F.lit("experiment:"), "digest").alias("url"), stance.alias("stance"))
+    folded = E.confidence(observations.select("hypothesis_id", "seq", "url", "stance").unionByName(evidence))
+    raised = new.select("hypothesis_id").distinct().withColumn("_up", F.lit(1))
+    after = hypotheses.select("hypothesis_id", "version").join(raised, "hypothesis_id", "left").join(folded, "hypothesis_id", "left")
+    after = after.select("hypothesis_id", (F.col("version") + F.coalesce("_up", F.lit(0))).alias("version"), F.coalesce("confidence", F.lit(E.PRIOR)).alias("confidence"), F.coalesce("status", F.lit("open")).alias("status"))
+    return Appended(whole, evidence, after, notes, refused)
+
+
 def event_log(rows: DataFrame, run: str, order: list[str]) -> DataFrame:
     """Rows with a gap-free index inside their run."""
     return rows.withColumn("i", F.row_number().over(Window.partitionBy(run).orderBy(*order)) - 1)

@@ -111,6 +111,31 @@ def s15(spark, d):
     return twice.unionByName(lost.select(F.lit("orphan").alias("problem"), F.concat(F.lit("label:"), F.col("doc_id").cast("string")).alias("k"), F.lit(1).cast("long").alias("n_rows")))
 
 
+_REFS = """refs as (select 'turns' as tab, conv_id * 1000 + turn as id, 'session_id' as col, 'sessions' as parent, conv_id as parent_id, 'cascade' as action from conversations
+union all select 'steps', (conv_id * 1000 + turn) * 10 + s, 'turn_id', 'turns', conv_id * 1000 + turn, 'cascade' from conversations, (select unnest([1, 2]) as s)
+union all select 'memories', conv_id * 1000 + turn, 'session_id', 'sessions', conv_id, 'set null' from conversations union all select 'memories', conv_id * 1000 + turn, 'turn_id', 'turns', conv_id * 1000 + turn, 'set null' from conversations
+union all select distinct 'hypotheses', doc_id // 20, 'session_id', 'sessions', doc_id // 20, 'set null' from labels union all select 'evidence', doc_id, 'hypothesis_id', 'hypotheses', doc_id // 20, 'cascade' from labels)"""
+
+
+@query("s15_cascades", f"""with recursive {_REFS}, gone as (select 'sessions' as tab, conv_id as id from (select distinct conv_id from conversations) where conv_id % 3 = 0 union select 'hypotheses', h from (select distinct doc_id // 20 as h from labels) where h % 5 = 0
+union select r.tab, r.id from gone join refs r on r.parent = gone.tab and r.parent_id = gone.id where action = 'cascade')
+select tab, id, 'deleted' as outcome, '' as col from gone union all select tab, id, 'set null', col from refs r where action = 'set null' and exists (select 1 from gone g where g.tab = r.parent and g.id = r.parent_id) and not exists (select 1 from gone g where g.tab = r.tab and g.id = r.id)""")
+def s15_cascades(spark, d):
+    """Sessions and hypotheses are deleted: their turns and evidence go, the steps of those turns, too; memories and hypotheses lose their references."""
+    c = A.table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"))
+    h = A.table(spark, d, "labels").select("doc_id", F.floor(F.col("doc_id") / 20).alias("hypothesis_id"))
+    hyp = h.select("hypothesis_id", F.col("hypothesis_id").alias("session_id")).distinct()
+    steps = c.select("turn_id", F.explode(F.array(F.col("turn_id") * 10 + 1, F.col("turn_id") * 10 + 2)).alias("step_id"))
+    refs = K.references(c, "turns", "turn_id", "session_id", "sessions", "cascade")
+    for rows, *how in (
+        (steps, "steps", "step_id", "turn_id", "turns", "cascade"), (c.withColumn("id", F.col("turn_id")), "memories", "id", "session_id", "sessions", "set null"), (c.withColumn("id", F.col("turn_id")), "memories", "id", "turn_id", "turns", "set null"),
+        (hyp, "hypotheses", "hypothesis_id", "session_id", "sessions", "set null"), (h, "evidence", "doc_id", "hypothesis_id", "hypotheses", "cascade"),
+    ):
+        refs = refs.unionByName(K.references(rows, *how))
+    deleted = c.select(F.lit("sessions").alias("tab"), F.col("session_id").alias("id")).distinct().where("id % 3 = 0").unionByName(hyp.select(F.lit("hypotheses").alias("tab"), F.col("hypothesis_id").alias("id")).where("id % 5 = 0"))
+    return K.carried(deleted, refs)
+
+
 @query("p01_read_seam", f"""with {S.DOCM}, {S.QUERIES} select query_id, count(*) as n_visible, min(id) as first_id, max(turn_idx) as last_turn
 from qs join docm using (bank_id) where not archived and retired_batch is null and (turn_idx is null or turn_idx < cutoff_turn) group by 1""")
 def p01(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgrain.functions import belief as B
@@ -234,13 +235,30 @@ def f09(spark, d):
     return L.raise_importance(rows, hits, only_unrevised=True).select("id", "importance")
 
 
-@query("f10_dispute", f"""with {S.DOCM}, a as (select *, lower({S.squeeze('content')}) as c, greatest(0, least(1, salience)) as base from docm), dp as (select item_id as dispute_id, case when item_id % 4 = 0 then 'doc:' || item_id else '' end as memory_ref, lower({S.squeeze("substr(text, 1, 40)")}) as needle from benchmark),
-m as (select dispute_id, bank_id, id, 1 as tier, base from dp join a on memory_ref = event_key where memory_ref <> '' union all select dispute_id, bank_id, id, 3, base from dp join a on contains(c, needle) where needle <> '')
-select dispute_id, bank_id, id, tier, least(0.97, base + 0.2) as importance from m qualify tier = min(tier) over (partition by dispute_id)""")
+_DISPUTES = f"""dp as (select item_id as dispute_id, item_id as turn_idx, case when item_id % 6 <> 5 then 'reading ' || item_id else ' ' end as reading, case when item_id % 4 = 0 then 'doc:' || item_id else '' end as memory_ref, lower({S.squeeze("text")}) as needle from benchmark),
+gq as (select *, {S.squeeze('content')} as sq from docm), gp as (select *, {S.PARTS} from gq), a as (select *, lower({S.GIST}) as g, lower(sq) as c, greatest(0, least(1, salience)) as base from gp),
+m1 as (select dispute_id, bank_id, id, 1 as tier from dp join a on memory_ref = event_key where memory_ref <> ''), m2 as (select dispute_id, bank_id, id, 2 as tier from dp join a on needle = g where needle <> '' and dispute_id not in (select dispute_id from m1)),
+m3 as (select dispute_id, bank_id, id, 3 as tier from dp join a on contains(g, needle) or contains(c, needle) where needle <> '' and dispute_id not in (select dispute_id from m1 union select dispute_id from m2)), m as (select * from m1 union all select * from m2 union all select * from m3)"""
+
+
+def _disputes(spark, d):
+    rows = A.document_rows(spark, d).withColumns({"importance": F.lit(None).cast("double"), "gist": T.gist("content")})
+    rows = rows.withColumn("disputed", F.when(F.col("id") % 5 == 0, F.struct(F.lit(1).cast("long").alias("turn_idx"), F.lit("before").alias("reading"), F.lit(2).cast("long").alias("count"))))
+    i = F.col("item_id")
+    said = F.when(i % 6 != 5, F.concat(F.lit("reading "), i.cast("string"))).otherwise(" ")
+    return rows, A.table(spark, d, "benchmark").select(i.alias("dispute_id"), i.alias("turn_idx"), said.alias("reading"), F.when(i % 4 == 0, F.concat(F.lit("doc:"), i.cast("string"))).alias("memory_ref"), F.col("text").alias("gist"))
+
+
+@query("f10_dispute", f"with {S.DOCM}, {_DISPUTES} select dispute_id, bank_id, id, tier from m")
 def f10(spark, d):
-    rows = A.document_rows(spark, d).withColumns({"importance": F.lit(None).cast("double"), "gist": F.lit("")})
-    disputes = A.table(spark, d, "benchmark").select(F.col("item_id").alias("dispute_id"), F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("doc:"), F.col("item_id").cast("string"))).alias("memory_ref"), F.substring("text", 1, 40).alias("gist"))
-    return L.dispute(rows, disputes)
+    return L.dispute(*_disputes(spark, d))
+
+
+@query("f10_disputed_rows", f"""with {S.DOCM}, {_DISPUTES}, h as (select bank_id, id, count(*) as n, max(dispute_id) as turn_idx from m join dp using (dispute_id) where trim(reading) <> '' group by 1, 2)
+select bank_id, id, n + case when id % 5 = 0 then 2 else 0 end as n_disputes, h.turn_idx, 'reading ' || h.turn_idx as reading, round(least(0.97, base + 0.2 * n), 6)::double as importance from h join a using (bank_id, id)""")
+def f10_rows(spark, d):
+    out = L.apply_disputes(*_disputes(spark, d))
+    return out.where("disputed.reading <> 'before'").select("bank_id", "id", F.col("disputed.count").alias("n_disputes"), "disputed.turn_idx", "disputed.reading", F.round("importance", 6).alias("importance"))
 
 
 _RETIRE = "case when k.event_key not in (select event_key from docm) then 'no such memory' when retired_batch is not null then 'already retired' when kind = 'commitment' then 'a commitment' when id % 23 = 0 then 'carries a dispute' else 'retired' end"
@@ -269,18 +287,64 @@ def l04(spark, d):
     return rows.select("id", L.archivable(F.lit(500)).alias("to_archive"))
 
 
-@query("l05_consolidation", f"""with {S.CONV}, g as (select *, {S.squeeze('content')} as sq from conv), gp as (select *, {S.PARTS} from g), w as (select *, case provenance when 'told' then 'received' else 'autobiographical' end as scope, {S.GIST} as gist from gp where turn_idx > bank_id * 5 and trim(content) <> ''),
-sp as (select bank_id, min(turn_idx) as start_turn, max(turn_idx) as end_turn from w group by 1), t as (select bank_id, scope, string_agg(gist, ' ' order by turn_idx, id) as summary from w group by 1, 2)
-select bank_id, scope, start_turn, end_turn, coalesce(summary, '') as summary from (select *, unnest(['autobiographical', 'received', 'surmise']) as scope from sp) left join t using (bank_id, scope) where summary is not null or scope = 'autobiographical'""")
-def l05(spark, d):
-    rows = A.conversation_rows(spark, d).withColumns({"archived": F.lit(False), "gist": T.gist("content")})
+_L5 = f"""{S.CONV}, g as (select *, {S.squeeze('content')} as sq, {S.salience('content')} as salience from conv), gp as (select *, {S.PARTS} from g), w as (select *, case provenance when 'told' then 'received' else 'autobiographical' end as scope, {S.GIST} as gist from gp where turn_idx > bank_id * 5 and trim(content) <> ''),
+sp as (select bank_id, min(turn_idx) as start_turn, max(turn_idx) as end_turn, count_if(scope = 'autobiographical')::bigint as n_first_hand, bank_id % 4 = 1 and count_if(scope = 'autobiographical') > 0 as refused from w group by 1),
+t as (select bank_id, scope, case when bank_id % 4 = 1 and scope = 'autobiographical' then '' else string_agg(gist, ' ' order by turn_idx, id) end as summary from w group by 1, 2),
+sm as (select bank_id, scope, start_turn, end_turn, coalesce(summary, '') as summary from (select *, unnest(['autobiographical', 'received', 'surmise']) as scope from sp where not refused) left join t using (bank_id, scope) where summary is not null or scope = 'autobiographical')"""
+
+
+def _consolidated(spark, d):
+    """Windows of conversations; the summarizer loses the first-hand text of every fourth bank."""
+    rows = A.conversation_rows(spark, d).withColumns({"archived": F.lit(False), "gist": T.gist("content"), "salience": T.salience("content"), "importance": F.lit(None).cast("double")})
     now = rows.groupBy("bank_id").agg(F.max("turn_idx").alias("now"))
-    return L.consolidate(rows, now.select("bank_id", (F.col("bank_id") * 5).alias("cursor")), now).select("bank_id", "scope", "start_turn", "end_turn", "summary")
+    lost = (F.col("bank_id") % 4 == 1) & (F.col("scope") == L.FIRST_HAND)
+    return L.consolidate(rows, now.select("bank_id", (F.col("bank_id") * 5).alias("cursor")), now, lambda w: L.joined_gists(w).withColumn("summary", F.when(~lost, F.col("summary"))))
+
+
+@query("l05_consolidation", f"with {_L5} select * from sm")
+def l05(spark, d):
+    return _consolidated(spark, d).summaries
+
+
+@query("l05_refused", f"with {_L5} select bank_id, start_turn, end_turn, n_first_hand from sp where refused")
+def l05_refused(spark, d):
+    return _consolidated(spark, d).refused
+
+
+@query("l05_archived", f"with {_L5} select bank_id, id from g join sp using (bank_id) where not refused and turn_idx < end_turn - 12 and end_turn > 12 and salience < 0.72")
+def l05_archived(spark, d):
+    return _consolidated(spark, d).archived
+
+
+@query("l05_cursors", f"with {_L5}, b as (select distinct bank_id from conv) select bank_id, coalesce(case when not refused then end_turn end, bank_id * 5) as cursor from b left join sp using (bank_id)")
+def l05_cursors(spark, d):
+    return _consolidated(spark, d).cursors
+
+
+@query("l05_support", f"""with {_L5}, k as (select *, bank_id || ':' || scope as place, regexp_replace(trim(regexp_replace(summary, '\\s+', ' ', 'g')), '([.!?]) +([A-Z"''“‘])', '\\1' || chr(1) || '\\2', 'g') as cut from sm),
+c as (select place, unnest(l) as claim, generate_subscripts(l, 1) - 1 as pos from (select place, list_filter(list_transform(string_split(cut, chr(1)), lambda x: trim(x)), lambda x: x <> '') as l from k)),
+cw as (select distinct place, pos, unnest(list_distinct({S.tokens('claim')})) as word from c), mw as (select distinct bank_id || ':' || scope as place, event_key as ref, unnest(list_distinct({S.tokens('content')})) as word from w),
+sh as (select place, pos, ref, count(*) as n from cw join mw using (place, word) where not list_contains({S.words(T.SUPPORT_STOPWORDS)}, word) group by 1, 2, 3 having count(*) >= 3),
+b as (select place, pos, string_agg(ref, ' ' order by n desc, ref) as refs from (select * from sh qualify row_number() over (partition by place, pos order by n desc, ref) <= 3) group by 1, 2)
+select place, pos::int as pos, claim, coalesce(refs, '') as refs from c left join b using (place, pos)""")
+def l05_support(spark, d):
+    return _consolidated(spark, d).support.select(F.col("summary_id").alias("place"), "pos", "claim", F.array_join("support_refs", " ").alias("refs"))
 
 
-@query("l06_consolidation_windows", f"""with {S.CONV} select bank_id, turn_idx as end_turn from conv where turn_idx % 10 = 0""")
+_L6 = f"""with recursive r as (select user_id % {_EBANKS} as bank_id, event_id from events), m as (select bank_id, row_number() over (partition by bank_id order by event_id) // (1 + bank_id % 13) as turn_idx from r),
+n as (select *, row_number() over (partition by bank_id order by turn_idx) as i from (select bank_id, turn_idx, count(*) as n from m group by 1, 2)),
+f as (select distinct bank_id, 0::bigint as i, 0::bigint as turn_idx, 0::bigint as since, 0::bigint as held, false as due from n union all
+  select n.bank_id, n.i, n.turn_idx, case when x then n.turn_idx else since end, case when x then 0 else f.held + n.n end, x from f join n on n.bank_id = f.bank_id and n.i = f.i + 1, lateral (select n.turn_idx - f.since >= 10 or f.held + n.n >= 40 as x))
+select bank_id, turn_idx as end_turn from f where due"""
+
+
+@query("l06_consolidation_windows", _L6)
 def l06(spark, d):
-    return L.windows(A.conversation_rows(spark, d))
+    """Banks with one to thirteen rows a turn: some windows close by turns, others by rows."""
+    bank = F.col("user_id") % A.banks(spark, d, "events", A.EVENTS_PER_BANK)
+    n = F.row_number().over(Window.partitionBy(bank).orderBy("event_id"))
+    rows = A.table(spark, d, "events").select(bank.alias("bank_id"), F.floor(n / (1 + bank % 13)).alias("turn_idx"))
+    return L.windows(rows)
 
 
 def _threads(spark, d):
@@ -369,6 +433,66 @@ def w12(spark, d):
     return M.failing_since_fix(A.experiments(spark, d))
 
 
+def _arriving(spark, d):
+    """A log of runs, others that arrive, some of which saw an older version, and the versions of hypotheses; some runs have none."""
+    e = A.experiments(spark, d).where("outcome <> 'fix-marker'").withColumns({"precondition": F.create_map("event_type", F.expr("sha1(cast(k % 2 as string))")), "digest": F.concat_ws(":", F.col("hypothesis_id").cast("string"), "event_type", (F.col("k") % 4).cast("string"))})
+    cols = ["id", "hypothesis_id", "digest", "outcome", "precondition"]
+    h = e.where("hypothesis_id % 11 <> 0").select("hypothesis_id").distinct().withColumn("version", F.col("hypothesis_id") % 3)
+    new = e.where("id % 5 = 4").withColumn("seen_version", (F.col("hypothesis_id") + F.when(F.col("id") % 7 == 0, 1).otherwise(0)) % 3)
+    seen = e.where("id % 5 = 3").select("hypothesis_id", (F.col("id") - 10**9).alias("seq"), F.concat(F.lit("https://source.example/"), (F.col("id") % 4).cast("string")).alias("url"), F.when(F.col("k") % 3 == 0, "supports").otherwise("context").alias("stance"))
+    return M.append_experiments(e.where("id % 5 < 3").select(*cols), new.select(*cols, "seen_version"), h, seen)
+
+
+_L12 = f"""{S.EXPERIMENTS}, e as (select id, hypothesis_id, event_type as path, sha1((k % 2)::varchar) as sha, hypothesis_id || ':' || event_type || ':' || (k % 4) as digest, outcome, k from ex where outcome <> 'fix-marker'),
+rf as (select id, hypothesis_id, case when hypothesis_id % 11 = 0 then 'no such hypothesis' else 'stale version' end as why from e where id % 5 = 4 and (hypothesis_id % 11 = 0 or id % 7 = 0)),
+nw as (select * from e where id % 5 = 4 and id not in (select id from rf)), wh as (select * from e where id % 5 < 3 union all select * from nw),
+fr as (select digest, min(id) as first_id, arg_min(outcome, id) as earlier from wh group by 1), pf as (select hypothesis_id, path, sha, min(id) as pin_id from wh group by all),
+st as (select nw.*, exists (select 1 from pf where pf.hypothesis_id = nw.hypothesis_id and pf.path = nw.path and pin_id < nw.id and pf.sha <> nw.sha) as moved from nw),
+ev as (select id, hypothesis_id, digest, case when moved then 'context' when outcome = 'confirmed' then 'supports' when outcome = 'refuted' then 'contradicts' else 'context' end as stance from st)"""
+
+
+@query("l12_append_refused", f"with {_L12} select * from rf")
+def l12_refused(spark, d):
+    return _arriving(spark, d).refused
+
+
+@query("l12_append_evidence", f"with {_L12} select hypothesis_id, id as seq, 'experiment:' || digest as url, stance from ev")
+def l12_evidence(spark, d):
+    return _arriving(spark, d).evidence
+
+
+@query("l12_append_notes", f"with {_L12} select id, hypothesis_id, digest, earlier, outcome from nw join fr using (digest) where id > first_id and outcome <> earlier")
+def l12_notes(spark, d):
+    return _arriving(spark, d).notes
+
+
+_L12_OBS = f"""{_L12}, obs as (select hypothesis_id, id as seq, 'experiment:' || digest as url, stance from ev union all select hypothesis_id, id - 1000000000, 'https://source.example/' || (id % 4), case when k % 3 = 0 then 'supports' else 'context' end from e where id % 5 = 3)"""
+_L12_FOLD = _FOLD.replace(S.OBS, _L12_OBS)
+_L12_FOLD = _L12_FOLD[: _L12_FOLD.index("select hypothesis_id, c as confidence")]
+
+
+@query("l12_append_hypotheses", f"""{_L12_FOLD.rstrip()}, la as (select hypothesis_id, c, d from f qualify row_number() over (partition by hypothesis_id order by n desc) = 1), hy as (select distinct hypothesis_id from e where hypothesis_id % 11 <> 0)
+select hypothesis_id, hypothesis_id % 3 + (hypothesis_id in (select hypothesis_id from nw))::int as version, coalesce(c, 0.3)::double as confidence, case when d then 'disputed' else 'open' end as status from hy left join la using (hypothesis_id)""")
+def l12_hypotheses(spark, d):
+    return _arriving(spark, d).hypotheses
+
+
+@query("l08_thread_merge", f"with {S.EXPERIMENTS}, t as (select distinct hypothesis_id % {_EBANKS} as bank_id, id // 500 as window_no, 'thread ' || digest as thread from ex), g as (select *, window_no - row_number() over (partition by bank_id, thread order by window_no) as i from t), o as (select *, min(window_no) over (partition by bank_id, thread, i) as since from g) select bank_id, window_no, thread, since from o qualify window_no = max(window_no) over (partition by bank_id)")
+def l08(spark, d):
+    """The threads that each bank's latest window carries, with the window that opened them."""
+    t = _threads(spark, d)
+    latest = t.groupBy("bank_id").agg(F.max("window_no").alias("window_no"))
+    return L.fold_threads(t).join(latest, ["bank_id", "window_no"]).select("bank_id", "window_no", "thread", "since")
+
+
+@query("t43_stale_anchor", f"with {S.EXPERIMENTS} select id, case k % 5 when 0 then true else k % 3 = 1 end as stale from ex")
+def t43(spark, d):
+    """Runs report the digest of the file they rest on: a longer one that begins alike, another one, or none."""
+    sha = F.sha1(F.col("event_type").cast("binary"))
+    said = F.when(F.col("k") % 5 == 0, "nothing").otherwise(F.concat(F.lit("line\nPRECONDITION src/a.py "), F.when(F.col("k") % 3 == 1, F.reverse(sha)).otherwise(F.upper(sha)), F.lit("\ndone")))
+    return A.experiments(spark, d).select("id", M.stale_anchor(said, F.create_map(F.lit("src/a.py"), F.substring(sha, 1, 12))).alias("stale"))
+
+
 @query("l12_unstable_experiments", f"with {S.EXPERIMENTS} select digest, count(distinct outcome) as n_outcomes, count(*) as n_runs from (select id, event_type || ':' || (k % 3) as digest, outcome from ex where outcome <> 'fix-marker') group by 1 having count(distinct outcome) > 1")
 def l12(spark, d):
     e = A.experiments(spark, d).withColumns({"hypothesis_id": F.lit(0), "digest": F.concat_ws(":", "event_type", (F.col("k") % 3).cast("string"))})
