@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -222,3 +223,43 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 60, size: int = BLOCK)
     floors = known.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     late = block_pairs(blocks, asked, floors).join(early.select("query_id", "block"), ["query_id", "block"], "left_anti")
     return best(known.drop("rank").unionByName(_scored(blocks, asked, stored(late), k)))
+
+
+@dataclass
+class Migration:
+    """Rows that got a vector of the target model, and per table how many needed one and how many still do."""
+
+    rebuilt: DataFrame
+    remaining: DataFrame
+
+
+def migrate(memories: DataFrame, summaries: DataFrame, model: str, dim: int, embed_rows: Callable[[DataFrame], DataFrame], limit: int | None = None, parts: int = 64) -> Migration:
+    """Embeds anew what another model embedded: memories first, then summaries, at most `limit` rows in all.
+
+    Both tables are (id, content, embedding, embedding_model, embedding_dim); blank summaries need no
+    vector. `embed_rows` gets (id, content) and gives (id, embedding). A local fallback model is
+    refused, as it would destroy vectors. What was rebuilt is no longer stranded, so another run goes
+    on where one ended, and one after the last has nothing to do. The limit is kept without a global
+    order: rows lie in ranges of (table, id), and the counts of the ranges before say where one begins.
+    """
+    if model.startswith("cheap:"):
+        raise ValueError("a fallback model would replace real vectors")
+    own = lambda df, tab: df.where(F.col("embedding").isNull() | ~F.col("embedding_model").eqNullSafe(model) | ~F.col("embedding_dim").eqNullSafe(dim)).select(F.lit(tab).alias("tab"), F.col("id").cast("long").alias("id"), F.coalesce("content", F.lit("")).alias("content"))
+    need = own(memories, "memories").unionByName(own(summaries.where(F.trim(F.coalesce("content", F.lit(""))) != ""), "summaries"))
+    ranged = stored(need.select("tab", "id").repartitionByRange(parts, "tab", "id").withColumn("part", F.spark_partition_id()))
+    counts = {r.part: r.n for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # at most `parts` rows
+    before, offsets = 0, []
+    for p in sorted(counts):
+        offsets.append((p, before))
+        before += counts[p]
+    at = ranged.join(F.broadcast(ranged.sparkSession.createDataFrame(offsets or [(0, 0)], "part int, before long")), "part")
+    ranked = at.select("tab", "id", (F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("tab", "id"))).alias("rank"))
+    now = stored(ranked.where(F.col("rank") <= (before if limit is None else max(0, limit))).select("tab", "id"))
+    todo = need.join(now, ["tab", "id"])
+    made = [embed_rows(todo.where(F.col("tab") == t).select("id", "content")).select(F.lit(t).alias("tab"), "id", "embedding") for t in ("memories", "summaries")]
+    rebuilt = made[0].unionByName(made[1]).withColumns({"embedding_model": F.lit(model), "embedding_dim": F.lit(dim)})
+    names = ranged.sparkSession.createDataFrame([("memories",), ("summaries",)], "tab string")
+    done = now.groupBy("tab").agg(F.count("*").alias("done"))
+    left = names.join(ranged.groupBy("tab").agg(F.count("*").alias("needed")), "tab", "left").join(done, "tab", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return Migration(rebuilt, left.select("tab", zero("needed").alias("needed"), (zero("needed") - zero("done")).alias("remaining")))

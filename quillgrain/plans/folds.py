@@ -338,13 +338,16 @@ f as (select distinct bank_id, 0::bigint as i, 0::bigint as turn_idx, 0::bigint
 select bank_id, turn_idx as end_turn from f where due"""
 
 
-@query("l06_consolidation_windows", _L6)
-def l06(spark, d):
+def _bank_turns(spark, d):
     """Banks with one to thirteen rows a turn: some windows close by turns, others by rows."""
     bank = F.col("user_id") % A.banks(spark, d, "events", A.EVENTS_PER_BANK)
     n = F.row_number().over(Window.partitionBy(bank).orderBy("event_id"))
-    rows = A.table(spark, d, "events").select(bank.alias("bank_id"), F.floor(n / (1 + bank % 13)).alias("turn_idx"))
-    return L.windows(rows)
+    return A.table(spark, d, "events").select(bank.alias("bank_id"), F.floor(n / (1 + bank % 13)).alias("turn_idx"))
+
+
+@query("l06_consolidation_windows", _L6)
+def l06(spark, d):
+    return L.windows(_bank_turns(spark, d))
 
 
 def _threads(spark, d):

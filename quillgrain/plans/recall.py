@@ -175,11 +175,33 @@ def t11(spark, d):
     return a.join(b, "doc_id").select("doc_id", "other_id", F.round(sim, 6).alias("similarity"))
 
 
-@query("l09_embedding_migration")
+def _stranded_tables(spark, d):
+    """Memories and summaries of which some have another model's vector, or none; and an embedder that stands in for a provider."""
+    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.when(F.col("label") == 0, _TARGET).otherwise("old").alias("embedding_model"), F.when(F.col("label") == 0, X.DIM).otherwise(F.size("embedding")).alias("embedding_dim"))
+    m = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(e, "id", "left")
+    c = A.table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), F.col("text").alias("content"), F.lit(None).cast("array<float>").alias("embedding"), F.when(F.col("conv_id") % 3 == 0, _TARGET).alias("embedding_model"), F.lit(X.DIM).alias("embedding_dim"))
+    return m, c.withColumn("embedding", F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0).cast("float"))))
+
+
+_TARGET = "provider:hashed-256"
+_L9 = f"""m as (select doc_id as id, not coalesce(label = 0, false) as stale, trim(text) <> '' as whole from documents left join embeddings on vec_id = doc_id), c as (select conv_id as id, conv_id % 3 <> 0 as stale, trim(text) <> '' as whole from conversations where turn = 0),
+a as (select 'memories' as tab, id from m where stale union all select 'summaries', id from c where stale and whole), r as (select *, row_number() over (order by tab, id) as rank from a)"""
+
+
+def _limit(spark, d):
+    return A.table(spark, d, "documents").count()
+
+
+@query("l09_embedding_migration", f"with {_L9} select tab, id, '{_TARGET}' as embedding_model, {X.DIM} as embedding_dim from r where rank <= (select count(*) from documents)")
 def l09(spark, d):
-    e = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.when(F.col("label") == 0, X.STAMP).otherwise("old").alias("embedding_model"), F.size("embedding").alias("embedding_dim"))
-    stale = e.where(K.stranded(e, X.STAMP, X.DIM)).select("id")
-    return X.embed(A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(stale, "id", "left_semi"))
+    """A run under one limit over both tables: memories first, then summaries."""
+    out = X.migrate(*_stranded_tables(spark, d), _TARGET, X.DIM, lambda rows: X.embed(rows).select("id", "embedding"), limit=_limit(spark, d))
+    return out.rebuilt.select("tab", "id", "embedding_model", "embedding_dim")
+
+
+@query("l09_remaining", f"with {_L9}, k as (select unnest(['memories', 'summaries']) as tab) select tab, count(rank) as needed, count_if(rank > (select count(*) from documents))::bigint as remaining from k left join r using (tab) group by tab")
+def l09_remaining(spark, d):
+    return X.migrate(*_stranded_tables(spark, d), _TARGET, X.DIM, lambda rows: X.embed(rows).select("id", "embedding"), limit=_limit(spark, d)).remaining
 
 
 QUERIES, ORACLES = C.queries, C.oracles

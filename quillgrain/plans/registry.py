@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgrain.plans import basics, corpus, folds, investigation, recall
+from quillgrain.plans import basics, corpus, folds, investigation, recall, streams
 
-MODULES = [basics, corpus, folds, investigation, recall]
+MODULES = [basics, corpus, folds, investigation, recall, streams]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 

@@ -105,6 +105,13 @@ def evidence_stream(observations: DataFrame) -> DataFrame:
     return observations.groupBy("hypothesis_id").transformWithStateInPandas(EvidenceState(), "hypothesis_id long, confidence double, status string, n_supports int, n_contradicts int", "Update", "None")
 
 
+def evidence_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """All hypotheses with their confidence, as the state of an `evidence_stream` holds them."""
+    state = spark.read.format("statestore").option("stateVarName", "total").load(checkpoint)
+    status = F.when(F.col("value.d"), "disputed").otherwise("open")
+    return state.select("key.hypothesis_id", F.col("value.c").alias("confidence"), status.alias("status"), F.col("value.s").alias("n_supports"), F.col("value.k").alias("n_contradicts"))
+
+
 class WindowState(StatefulProcessor):
     """The turn of a bank's last window and its rows since."""
 

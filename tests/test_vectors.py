@@ -54,3 +54,30 @@ def test_empty_sides(spark):
     rows, queries = frames(spark, [(1, "a", [1.0, 0.0])], [(1, "a", [1.0, 0.0])])
     assert X.nearest(rows.limit(0), queries).count() == X.nearest(rows, queries.limit(0)).count() == 0
     assert [tuple(r) for r in X.nearest(rows, queries).collect()] == [(1, 1, 1.0, 1)]
+
+
+def test_a_migration_goes_on_where_it_stopped(spark):
+    from quillgrain.operators.vectors import migrate
+
+    row = "id long, content string, embedding array<float>, embedding_model string, embedding_dim int"
+    m = spark.createDataFrame([(i, f"text {i}", [0.5] if i % 3 else None, "new" if i % 5 == 0 else "old", 1) for i in range(40)], row)
+    s = spark.createDataFrame([(i, "summary" if i % 4 else " ", [0.5], "old" if i % 2 else None, 1) for i in range(20)], row)
+    need = [("memories", i) for i in range(40) if i % 5 or i % 3 == 0] + [("summaries", i) for i in range(20) if i % 4]
+    embed = lambda rows: rows.select("id", F.array(F.lit(0.1).cast("float")).alias("embedding"))
+
+    def after(df, tab, rebuilt):
+        new = rebuilt.where(F.col("tab") == tab).drop("tab")
+        out = df.drop("embedding", "embedding_model", "embedding_dim").join(new, "id").unionByName(df.join(new, "id", "left_anti"))
+        return spark.createDataFrame(out.select(df.columns).collect(), row)
+
+    seen = []
+    for limit, left in ((25, len(need) - 25), (20, 0), (20, 0)):
+        out = migrate(m, s, "new", 1, embed, limit, parts=3)
+        done = sorted((r.tab, r.id) for r in out.rebuilt.collect())
+        assert done == need[len(seen) : len(seen) + limit]
+        assert sum(r.remaining for r in out.remaining.collect()) == left
+        seen += done
+        m, s = after(m, "memories", out.rebuilt), after(s, "summaries", out.rebuilt)
+    assert seen == need
+    with pytest.raises(ValueError):
+        migrate(m, s, "cheap:x", 1, embed)
