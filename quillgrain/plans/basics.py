@@ -283,14 +283,14 @@ def t12(spark, d):
     return e.join(o, "vec_id").select("vec_id", "other_id", F.round(T.dot(F.col("embedding"), F.col("o")), 6).alias("cosine"))
 
 
-@query("t13_content_words", f"with a as (select doc_id, {_SET} as s from documents) select doc_id, len(list_filter(s, lambda x: not list_contains({S.words(T.SUPPORT_STOPWORDS)}, x))) as n_words from a")
+@query("t13_content_words", f"with a as (select doc_id, {_SET} as s from documents) select doc_id, array_to_string(list_sort(list_filter(s, lambda x: not list_contains({S.words(T.SUPPORT_STOPWORDS)}, x))), ' ') as words from a")
 def t13(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", F.size(T.content_words("text")).alias("n_words"))
+    return A.table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(T.content_words("text")), " ").alias("words"))
 
 
-@query("t14_clauses", f"""with a as (select doc_id, {S.squeeze('text')} as t from documents) select doc_id, len(list_filter(string_split(regexp_replace(t, '([.!?]) +([A-Z"''“‘])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x) <> '')) as n_clauses from a""")
+@query("t14_clauses", f"""with a as (select doc_id, {S.squeeze('text')} as t from documents) select doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(t, '([.!?]) +([A-Z"''“‘])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), ' | ') as clauses from a""")
 def t14(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", F.size(T.clauses("text")).alias("n_clauses"))
+    return A.table(spark, d, "documents").select("doc_id", F.array_join(T.clauses("text"), " | ").alias("clauses"))
 
 
 @query("t15_first_sentence", f"""with a as (select doc_id, string_split(regexp_replace({S.squeeze('text')}, '([.!?]) +', '\\1' || chr(1)), chr(1))[1] as s from documents) select doc_id, case when length(s) > 240 then rtrim(substr(s, 1, 239)) || '…' else s end as first_sentence from a""")

@@ -228,10 +228,10 @@ def f08(spark, d):
 
 # ---- lifecycle
 
-@query("f09_raise_importance", f"with {S.DOCM}, h as (select 'doc:' || (doc_id % 300) as event_key, count(*) as n from labels group by 1) select id, case when n is null then null else greatest(greatest(0, least(1, salience)), least(0.97, 1 - (1 - greatest(0, least(1, salience))) * pow(0.88, n))) end as importance from docm left join h using (event_key)")
+@query("f09_raise_importance", f"with {S.DOCM}, h as (select 'doc:' || (doc_id // 2) as event_key, count(*) as n from labels group by 1) select id, case when n is null then null else greatest(greatest(0, least(1, salience)), least(0.97, 1 - (1 - greatest(0, least(1, salience))) * pow(0.88, n))) end as importance from docm left join h using (event_key)")
 def f09(spark, d):
     rows = A.document_rows(spark, d).withColumn("importance", F.lit(None).cast("double"))
-    hits = A.table(spark, d, "labels").select(F.concat(F.lit("doc:"), (F.col("doc_id") % 300).cast("string")).alias("event_key"))
+    hits = A.table(spark, d, "labels").select(F.concat(F.lit("doc:"), F.floor(F.col("doc_id") / 2).cast("string")).alias("event_key"))
     return L.raise_importance(rows, hits, only_unrevised=True).select("id", "importance")
 
 

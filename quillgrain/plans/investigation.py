@@ -47,10 +47,10 @@ def j02(spark, d):
     return V.step_details(turns(spark, d).select("o_orderkey"), s.select("o_orderkey", "ord"), v, "o_orderkey", ["o_orderkey", "ord"])
 
 
-@query("j03_lookup_in_range", "select l_orderkey, l_linenumber, p_name from lineitem left join part on p_partkey = l_partkey and p_size > 10 where l_orderkey between 100 and 900")
+@query("j03_lookup_in_range", "select l_orderkey, l_linenumber, p_name from lineitem left join part on p_partkey = l_partkey and p_size > 10 where l_shipdate between timestamp '1994-01-01' and timestamp '1996-12-31'")
 def j03(spark, d):
     p = A.table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return A.table(spark, d, "lineitem").where("l_orderkey between 100 and 900").join(p, "l_partkey", "left").select("l_orderkey", "l_linenumber", "p_name")
+    return A.table(spark, d, "lineitem").where("l_shipdate between timestamp'1994-01-01' and timestamp'1996-12-31'").join(p, "l_partkey", "left").select("l_orderkey", "l_linenumber", "p_name")
 
 
 @query("j04_cast_of_story", "select distinct o_custkey, s_name from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey")
@@ -106,11 +106,13 @@ def u01(spark, d):
     return V.routes({"column": direct, "link": linked})
 
 
-@query("j09_entries_of_routes", f"with {_ROUTES} select p_partkey, p_name from part where p_partkey % 25 in (select book from direct where c_custkey = 7 union select book from linked where c_custkey = 7)")
+@query("j09_entries_of_routes", f"with {_ROUTES} select c_custkey, count(*) as n_entries, min(p_partkey) as first_entry, sum(p_partkey)::bigint as entry_sum from (select c_custkey, book from direct union select c_custkey, book from linked) join part on p_partkey % 25 = book group by 1")
 def j09(spark, d):
     direct, linked = book_routes(spark, d)
-    books = direct.unionByName(linked).where("c_custkey = 7").select("book").distinct()
-    return A.table(spark, d, "part").withColumn("book", F.col("p_partkey") % 25).join(books, "book", "left_semi").select("p_partkey", "p_name")
+    books = direct.unionByName(linked).select("c_custkey", "book").distinct()
+    # entries are summed up by book before they meet the stories that hold it
+    entries = A.table(spark, d, "part").groupBy((F.col("p_partkey") % 25).alias("book")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("a"), F.sum("p_partkey").alias("s"))
+    return books.join(entries, "book").groupBy("c_custkey").agg(F.sum("n").alias("n_entries"), F.min("a").alias("first_entry"), F.sum("s").alias("entry_sum"))
 
 
 @query("u02_union_in_filter", f"with {_ROUTES}, b as (select book from direct union select book from linked) select n_nationkey, n_name from nation where n_nationkey in (select book from b)")
@@ -288,13 +290,15 @@ def w06(spark, d):
     return V.prefix_budget(docs, ["source"], [F.asc("doc_id")], "n", 12000).select("source", "doc_id", "spent")
 
 
-@query("w07_first_fit_budget", """with recursive a as (select source, length(text) as n, row_number() over (partition by source order by doc_id) as rank from documents qualify rank <= 100),
+@query("w07_first_fit_budget", """with recursive a as (select source || ':' || (doc_id // 2000) as source, length(text) as n, row_number() over (partition by source, doc_id // 2000 order by doc_id) as rank from documents),
 f as (select source, rank, n as spent, true as kept from a where rank = 1 union all
   select a.source, a.rank, case when f.spent + a.n <= 24000 then f.spent + a.n else f.spent end, f.spent + a.n <= 24000 from f join a on a.source = f.source and a.rank = f.rank + 1)
 select source, max(spent) over (partition by source)::bigint as spent, rank::int as rank from f qualify kept""")
 def w07(spark, d):
-    docs = A.table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("n"))
-    return V.first_fit_budget(V.latest(docs, ["source"], [F.asc("doc_id")], 100), "source", "rank", "n", 24000)
+    part = F.concat_ws(":", "source", F.floor(F.col("doc_id") / 2000).cast("string"))  # keys grow with the table
+    docs = A.table(spark, d, "documents").select(part.alias("source"), "doc_id", F.length("text").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return V.first_fit_budget(docs.withColumn("rank", rank), "source", "rank", "n", 24000)
 
 
 @query("w08_streaks", f"with {S.EXPERIMENTS}, a as (select *, coalesce(lag(event_type) over (partition by hypothesis_id order by ts, id) <> event_type, true)::int as t from ex), b as (select *, sum(t) over (partition by hypothesis_id order by ts, id) as i from a) select id, row_number() over (partition by hypothesis_id, i order by ts, id) as held_for from b")

@@ -74,7 +74,7 @@ DOCM = f"""docm as (
     'doc:' || doc_id as event_key from documents)"""
 
 QUERIES = f"""qs as (
-  select item_id as query_id, item_id % {banks("documents")} as bank_id, array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') as query_text,
+  select item_id as query_id, item_id % {banks("documents")} as bank_id, text as query_text,
     500 + item_id * 7 as cutoff_turn from benchmark)"""
 
 OBS = """obs as (

@@ -71,7 +71,7 @@ def test_a_migration_goes_on_where_it_stopped(spark):
         return spark.createDataFrame(out.select(df.columns).collect(), row)
 
     seen = []
-    for limit, left in ((25, len(need) - 25), (20, 0), (20, 0)):
+    for limit, left in ((25, len(need) - 25), (40, 0), (20, 0)):
         out = migrate(m, s, "new", 1, embed, limit, parts=3)
         done = sorted((r.tab, r.id) for r in out.rebuilt.collect())
         assert done == need[len(seen) : len(seen) + limit]
