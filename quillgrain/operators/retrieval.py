@@ -6,6 +6,8 @@ bank through joins; every lane is cut to its top rows before lanes are put toget
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillgrain.functions import text as T
 from quillgrain.operators import bank as K
+from quillgrain.sources.scratch import stored
 
 # Weights of the lanes, bounds of the answer, BM25's constants, letters without their accents.
 LANE_TOP, SCALE, RANK_OFFSET, REASON_RANK = 60, 12.0, 60.0, 12
@@ -46,15 +49,51 @@ def corpus_stats(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def lexical_scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(query_id, id, score): BM25 of rows against the terms of the queries of their bank.
 
-    Statistics are those of all rows; what isn't visible is filtered before the lane is cut. Only
-    postings of asked tokens go through the shuffle, as asked tokens are joined first.
+    Statistics are those of all rows; what isn't visible is filtered before the lane is cut.
+    """
+    return lexical_lookup(queries, lexicon(rows))
+
+
+@dataclass
+class Lexicon:
+    """Stored postings of a bank's rows in ranges of (bank_id, token), the frequency of each token, and the totals."""
+
+    postings: DataFrame
+    frequencies: DataFrame
+    totals: DataFrame
+
+
+def lexicon(rows: DataFrame, parts: int | None = None) -> Lexicon:
+    """Tokenises rows (bank_id, id, content) once and keeps their postings as a table.
+
+    Postings lie by (bank_id, token), so that a lookup of few tokens reads few row groups of a file.
     """
+    t = rows.select("bank_id", "id", tokens(F.col("content")).alias("w"))
+    each = t.select("bank_id", "id", F.size("w").alias("doc_len"), F.explode_outer("w").alias("token"))
+    p = each.groupBy("bank_id", "id", "doc_len", "token").agg(F.count("*").alias("tf"))
+    dealt = p.repartitionByRange(parts, "bank_id", "token") if parts else p.repartitionByRange("bank_id", "token")
+    held = stored(dealt.sortWithinPartitions("bank_id", "token"))
+    # a row without a token has one posting of none, so that it counts
+    totals = held.groupBy("bank_id", "id", "doc_len").agg(F.lit(1)).agg(F.count("*").cast("double").alias("n"), F.avg("doc_len").alias("avg_len"))
+    words = held.where("token is not null")
+    return Lexicon(words, stored(words.groupBy("token").agg(F.count("*").alias("df"))), stored(totals))
+
+
+def replaced(known: Lexicon, rows: DataFrame) -> Lexicon:
+    """The lexicon after some rows (bank_id, id, content) came anew: only they are tokenised."""
+    new = lexicon(rows)
+    kept = known.postings.join(rows.select("bank_id", "id"), ["bank_id", "id"], "left_anti")
+    held = stored(kept.unionByName(new.postings).repartitionByRange("bank_id", "token").sortWithinPartitions("bank_id", "token"))
+    totals = held.groupBy("bank_id", "id", "doc_len").agg(F.lit(1)).agg(F.count("*").cast("double").alias("n"), F.avg("doc_len").alias("avg_len"))
+    return Lexicon(held, stored(held.groupBy("token").agg(F.count("*").alias("df"))), stored(totals))
+
+
+def lexical_lookup(queries: DataFrame, known: Lexicon) -> DataFrame:
+    """(query_id, id, score): BM25 from stored postings; no text is tokenised but the queries'."""
     terms = queries.select("query_id", "bank_id", F.explode(F.array_distinct(F.flatten(F.transform(T.query_terms("query_text"), lambda t: tokens(t))))).alias("token"))
-    asked = terms.select("token").distinct()
-    hit = postings(rows).join(asked, "token", "left_semi")
-    df = hit.groupBy("token").agg(F.count("*").alias("df"))
-    size = rows.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(tokens(F.col("content")))).alias("avg_len"))
-    scored = hit.join(df, "token").join(F.broadcast(size))  # one row of totals
+    asked = terms.select("bank_id", "token").distinct()
+    hit = known.postings.join(asked, ["bank_id", "token"], "left_semi")
+    scored = hit.join(known.frequencies, "token").join(F.broadcast(known.totals))  # one row of totals
     idf = F.greatest(F.lit(1e-6), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     return terms.join(scored.select("bank_id", "token", "id", weight.alias("s")), ["bank_id", "token"]).groupBy("query_id", "id").agg(F.sum("s").alias("score"))
@@ -82,7 +121,28 @@ def vector_lane(pairs: DataFrame, column: str) -> DataFrame:
 
 def exact_lane(pairs: DataFrame) -> DataFrame:
     """(query_id, id, score) by literal phrases and names."""
-    return pairs.select("query_id", "id", T.exact_cue_score(F.col("key_phrases"), F.col("entities"), F.col("query_text")).alias("score"))
+    return pairs.select("query_id", "id", _exact(pairs).alias("score"))
+
+
+def _exact(pairs: DataFrame) -> Column:
+    return F.col("exact") if "exact" in pairs.columns else T.exact_cue_score(F.col("key_phrases"), F.col("entities"), F.col("query_text"))
+
+
+def scored_pairs(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Visible pairs as narrow rows: what the lanes and priors need of each, worked out once and kept.
+
+    Names and phrases of a row are found before it meets queries; texts don't go along.
+    """
+    more = [c for c in ("vector", "cue_vector", "stamp") if c in rows.columns]
+    cued = stored(rows.select("bank_id", "id", "turn_idx", "kind", "archived", "retired_batch", "importance", "confidence", "entities", "key_phrases", *more))
+    pairs = visible_pairs(queries.withColumn("query_text", F.coalesce("query_text", F.lit(""))), cued)
+    mode = queries.select("query_id", T.temporal_mode("query_text").alias("mode"))
+    lanes = {"exact": _exact(pairs)}
+    if "query_vector" in queries.columns:
+        same = F.col("stamp") == F.col("query_stamp")
+        lanes |= {n: F.when(same, T.dot(F.col(c), F.col("query_vector"))).otherwise(0.0) for n, c in (("semantic", "vector"), ("cue", "cue_vector"))}
+    narrow = pairs.select("query_id", "id", "bank_id", "turn_idx", "kind", "importance", "confidence", "cutoff_turn", *[v.alias(n) for n, v in lanes.items()])
+    return stored(narrow.join(mode, "query_id"))
 
 
 def fuse(lanes: dict[str, DataFrame], weights: dict[str, float] | None = None) -> DataFrame:
@@ -113,8 +173,8 @@ def ranked_importance(rows: DataFrame, group: str) -> DataFrame:
 def priors(pairs: DataFrame, fused: DataFrame) -> DataFrame:
     """All visible rows with their fused score and the scalar terms: importance, confidence, belief, exact hit, time."""
     rows = ranked_importance(pairs, "query_id").join(fused, ["query_id", "id"], "left")
-    exact = T.exact_cue_score(F.col("key_phrases"), F.col("entities"), F.col("query_text"))
-    mode = T.temporal_mode("query_text")
+    exact = _exact(pairs)
+    mode = F.col("mode") if "mode" in pairs.columns else T.temporal_mode("query_text")
     age = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("cutoff_turn") - F.col("turn_idx")) / F.greatest(F.col("cutoff_turn"), F.lit(1))))
     when = F.when(F.col("turn_idx").isNull() | (F.col("cutoff_turn") == 0) | (mode == "neutral"), 0.0).when(mode == "old", 0.12 * age).otherwise(0.12 * (1 - age))
     belief = F.when(F.col("kind") == "inference", 0.10 * (F.col("confidence") - 0.5)).otherwise(0.0)
@@ -183,19 +243,23 @@ def hybrid_search(queries: DataFrame, rows: DataFrame, k: int = LIMIT, facets: D
     The read seam comes before all ranking. `facets` (query_id, label, vector, stamp) add a lane
     for each label.
     """
-    pairs = visible_pairs(queries, rows)
+    pairs = scored_pairs(queries, rows)
     lexical = lexical_scores(queries, rows).join(pairs.select("query_id", "id"), ["query_id", "id"], "left_semi")
-    lanes = {"lexical": top(lexical), "exact": top(exact_lane(pairs), None)}
+    lane = lambda name: pairs.select("query_id", "id", F.col(name).alias("score"))
+    lanes = {"lexical": top(lexical), "exact": top(lane("exact"), None)}
     if "query_vector" in queries.columns:
-        lanes |= {"semantic": top(vector_lane(pairs, "vector"), ties="desc"), "cue": top(vector_lane(pairs, "cue_vector"), ties="desc")}
+        lanes |= {name: top(lane(name), ties="desc") for name in ("semantic", "cue")}
     if facets is not None:
-        f = pairs.select("query_id", "id", "vector", "cue_vector", "stamp").join(facets.select("query_id", "label", F.col("vector").alias("fv"), F.col("stamp").alias("fs")), "query_id").where("stamp = fs")
+        f = pairs.select("query_id", "id", "bank_id").join(rows.select("bank_id", "id", "vector", "cue_vector", "stamp"), ["bank_id", "id"]).join(facets.select("query_id", "label", F.col("vector").alias("fv"), F.col("stamp").alias("fs")), "query_id").where("stamp = fs")
         best = F.greatest(T.dot(F.col("vector"), F.col("fv")), T.dot(F.col("cue_vector"), F.col("fv")))
         w = Window.partitionBy("query_id", "label").orderBy(F.desc(F.round("score", 9)), F.desc("id"))
         lanes["facet"] = f.select("query_id", "label", "id", best.alias("score")).where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= LANE_TOP)
-    scored = gate(priors(pairs, fuse(lanes)), k)
-    pool = scored.where(F.col("rank") <= F.greatest(F.col("take") * 8, F.lit(40))).select("query_id", "id", "rank", "score", "take", "vector", T.token_set("content").alias("words"))
-    picked = diversify(pool)
+    scored = stored(gate(priors(pairs, fuse(lanes)), k).select("query_id", "id", "bank_id", "kind", "turn_idx", "rank", "score", "take"))
+    vector = F.col("vector") if "vector" in rows.columns else F.lit(None).cast("array<float>")
+    words = rows.select("bank_id", "id", vector.alias("vector"), T.token_set("content").alias("words"))
+    near = scored.where(F.col("rank") <= F.greatest(F.col("take") * 8, F.lit(40)))
+    pool = near.join(words, ["bank_id", "id"]).select("query_id", "id", "rank", "score", "take", "vector", "words")
+    picked = stored(diversify(pool))
     extra = pad_neighbours(picked, scored.select("query_id", "id", "kind", "turn_idx")).join(scored.select("query_id", "id", "score"), ["query_id", "id"])
     out = picked.select("query_id", "id", "score", F.lit(False).alias("neighbour")).unionByName(extra.withColumn("neighbour", F.lit(True)))
     w = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("turn_idx"), "id")
