@@ -73,19 +73,21 @@ def lexicon(rows: DataFrame, parts: int | None = None) -> Lexicon:
     p = each.groupBy("bank_id", "id", "doc_len", "token").agg(F.count("*").alias("tf"))
     dealt = p.repartitionByRange(parts, "bank_id", "token") if parts else p.repartitionByRange("bank_id", "token")
     held = stored(dealt.sortWithinPartitions("bank_id", "token"))
+    return _known(held)
+
+
+def _known(held: DataFrame) -> Lexicon:
     # a row without a token has one posting of none, so that it counts
     totals = held.groupBy("bank_id", "id", "doc_len").agg(F.lit(1)).agg(F.count("*").cast("double").alias("n"), F.avg("doc_len").alias("avg_len"))
-    words = held.where("token is not null")
-    return Lexicon(words, stored(words.groupBy("token").agg(F.count("*").alias("df"))), stored(totals))
+    words = held.where("token is not null").groupBy("token").agg(F.count("*").alias("df"))
+    return Lexicon(held, stored(words), stored(totals))
 
 
 def replaced(known: Lexicon, rows: DataFrame) -> Lexicon:
     """The lexicon after some rows (bank_id, id, content) came anew: only they are tokenised."""
-    new = lexicon(rows)
     kept = known.postings.join(rows.select("bank_id", "id"), ["bank_id", "id"], "left_anti")
-    held = stored(kept.unionByName(new.postings).repartitionByRange("bank_id", "token").sortWithinPartitions("bank_id", "token"))
-    totals = held.groupBy("bank_id", "id", "doc_len").agg(F.lit(1)).agg(F.count("*").cast("double").alias("n"), F.avg("doc_len").alias("avg_len"))
-    return Lexicon(held, stored(held.groupBy("token").agg(F.count("*").alias("df"))), stored(totals))
+    both = kept.unionByName(lexicon(rows).postings)
+    return _known(stored(both.repartitionByRange("bank_id", "token").sortWithinPartitions("bank_id", "token")))
 
 
 def lexical_lookup(queries: DataFrame, known: Lexicon) -> DataFrame:

@@ -181,3 +181,24 @@ def test_safe_export_is_cut_and_redacted(spark):
     df = spark.range(500).select(F.col("id"), F.concat(F.lit("ghp_"), F.lpad(F.col("id").cast("string"), 12, "x")).alias("note"))
     got = P.safe_export(df, ["id"], rows=20).collect()
     assert len(got) == 20 and {r.cut_by for r in got} == {"rows"} and all(r.note.startswith("<redacted") for r in got)
+
+
+def test_page_findings():
+    from quillgrain.operators.pages import findings_of
+
+    kinds = lambda m: sorted((k, d) for k, d, _ in findings_of(m))
+    assert kinds("<div><p>hi</div><p>open") == [("unclosed", "<p> never closed")]
+    assert kinds("<div><span>x</div></b>") == [("stray-close", "</b> with nothing open"), ("unclosed", "<span> never closed")]
+    named = "<button>ok</button><button aria-label='Save'>x</button><button>保存</button><button><img alt='Save'></button><button>&times;</button>"
+    assert kinds(named) == []
+    unnamed = "<button>×</button><button aria-label=' '>1</button><button><img alt=''></button><button></button>"
+    assert kinds(unnamed) == [("unnamed-control", "a button without a name")] * 4
+    assert kinds("<a id=x></a><b id=x></b><div onclick=f()></div>") == [("duplicate-id", "id 'x' appears 2 times"), ("keyboard-unreachable", "<div> carries onclick")]
+
+
+def test_symbols_of_python():
+    from quillgrain.operators.chunks import symbols
+
+    text = "A = b = 1\nx = 2\nasync def f():\n    def g(): pass\nclass C:\n    D = 1\n    def m(self): pass\n    class E:\n        def n(self): pass\n"
+    assert symbols(text, "python") == [("constant", "A", 1), ("function", "f", 3), ("class", "C", 5), ("method", "C.m", 7)]
+    assert symbols("def broken(:", "python") == []
