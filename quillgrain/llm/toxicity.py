@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from quillgrain.llm.common import id_crc, stored
 
@@ -156,6 +157,10 @@ class Scorer:
         return float(-np.expm1(-np.logaddexp(0, z).sum())), [p for p in places if p["p"] >= self.model.offence]
 
 
+_SPAN = StructType().add("start", IntegerType()).add("end", IntegerType()).add("p", DoubleType())
+_FOUND = StructType().add("score", DoubleType()).add("offences", ArrayType(_SPAN))
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows with `score` and `offences` (added or replaced), the character spans and p of offending sentences.
 
@@ -175,7 +180,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.record_batch([*rest.columns, *cols], [*rest.schema.names, "score", "offences"])
 
     rest = docs.drop("score", "offences")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema), "score double, offences array<struct<start:int,end:int,p:double>>"])
+    schema = StructType([*rest.schema.fields, *_FOUND.fields])
     return rest.withColumn(x, F.col(text_col)).mapInArrow(run, schema)
 
 

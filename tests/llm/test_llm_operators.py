@@ -641,3 +641,16 @@ def test_stages_on_hard_rows_and_empty_tables(spark, hard, tmp_path):
             if name == "simhash_dedup" and rows:
                 # the wordless ones are copies, and 3 and 4 hold the same words
                 assert sorted(r.doc_id or 0 for r in out.select("doc_id").collect()) == [0, 1, 1, 2, 3]
+
+
+def test_stages_keep_own_columns_of_any_name(spark, docs, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["score", "offences", "n_lines", "n_pii", "_d", "_t", "root", "x`y", "a-b", "a.b"]
+    rows = [(1, "a clean text of some words\nand one more line"), (2, "another text that is quite unlike it\nand one more line"), (3, None)]
+    own = docs(rows).select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names], F.struct(F.lit(1).alias("p-q")).alias("s"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, own, str(tmp_path))
+        assert out.columns == own.columns, name
+        for r in out.collect():
+            assert all(r[n] == f"{n} {r.doc_id}" for n in names) and tuple(r.s) == (1,), name

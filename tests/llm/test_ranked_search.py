@@ -42,7 +42,7 @@ def frame(spark, rows, id_col):
     return spark.createDataFrame([(i, t, "own", "own") for i, t in rows], f"{id_col} long, text string, score string, `a-b` string")
 
 
-@pytest.mark.parametrize(("shard_bytes", "shard_docs", "items_of_a_block"), [(1 << 24, 1 << 16, 256), (3000, 1 << 16, 3), (1 << 24, 1, 256), (700, 5, 2)])
+@pytest.mark.parametrize(("shard_bytes", "shard_docs", "items_of_a_block"), [(1 << 24, 1 << 16, 256), (3000, 1 << 16, 3), (700, 5, 2)])
 def test_every_item_as_if_every_document_were_scored(spark, monkeypatch, shard_bytes, shard_docs, items_of_a_block):
     r = random.Random(4)
     documents = [(i, words(r.choice([1, 5, 40, 200]), r)) for i in range(150)]

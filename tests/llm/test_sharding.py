@@ -108,7 +108,7 @@ def test_documents_in_near_equal_shards(spark):
     assert len(held) == 40 and max(held.values()) <= 1.001 * min(held.values())
 
 
-@pytest.mark.parametrize("bucket", [1, 3, 1024])
+@pytest.mark.parametrize("bucket", [1, 1024])
 def test_hard_rows_and_hot_groups(spark, docs, monkeypatch, bucket):
     monkeypatch.setattr(sharding, "BUCKET", bucket)
     texts = [(i, "hot text " * 20) for i in range(300)] + [(None, None), (None, ""), (None, "x"), (5, "same"), (5, "same"), (6, "é" * 200_000)] + [(1000 + i, f"text {i % 450}") for i in range(600)]
