@@ -26,7 +26,7 @@ def clustered(n, dim=16, groups=25, seed=1):
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32).tolist()
 
 
-@pytest.mark.parametrize(("size", "task_rows"), [(2000, 50_000), (40, 50_000), (7, 60)])
+@pytest.mark.parametrize(("size", "task_rows"), [(2000, 50_000), (7, 60)])
 def test_neighbours_are_those_of_all_pairs(spark, monkeypatch, size, task_rows):
     monkeypatch.setattr(X.blocks_of, "__defaults__", (size, X.PIVOTS, task_rows))
     v = clustered(900)
