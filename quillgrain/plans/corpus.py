@@ -26,9 +26,9 @@ def s14(spark, d):
 @query("t17_html_text", f"""with a as (select page_id, regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g') as h from pages), b as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h,
  '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?is)<svg[^>]*>.*?</svg>', ' ', 'g'), '(?is)<nav[^>]*>.*?</nav>', ' ', 'g'), '(?is)<footer[^>]*>.*?</footer>', ' ', 'g'), '(?is)<header[^>]*>.*?</header>', ' ', 'g') as h from a),
 c as (select page_id, regexp_replace(regexp_replace(h, '(?is)<br\\s*/?>|</p>|</div>|</li>|</h[1-6]>', chr(10), 'g'), '(?s)<[^>"'']*(?:"[^"]*"|''[^'']*''[^>"'']*)*[^>]*>', ' ', 'g') as h from b)
-select page_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '[ \\t]+', ' ', 'g'), '\\n\\s*\\n+', chr(10), 'g'), '^\\s+', ''), '\\s+$', '')) as n_chars from c""")
+select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(h, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;?', '&', 'g'), '[ \\t]+', ' ', 'g'), '\\n\\s*\\n+', chr(10), 'g'), '^\\s+', ''), '\\s+$', '') as text from c""")
 def t17(spark, d):
-    return A.table(spark, d, "pages").select("page_id", F.length(web.html_text(F.col("html"), decode=False)).alias("n_chars"))
+    return A.table(spark, d, "pages").select("page_id", web.html_text(F.col("html")).alias("text"))
 
 
 @query("t18_canonical_url")
