@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,6 +112,39 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield keyed(key, ids)
 
 
+def in_cells(dealt: DataFrame, size: int) -> DataFrame:
+    """(key, id) -> (key, side, id): the rows of each key in cells of about 2 * `size` rows at most, in which any two of them meet.
+
+    A key of `size` rows or fewer is one cell, of side null. The rows of a larger one are dealt into blocks by
+    their hash, and every two blocks are a cell (sides 0 and 1), every block one more (side null): no bucket has
+    to fit into a task, and what meets doesn't hang on the bounds of batches or partitions. A cell's key is
+    a hash; where two collide, rows meet that need not.
+    """
+    many = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > size).select("key", F.ceil(F.col("n") / size).alias("g"))
+    own, other = F.pmod(F.xxhash64("id"), F.col("g")), F.explode(F.when(F.col("g").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    rows = dealt.join(many, "key", "left").select("key", "id", own.alias("own"), other.alias("other"))
+    cell = F.when(F.col("other").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return rows.select(cell.alias("key"), F.when(F.col("own") != F.col("other"), (F.col("own") > F.col("other")).cast("int")).alias("side"), "id")
+
+
+def whole_keys(batches: Iterator[pd.DataFrame], room: int = 20_000) -> Iterator[pd.DataFrame]:
+    """A task's rows by key in frames of `room` rows or more that end where a key ends, whatever its batches were."""
+    held, n, most = [], 0, room
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= most:
+            rows = pd.concat(held, ignore_index=True)
+            key = rows["key"].to_numpy(np.int64)
+            last = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if last:
+                yield rows[:last]
+            held, n = [rows[last:]], n - last
+            most = max(room, 2 * n)
+    if sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph: edges (u, v) long -> (node, root).
 

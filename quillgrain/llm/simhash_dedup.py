@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrain.llm.common import components, cut, doc_key, keyed, raw, shared, stored
+from quillgrain.llm.common import components, cut, doc_key, in_cells, keyed, raw, shared, stored, whole_keys
 
 SEED = 42
 
@@ -125,6 +125,8 @@ def near_duplicates(fps: DataFrame, limit: int = 2) -> DataFrame:
 #: Near copies: sixteen segments of 24 bits and SPARE bits besides; SAME of them all differ at most, which is a
 #: shingle similarity of about 0.8. An id holds ID_BITS of the spare bits, of which ID_SAME differ at most.
 SEGMENTS, BITS, SPARE, SAME, ID_BITS, ID_SAME = 16, 24, 64, 70, 40, 12
+#: Rows of a bucket that are compared in one task; a larger bucket is as many cells as it has pairs of such blocks.
+CELL = 4096
 #: For a byte the eight bits, first the highest, as eight one-byte counters in a 64-bit word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 _MIXERS = np.random.default_rng(SEED).integers(0, 2**64, (SEGMENTS * BITS + SPARE) // 64, dtype=np.uint64) | np.uint64(1)
@@ -206,41 +208,46 @@ def alike(most: int = ID_SAME, room: int = 20_000):
     return run
 
 
-def nearest_links(same: int = SAME, room: int = 4096):
-    """A task over (key, id, fp) rows by key: (key, u, v) links a fingerprint to the nearest before it, if it is near enough.
+def forest(prints: np.ndarray, same: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of linked prints (rows of words, `same` bits or fewer apart): a spanning forest of all links.
 
-    A bucket is streamed. From one batch to the next go only its leaders, which had nothing near
-    before them. When `room` of them are held, further ones are given back as (key, id, null): they
-    have been compared with all leaders and meet each other in the next round.
+    Each print reached is compared with those not reached yet, so many near prints cost about their number.
     """
+    us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    rest, queue = np.arange(len(prints)), []
+    while len(rest):
+        if not queue:
+            queue, rest = [rest[0]], rest[1:]
+            continue
+        x = queue.pop()
+        near = np.bitwise_count(prints[rest] ^ prints[x]).sum(axis=1, dtype=np.int64) <= same
+        if near.any():
+            hit = rest[near]
+            us.append(hit)
+            vs.append(np.full(len(hit), x))
+            queue.extend(hit)
+            rest = rest[~near]
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def cell_links(same: int = SAME):
+    """A task over (key, id, fp) rows by key: spanning links (u, v) of the fingerprints of every key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, ids, prints = None, np.empty(0, np.int64), np.empty((0, len(_MIXERS)), np.uint64)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            key, own = pdf["key"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)
+        for pdf in whole_keys(batches):
+            key, ids = pdf["key"].to_numpy(np.int64), pdf["id"].to_numpy(np.int64)
             fp = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            us, vs, over = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
-            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(key)], strict=True):
-                if key[s] != last:
-                    ids, prints = ids[:0], prints[:0]
-                last, lead = key[s], len(ids)
-                every, block = np.concatenate([ids, own[s:e]]), np.concatenate([prints, fp[s:e]])
-                far = np.zeros((e - s, len(every)), np.uint16)
-                for word in range(block.shape[1]):
-                    far += np.bitwise_count(fp[s:e, None, word] ^ block[None, :, word])
-                far[np.arange(len(every))[None, :] >= np.arange(lead, len(every))[:, None]] = 1000
-                at = far.argmin(axis=1)
-                near = far[np.arange(e - s), at] <= same
-                us.append(own[s:e][near])
-                vs.append(every[at[near]])
-                lone = s + np.flatnonzero(~near)
-                ids, prints = np.concatenate([ids, own[lone[: room - lead]]]), np.concatenate([prints, fp[lone[: room - lead]]])
-                over += [(last, x) for x in own[lone[max(0, room - lead) :]].tolist()]
-            u, v = np.concatenate(us), np.concatenate(vs)
-            yield pd.DataFrame({"key": pd.array([pd.NA] * len(u) + [k for k, _ in over], "Int64"), "u": np.r_[u, np.array([x for _, x in over], np.int64)], "v": pd.array([*v.tolist(), *[pd.NA] * len(over)], "Int64")})
+            size = np.diff(np.r_[start, len(key)])
+            two = start[size == 2]
+            near = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1, dtype=np.int64) <= same
+            us, vs = [two[near]], [two[near] + 1]
+            for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                u, v = forest(fp[s : s + n], same)
+                us.append(s + u)
+                vs.append(s + v)
+            u, v = ids[np.concatenate(us)], ids[np.concatenate(vs)]
+            yield pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)}).drop_duplicates()
 
     return run
 
@@ -269,15 +276,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = stored(prints.select("id", "fp").dropDuplicates(["id"]))
     dealt = nodes.mapInArrow(variants, "key long, id long")
     dealt = stored(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(alike(), "key long, id long"))
-    links = None
-    while True:
-        ordered = dealt.join(nodes, "id").repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp")
-        found = stored(ordered.mapInPandas(nearest_links(same), "key long, u long, v long"))
-        passed = found.where("v is not null").select("u", "v").distinct()
-        links = passed if links is None else links.unionByName(passed)
-        dealt = found.where("key is not null").select("key", F.col("u").alias("id"))
-        if dealt.isEmpty():
-            break
+    cells = in_cells(dealt, CELL).join(nodes, "id").repartition("key").sortWithinPartitions("key", "id").select("key", "id", "fp")
+    links = cells.mapInPandas(cell_links(same), "u long, v long")
     roots = components(links).withColumnRenamed("node", "id")
     return prints.select("_d", "_t", "id").join(roots, "id", "left").select("_d", "_t", F.coalesce("root", "id").alias("root"))
 

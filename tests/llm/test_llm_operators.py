@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillgrain.llm import best_fit, line_dedup, mtree, pieces, pii, ppm, quality_rules, simhash_dedup, substring_dedup, toxicity
-from quillgrain.llm.common import components, keyed, shared, table
+from quillgrain.llm.common import components, in_cells, keyed, shared, table
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", "   ", "\n\n", "one", "word " * 3000, "same text here", "same text here", "é ñ 你好 🙂\tx"]
@@ -97,14 +97,31 @@ def test_near_copies_are_grouped(spark, docs):
     assert all(group[i] == group[j] for i in found for j in found if found[i] == found[j])
 
 
-def test_nearest_links_of_a_streamed_bucket():
-    fp = np.array([[2**i - 1] + [0] * 6 for i in (0, 1, 2, 60, 61)], np.uint64)
-    rows = pd.DataFrame({"key": 7, "id": np.arange(5), "fp": [x.tobytes() for x in fp]})
-    for size in (1, 2, 5):
-        got = pd.concat(simhash_dedup.nearest_links(5)(rows[i : i + size] for i in range(0, 5, size)))
-        assert {(u, v) for u, v in zip(got.u, got.v, strict=True)} in ({(1, 0), (2, 1), (4, 3)}, {(1, 0), (2, 0), (4, 3)})
-    got = pd.concat(simhash_dedup.nearest_links(5, 1)(rows[i : i + 1] for i in range(5)))
-    assert got.u[got.v.isna()].tolist() == [3, 4]
+@pytest.mark.parametrize("size", [1, 2, 3, 1000])
+def test_links_of_a_cell_are_those_of_all_pairs_at_any_batch_size(size):
+    r = np.random.default_rng(5)
+    fp = np.zeros((60, 7), np.uint64)
+    for i in range(1, 60):  # chains of near prints: each is near the one before it alone
+        fp[i] = fp[i - 1] if i % 6 else r.integers(0, 2**63, 7).astype(np.uint64)
+        fp[i, r.integers(0, 7)] ^= np.uint64(r.integers(1, 2**63))
+    key = np.repeat([1, 2, 3], [2, 40, 18])
+    rows = pd.DataFrame({"key": key, "id": np.arange(60), "fp": [x.tobytes() for x in fp]})
+    near = {(i, j) for i in range(60) for j in range(i) if key[i] == key[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= 45}
+    got = pd.concat(simhash_dedup.cell_links(45)(rows[i : i + size] for i in range(0, 60, size)))
+    found = set(zip(got.u, got.v, strict=True))
+    assert found <= near
+    assert left_over(60, found) == left_over(60, near) != set()
+
+
+@pytest.mark.parametrize("size", [3, 7, 1000])
+def test_rows_of_a_key_meet_in_bounded_cells(spark, size):
+    rows = [(k, 100 * k + i) for k, n in ((1, 2), (2, 40), (3, 7)) for i in range(n)]
+    cells = in_cells(spark.createDataFrame(rows, "key long, id long"), size).toPandas()
+    met = set()
+    for _, c in cells.groupby("key"):
+        assert len(c) <= 4 * size
+        met |= {(a, b) for a, x in zip(c.id, c.side.fillna(2), strict=True) for b, y in zip(c.id, c.side.fillna(2), strict=True) if a > b and (x != y or x == 2)}
+    assert met == {(a, b) for k, a in rows for m, b in rows if k == m and a > b}
 
 
 @pytest.mark.parametrize(("size", "room"), [(1, 4), (3, 4), (100, 20_000)])
