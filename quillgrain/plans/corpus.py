@@ -111,6 +111,38 @@ def a15(spark, d):
     return s16(spark, d).groupBy(F.regexp_replace("name", "_[0-9]+$", "").alias("name"), "kind").agg(F.count("*").alias("n"))
 
 
+def _mapped(spark, d):
+    """Documents as files of several languages; in those of scripts a line that starts with a word names a function."""
+    i = F.col("doc_id")
+    name = F.when(i % 25 == 0, "main.py").when(i % 5 == 0, "notes.txt").when(i % 5 == 1, "index.js").when(i % 5 == 2, "part.ts").when(i % 5 == 3, "part.go").otherwise("read.md")
+    word = F.when(i % 5 == 3, "$1func $2 ").otherwise("$1function $2 ")
+    src = A.table(spark, d, "documents").withColumn("word", word)
+    return src.select((i % A.banks(spark, d, "documents")).alias("bank_id"), F.concat_ws("/", F.lit("src"), i.cast("string"), name).alias("path"), F.when((i % 5).isin(1, 2, 3), F.expr(r"regexp_replace(text, '(^|\\n)([A-Za-z]+) ', word)")).otherwise(F.col("text")).alias("body"))
+
+
+_MAP = rf"""src as (select doc_id, doc_id % {S.banks('documents')} as bank_id, 'src/' || doc_id || '/' || case when doc_id % 25 = 0 then 'main.py' when doc_id % 5 = 0 then 'notes.txt' when doc_id % 5 = 1 then 'index.js' when doc_id % 5 = 2 then 'part.ts' when doc_id % 5 = 3 then 'part.go' else 'read.md' end as path,
+case when doc_id % 25 = 0 then 'python' when doc_id % 5 = 0 then '' when doc_id % 5 = 1 then 'javascript' when doc_id % 5 = 2 then 'typescript' when doc_id % 5 = 3 then 'go' else 'markdown' end as language,
+coalesce(case when doc_id % 5 in (1, 2, 3) then regexp_replace(text, '(^|\n)([A-Za-z]+) ', case when doc_id % 5 = 3 then '\1func \2 ' else '\1function \2 ' end, 'g') else text end, '') as body from documents),
+f as (select bank_id, path, language, strlen(body) as bytes, case when language <> '' and strlen(body) < 400000 and body <> '' then length(body) - length(replace(body, chr(10), '')) + 1 end as lines,
+case when language in ('javascript', 'typescript', 'go') and strlen(body) < 400000 then len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '^(func|function) [A-Za-z]+ '))) else 0 end as n_symbols, regexp_matches(path, '/(main.py|index.js)$') as entry_point from src)"""
+
+
+@query("s16_file_map", f"with {_MAP} select path, language, bytes, lines, n_symbols, least(n_symbols, 40) as shown, language in ('javascript', 'typescript', 'go') and lines is not null as by_pattern, entry_point from f")
+def s16_files(spark, d):
+    f = N.file_map(_mapped(spark, d))
+    return f.select("path", "language", "bytes", "lines", "n_symbols", F.coalesce(F.size("symbols"), F.lit(0)).cast("long").alias("shown"), (F.col("caveat") == N.BY_PATTERN).alias("by_pattern"), "entry_point")
+
+
+@query("s16_map_totals", f"with {_MAP} select grouping_id(bank_id, language)::int as level, bank_id, language, count(*) as files, sum(bytes)::bigint as bytes, coalesce(sum(lines), 0)::bigint as lines, sum(n_symbols)::bigint as symbols, count(*) filter (entry_point) as entry_points from f where language <> '' group by rollup (bank_id, language)")
+def s16_totals(spark, d):
+    return N.map_totals(N.file_map(_mapped(spark, d)))
+
+
+@query("s16_compact_map", f"with {_MAP}, p as (select bank_id, case when n_symbols > 0 then 'files' else 'other' end as part, path, case when n_symbols > 0 then -lines else 0 end as o from f union all select bank_id, 'entry', path, 0 from f where entry_point), r as (select bank_id, part, path, row_number() over (partition by bank_id, part order by o, path) as rank from p) select bank_id, part, rank::int as rank, path from r where rank <= case part when 'entry' then 12 else 120 end")
+def s16_compact(spark, d):
+    return N.compact_map(N.file_map(_mapped(spark, d)))
+
+
 def _files(spark, d):
     i = F.col("doc_id")
     return A.table(spark, d, "documents").select((i % A.banks(spark, d, "documents")).alias("bank_id"), F.concat_ws("/", F.when(i % 9 == 0, "output").when(i % 10 == 0, "archive").otherwise("src"), F.concat(i.cast("string"), F.when(i % 5 == 0, ".bin").when(i % 2 == 0, ".py").otherwise(".md"))).alias("path"), i.alias("modified"), F.length("text").cast("long").alias("bytes"))
