@@ -2,7 +2,8 @@
 
 Found values are validated (octets of addresses, calendar dates, the check digits of IBANs and of
 card numbers; what fails stays as it is) and then permuted inside their own
-format by a keyed Feistel network. The permutation depends on the key, the kind and the value
+format by a keyed Feistel network. A date is found in a time stamp, too; the time of day stays.
+An access key keeps the prefix that tells its kind, its separators and the case of its letters. The permutation depends on the key, the kind and the value
 without its separators or case, so equal values stay linked across documents and spellings, and
 different values stay different. Rounds run as an `aggregate` over the round numbers, with SHA-256
 as round function.
@@ -20,15 +21,18 @@ ROUNDS = 8
 DAYS = (365, 400)
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+# Prefixes of access keys.
+KEY_PREFIX = r"(?:sk_live_|sk_test_|pk_live_|sk-|ghp_|gho_|ghu_|ghs_|github_pat_|glpat-|hf_|AKIA|ASIA|AIza|xox[baprs]-)"
 #: In order of precedence; the texts are looked through once, by their alternation.
 PATTERNS = {
     # possessive throughout and only from the start of a run, so that no text makes it recurse or scan twice
     "email": r"(?<![\p{L}\p{N}._%+\-])[._%+\-]*+[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++(?<=\p{L}{2})",
-    "secret": _EDGE + r"(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,64}" + _END,
+    "secret": _EDGE + r"(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,128}" + _END,
+    "apikey": _EDGE + KEY_PREFIX + r"(?=[A-Za-z_\-]*[0-9])[A-Za-z0-9_\-]{16,255}+" + _END,
     "iban": _EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "phone": r"(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .\-]?\(?[0-9]{2,4}\)?){2,4}" + _END,
     "ip": r"(?<![\p{L}\p{N}.])" + rf"(?:{_OCTET}\.)" + "{3}" + _OCTET + r"(?![\p{L}\p{N}]|\.[0-9])",
-    "isodate": _EDGE + r"[0-9]{4}-[0-9]{2}-[0-9]{2}" + _END,
+    "isodate": _EDGE + r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=T[0-9]{2}:[0-9]{2})|" + _END + ")",
     "daydate": _EDGE + r"[0-9]{2}[./][0-9]{2}[./][0-9]{4}" + _END,
     "ssn": _EDGE + r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}" + _END,
     "phone10": r"(?<![\p{L}\p{N}])\(?[0-9]{3}\)?[ .\-][0-9]{3}[.\-][0-9]{4}" + _END,
@@ -224,6 +228,14 @@ def _secret(m: Column, key: str) -> Column:
     return F.when(m == F.upper(m), F.upper(new)).otherwise(new)
 
 
+def _apikey(m: Column, key: str) -> Column:
+    """What follows the prefix is permuted in lower case; letters are capital where they were."""
+    prefix = F.regexp_extract(m, f"^{KEY_PREFIX}", 0)
+    rest = F.substr(m, F.length(prefix) + 1)
+    cased = lambda new: F.zip_with(F.split(rest, ""), F.split(new, ""), lambda old, c: F.when(old.rlike("[A-Z]"), F.upper(c)).otherwise(c))
+    return F.concat(prefix, F.array_join(cased(permute_string(F.lower(rest), key, "apikey")), ""))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one found value, by its kind."""
     is_ = lambda kind: m.rlike(f"^(?:{PATTERNS[kind]})$")
@@ -233,6 +245,7 @@ def pseudonym(m: Column, key: str) -> Column:
     return (
         F.when(m.contains("@"), _email(m, key))
         .when(is_("secret"), _secret(m, key))
+        .when(is_("apikey"), _apikey(m, key))
         .when(is_("iban"), _iban(m, key))
         .when(is_("phone"), _phone(m, key))
         .when(is_("ip"), _ip(m, key))

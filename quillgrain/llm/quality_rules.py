@@ -9,9 +9,11 @@ removed, and a document that keeps less than a share of its words is rejected as
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -103,22 +105,41 @@ def line_frequency(
     return out.withColumn("depleted", F.col("n_words") - F.col("n_removed") < F.greatest(F.lit(1), keep * F.col("n_words")))
 
 
-def remove_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents with their frequent lines taken out of the text; other columns stay."""
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    bad = frequent.groupBy("host").agg(F.collect_set("h").alias("_bad")).withColumnRenamed("host", "_host")
+def remove_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+    floor: int = FLOOR, share: float = SHARE, keep: float | None = KEEP,
+) -> DataFrame:
+    """The documents with their frequent lines taken out of the text; depleted ones go, unless `keep` is None.
+
+    A row meets only those frequent lines that stand in it, so no host's lines are gathered. A null host
+    is the empty host. A text without a word is depleted; where it stays, it stays as it is, null or empty.
+    Repeated rows are treated alike, an empty table stays empty; other columns stay, whatever their names.
+    A text in which no line is frequent isn't touched.
+    """
+    h_, d_, t_, bad_, gone_ = (f"{x}_{uuid.uuid4().hex}" for x in ("h", "d", "t", "bad", "gone"))
+    measured = cut(measure(docs, id_col, text_col, host_col))
+    rows = measured.dropDuplicates(["host", "_d", "_t"])
+    hits = rows.select("host", "_d", "_t", "n_words", F.inline("lines")).join(frequent_lines(measured, floor, share), ["host", "h"])
+    own = hits.groupBy("host", "_d", "_t").agg(F.sum("n").alias("n_removed"), F.first("n_words").alias("n_words"), F.collect_list("h").alias("bad"))
+    left = F.col("n_words") - F.col("n_removed")
+    depleted = F.lit(False) if keep is None else left < F.greatest(F.lit(1), keep * F.col("n_words"))
+    verdict = own.select(F.col("host").alias(h_), F.col("_d").alias(d_), F.col("_t").alias(t_), F.col("bad").alias(bad_), depleted.alias(gone_))
 
     @F.pandas_udf("string")
-    def clean(texts, bads):
-        out = []
-        for text, bad in zip(texts, bads, strict=True):
-            if text is not None and bad is not None and len(bad):
-                drop = set(bad.tolist())
-                text = "\n".join(x for x in text.split("\n") if not any(d["h"] in drop for d in line_hashes(x.encode())))
-            out.append(text)
-        return type(texts)(out)
-
-    return docs.withColumn("_host", host).join(bad, "_host", "left").withColumn(text_col, clean(text_col, "_bad")).drop("_host", "_bad")
+    def clean(texts: pd.Series, bad: pd.Series) -> pd.Series:
+        def one(text: str | None, drop) -> str | None:
+            if text is None or drop is None:
+                return text
+            drop = set(drop.tolist())
+            return "\n".join(x for x in text.split("\n") if not any(d["h"] in drop for d in line_hashes(x.encode())))
+
+        return pd.Series([one(*x) for x in zip(texts, bad, strict=True)], dtype=object)
+
+    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+    met = doc_key(docs, id_col, text_col, d_, t_).withColumn(h_, host).join(verdict, [h_, d_, t_], "left").where(~F.coalesce(gone_, F.lit(False)))
+    if keep is not None:  # texts without a word have no lines to meet
+        met = met.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return met.withColumn(text_col, F.when(F.col(bad_).isNull(), F.col(text_col)).otherwise(clean(text_col, bad_))).select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
