@@ -188,19 +188,57 @@ def o16(spark, d):
 
 
 def _index(spark, d):
-    return A.table(spark, d, "documents").select((F.col("doc_id") % A.banks(spark, d, "documents")).alias("bank_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.lit(0).alias("ordinal"), T.first_sentence("text", N.GIST).alias("gist"), F.col("lang").alias("title"))
+    i = F.col("doc_id")
+    return A.table(spark, d, "documents").select(
+        i, (i % A.banks(spark, d, "documents")).alias("bank_id"), F.concat_ws("/", "source", i.cast("string")).alias("path"), F.lit(0).alias("ordinal"),
+        F.concat(F.lit("c"), i.cast("string")).alias("chunk_key"), T.first_sentence("text", N.GIST).alias("gist"), F.col("lang").alias("title"), F.length("text").cast("long").alias("chars"),
+    )
+
+
+def _sql_tokens(t):
+    """The tokens of `identifier_tokens` without the stop words, each once."""
+    cut = "regexp_replace(x, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')"
+    names = f"regexp_extract_all({t}, '[A-Za-z_][A-Za-z0-9_]{{2,}}')"
+    parts = f"list_filter(flatten(list_transform({names}, lambda x: string_split_regex({cut}, '_+'))), lambda x: length(x) > 2)"
+    return f"list_filter(list_distinct(list_transform({names} || {parts}, lambda x: lower(x))), lambda x: not list_contains({S.words(N.STOP)}, x))"
+
+
+def _sql_index(of="documents"):
+    """Chunks, queries and their matches; `m` has all pairs of a bank with relevance."""
+    gist = f"string_split(regexp_replace({S.squeeze('text')}, '([.!?]) +', '\\1' || chr(1)), chr(1))[1]"
+    return f"""raw as (select doc_id % {S.banks('documents')} as bank_id, source || '/' || doc_id as path, 'c' || doc_id as id, {gist} as s, lang as title, length(text) as chars from {of}),
+ ch as (select *, case when length(s) > {N.GIST} then rtrim(substr(s, 1, {N.GIST - 1})) || '…' else s end as gist from raw),
+ tk as (select *, {_sql_tokens("concat_ws(' ', gist, title)")} as own, {_sql_tokens("replace(path, '/', ' ')")} as wh from ch),
+ qs as (select item_id as query_id, item_id % {S.banks('documents')} as bank_id, {_sql_tokens("text")} as terms from benchmark),
+ m as (select query_id, bank_id, path, id, gist, title, chars, (len(list_intersect(terms, own)) + 2 * len(list_intersect(terms, wh))) / (len(terms) + 2.0) as rel from qs join tk using (bank_id)),
+ e as (select *, length(to_json({{'id': id, 'source': path, 'gist': coalesce(nullif(gist, ''), title), 'chars': chars}})::varchar) + 7 as cost from m),
+ w as (select *, row_number() over o as rank, sum(cost) over (o rows unbounded preceding) as spent from e window o as (partition by query_id order by round(rel, 9) desc, path))"""
 
 
-@query("r11_chunk_relevance")
+@query("r11_chunk_relevance", f"with {_sql_index()} select query_id, path, round(rel, 6) as relevance from m where rel > 0")
 def r11(spark, d):
-    rows = A.recall_queries(spark, d).join(_index(spark, d), "bank_id")
-    r = N.relevance(F.col("query_text"), F.col("gist"), F.col("title"), F.col("path"))
-    return rows.select("query_id", "path", F.round(r, 6).alias("relevance")).where("relevance > 0")
+    return N.matches(A.recall_queries(spark, d), _index(spark, d)).select("query_id", "path", F.round("relevance", 6).alias("relevance"))
 
 
-@query("r12_digest")
+@query("r12_digest", f"with {_sql_index()} select query_id, rank, round(rel, 6) as relevance, spent::bigint as spent, id, path as source, coalesce(nullif(gist, ''), title) as gist, chars from w where spent <= 9000")
 def r12(spark, d):
-    return N.digest(A.recall_queries(spark, d), _index(spark, d)).select("query_id", "rank", "path", "relevance", "n_matched")
+    return N.digest(A.recall_queries(spark, d), _index(spark, d)).withColumn("relevance", F.round("relevance", 6))
+
+
+#: Labelled documents are the indexed ones here, the rest is listed only.
+_MISSED = f"""mi as (select doc_id % {S.banks('documents')} as bank_id, source || '/' || doc_id as path from documents where doc_id not in (select doc_id from labels)),
+ mw as (select *, row_number() over o as r, sum(length(path) + 32) over (o rows unbounded preceding) as spent from mi window o as (partition by bank_id order by path)),
+ mb as (select bank_id, count(*) as n_not_indexed, string_agg(path, ' ' order by path) filter (r = 1 or spent <= 1125) as not_indexed from mw group by 1),
+ tb as (select bank_id, count(*) as total, count(distinct path) as n_sources from ch group by 1),
+ qb as (select query_id, count(*) filter (rel > 0) as n_matched, count(*) filter (spent <= 9000) as showing from w group by 1)"""
+
+
+@query("r12_digest_totals", f"with {_sql_index('documents semi join labels using (doc_id)')}, {_MISSED} select query_id, coalesce(n_matched, 0) as n_matched, coalesce(showing, 0) as showing, coalesce(total, 0) as total, coalesce(n_sources, 0) as n_sources, coalesce(n_not_indexed, 0) as n_not_indexed, not_indexed from qs left join qb using (query_id) left join tb using (bank_id) left join mb using (bank_id)")
+def r12_totals(spark, d):
+    rows = _index(spark, d)
+    known = rows.join(A.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    listing = rows.select("bank_id", "path", F.lit("no labels").alias("why"))
+    return N.digest_totals(A.recall_queries(spark, d), known, listing).withColumn("not_indexed", F.array_join("not_indexed.path", " "))
 
 
 @query("j19_expand", "with a as (select doc_id as answer_id, unnest([doc_id + 1, doc_id, 10000000 + doc_id]) as k, unnest([0, 1, 2]) as pos from labels) select answer_id, pos, k::varchar as chunk_key, source as path, source is not null as known from a left join documents on doc_id = k")

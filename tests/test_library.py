@@ -1,5 +1,8 @@
 """Operators on small literal rows: what must hold whatever the data."""
 
+import itertools
+import json
+import re
 import zlib
 
 import numpy as np
@@ -202,3 +205,40 @@ def test_symbols_of_python():
     text = "A = b = 1\nx = 2\nasync def f():\n    def g(): pass\nclass C:\n    D = 1\n    def m(self): pass\n    class E:\n        def n(self): pass\n"
     assert symbols(text, "python") == [("constant", "A", 1), ("function", "f", 3), ("class", "C", 5), ("method", "C.m", 7)]
     assert symbols("def broken(:", "python") == []
+
+
+def test_digest_is_the_prefix_of_all_pairs(spark):
+    words = ["cache", "parser", "write_ahead", "loadConfig", "queue", "the"]
+    chunks = [(b, f"c{b}.{i}", f"src/{words[i % 5]}/{i // 2:03d}.py", i % 2, None if i % 7 == 0 else f'"{words[i % 6]}"\n{words[i * i % 5]} ü', f"title {i % 3}", i) for b in (0, 1) for i in range(400)]
+    asked = [(1, 0, "parser cache"), (2, 0, "the of"), (3, 1, "config of loadConfig and queue"), (4, 0, "nothing alike"), (5, 2, "cache")]
+    index = spark.createDataFrame(chunks, "bank_id int, chunk_key string, path string, ordinal int, gist string, title string, chars int")
+    queries = spark.createDataFrame(asked, "query_id int, bank_id int, query_text string")
+
+    def tokens(text):
+        names = re.findall(r"[A-Za-z_][A-Za-z0-9_]{2,}", text)
+        parts = [p for n in names for p in re.split(r"_+|(?<=[a-z0-9])(?=[A-Z])", n) if len(p) > 2]
+        return {x.lower() for x in names + parts} - set(N.STOP)
+
+    for budget in (0, 5_000, 12_000):
+        room, want, totals = max(1000, budget - 3000), [], {}
+        for q, bank, text in asked:
+            rows, terms = sorted((c for c in chunks if c[0] == bank), key=lambda c: (c[2], c[3])), tokens(text)
+            rel = [(len(terms & tokens(f"{c[4] or ''} {c[5]}")) + 2 * len(terms & tokens(c[2].replace("/", " ")))) / (len(terms) + 2) if terms else 0.0 for c in rows]
+            spent, shown = 0, 0
+            for i in sorted(range(len(rows)), key=lambda i: -rel[i]):
+                c = rows[i]
+                spent += len(json.dumps({"id": c[1], "source": c[2], "gist": c[4] or c[5], "chars": c[6]}, ensure_ascii=False))
+                if spent > room:
+                    break
+                shown += 1
+                want.append((q, shown, round(rel[i], 9), spent, c[1], c[2], c[4] or c[5], c[6]))
+            totals[q] = (sum(r > 0 for r in rel), shown, len(rows), len({c[2] for c in rows}))
+        got = N.digest(queries, index, budget)
+        assert sorted(map(tuple, got.collect())) == want
+        listing = spark.createDataFrame([(b, p, "too large") for b in (0, 1, 2) for p in ["src/cache/000.py", *(f"lost/{i:03d}" for i in range(90 * b))]], "bank_id int, path string, why string")
+        for r in N.digest_totals(queries, index, listing, budget).collect():
+            lost = [p for p in ([] if r.query_id != 5 else ["src/cache/000.py"])] + [f"lost/{i:03d}" for i in range({5: 180, 3: 90}.get(r.query_id, 0))]
+            cost = list(itertools.accumulate(len(json.dumps({"path": p, "why": "too large"})) for p in sorted(lost)))
+            named = [p for i, (p, n) in enumerate(zip(sorted(lost), cost)) if i == 0 or n <= room // 8]
+            assert tuple(r)[1:5] == totals[r.query_id] and r.n_not_indexed == len(lost)
+            assert [e.path for e in r.not_indexed or []] == named

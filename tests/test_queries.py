@@ -37,6 +37,7 @@ SOME = [
     "s02_keyed_upsert", "s04_prepare_rows", "p01_read_seam", "t02_gist", "t03_entities", "t04_key_phrases", "t31_claim_similarity", "j06_per_turn_counts", "w01_ranked_importance",
     "w07_first_fit_budget", "w09_stalls", "r01_lexical_ranking", "r02_rank_fusion", "f01_evidence_confidence", "l05_consolidation", "j17_support_sets", "t42_grading", "t40_redaction",
     "s16_file_map", "s16_map_totals", "s16_compact_map",
+    "r11_chunk_relevance", "r12_digest", "r12_digest_totals",
 ]
 
 
