@@ -123,8 +123,9 @@ def active_sheet(store: DataFrame, incumbents: DataFrame, turn, size: int = 5, m
 
 def leading(store: DataFrame, turn, competitors: int = 2) -> DataFrame:
     """Per (subject, kind) the leading claim and its competitors."""
-    w = Window.partitionBy("bank_id", "about", "kind").orderBy(F.desc("c"), "claim")
-    rows = store.withColumn("c", F.round(live(turn), 3)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= competitors + 1)
+    w = Window.partitionBy("bank_id", "about", "kind").orderBy(F.desc("c"), "claim", "last_updated_turn")
+    # nine places first, as everywhere in the store: a half then goes up, whatever the last bits of the power are
+    rows = store.withColumn("c", F.round(F.round(live(turn), 9), 3)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= competitors + 1)
     return rows.select("bank_id", "about", "kind", "rank", "claim", F.col("c").alias("confidence"))
 
 
