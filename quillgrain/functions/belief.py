@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgrain.functions.text import clamp, words_list
+from quillgrain.functions.text import bind, clamp, words_list
 
 # Ceilings, plasticities, half-lives and cues of the kinds of belief.
 CAPS = {"observation": 1.0, "stated_fact": 0.9, "preference": 0.8, "goal": 0.65, "trait": 0.45, "identity": 0.35}
@@ -66,8 +66,8 @@ def decayed(confidence: Column, kind: Column, elapsed: Column) -> Column:
 def claim_tokens(text: Column) -> Column:
     """Distinct words of a claim without stop words; if it has no others, all of them."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9']+"), F.lit(0)))
-    kept = F.array_except(words, words_list(STOPWORDS))
-    return F.when(F.size(kept) > 0, kept).otherwise(words)
+    kept = lambda w: bind(F.array_except(w, words_list(STOPWORDS)), lambda k: F.when(F.size(k) > 0, k).otherwise(w))
+    return bind(words, kept)
 
 
 def polarity(claim: Column) -> Column:
@@ -79,9 +79,11 @@ def polarity(claim: Column) -> Column:
 
 def claim_parts(claim: Column, subject: Column) -> Column:
     """What is compared of a claim: its polarity, and its words without those of the subject, if any are left."""
-    words = claim_tokens(claim)
-    rest = F.array_except(words, claim_tokens(subject))
-    return F.struct(polarity(claim).alias("polarity"), F.when((F.coalesce(subject, F.lit("")) != "") & (F.size(rest) > 0), rest).otherwise(words).alias("words"))
+    def own(words: Column) -> Column:
+        rest = F.array_except(words, claim_tokens(subject))
+        return bind(rest, lambda r: F.when((F.coalesce(subject, F.lit("")) != "") & (F.size(r) > 0), r).otherwise(words))
+
+    return F.struct(polarity(claim).alias("polarity"), bind(claim_tokens(claim), own).alias("words"))
 
 
 def parts_similarity(a: Column, b: Column) -> Column:

@@ -398,9 +398,10 @@ w as (select *, list_distinct(regexp_extract_all(lower(a), '[a-z0-9'']+')) as wa
 f as (select about, turn, other, a, b, list_filter(wa, lambda x: x <> 'not' and not list_contains(ws, x)) as fa, list_filter(wb, lambda x: x <> 'not' and not list_contains(ws, x)) as fb from w)
 select about, turn, other, case when a.starts_with('not') <> b.starts_with('not') then 0 else len(list_intersect(fa, fb)) / least(len(fa), len(fb))::double end as similarity from f""")
 def t31(spark, d):
-    p = A.belief_updates(spark, d).select("about", "claim", "turn")
-    o = p.select("about", F.col("claim").alias("b"), F.col("turn").alias("other"), (F.col("turn") - 1).alias("turn"))
-    return p.join(o, ["about", "turn"]).select("about", "turn", "other", B.claim_similarity(F.col("claim"), F.col("b"), F.col("about")).alias("similarity"))
+    # the parts of a claim are read before it meets the next one
+    p = A.belief_updates(spark, d).select("about", "turn", B.claim_parts(F.col("claim"), F.col("about")).alias("own"))
+    o = p.select("about", F.col("own").alias("next"), F.col("turn").alias("other"), (F.col("turn") - 1).alias("turn"))
+    return p.join(o, ["about", "turn"]).select("about", "turn", "other", B.parts_similarity(F.col("own"), F.col("next")).alias("similarity"))
 
 
 _KIND = "case " + " ".join("when regexp_matches(t, '{}') then '{}'".format(v, k) for k, v in B.KIND_CUES.items()) + " end"
