@@ -3,11 +3,13 @@
 Lines are normalised (ASCII lower case, white space collapsed) and identified by a 128-bit hash;
 equal lines are one node. Whether two nodes are linked is decided by edit similarity alone. Lines
 meet in the buckets of twelve hash blocks, each of three minima over windows of eight bytes (five in
-short lines). In a bucket a line is offered to the lines before it, in one fixed order, that are
-nearest by a SimHash of its bytes; large buckets are cells of two blocks each. Every offer is a row
-that is joined with its two lines and tested alone, so neither a bucket nor a group has to fit into a
-task, and no offer hangs on the bounds of batches. Of every connected group the
-occurrence in the smallest document, at the earliest place, is kept.
+short lines). In a bucket a line is first offered to the two lines before it, in one fixed order, that
+are nearest by a SimHash of its bytes; every offer is a row that is joined with its two lines and
+tested alone. That links most groups. What then lies in one bucket but not yet in one group is tested
+in full, inside the cells of the bucket, so no link of a bucket is lost. Large buckets are cells of
+two blocks each: neither a bucket nor a group has to fit into a task, and no link hangs on the bounds
+of batches. Of every connected group the occurrence in the smallest document, at the earliest place,
+is kept.
 
 Blocks of the SimHash itself would not do: pairs of edit similarity 0.8 differ in up to a third of
 its bits, and blocks that survive this are too short to tell lines apart.
@@ -31,8 +33,9 @@ from quillgrain.llm.simhash_dedup import SEED
 SIMILARITY = 0.8
 #: Blocks a line and minima a block; lines of SHORT bytes or fewer meet by short windows, those near it by both.
 BANDS, ROWS, SHORT = 12, 3, 50
-#: A line is offered to the REPS nearest lines before it in a cell; a bucket of more than CELL lines is several cells.
-REPS, CELL = 24, 4096
+#: At first a line is offered to the REPS nearest lines before it in a cell; a bucket of more than CELL lines is several cells.
+#: The cells of what is left, which hold texts, are of REST lines.
+REPS, CELL, REST = 2, 4096, 512
 #: What more than one in HOT lines are is joined by broadcast: HOT keys at most.
 HOT = 2000
 
@@ -327,15 +330,83 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return lines.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def verified_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """Links (u, v) of the nodes whose lines are similar."""
+def letters(lines: list[str]) -> np.ndarray:
+    """How often the characters of each line fall into each of 32 classes, 255 at most."""
+    codes = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) & np.uint32(31) for x in lines)
+    return np.array([np.minimum(np.bincount(c, minlength=32), 255) for c in codes], np.int16).reshape(-1, 32)
+
+
+def unlinked(least: float = SIMILARITY, part: int = 128):
+    """A task over (key, side, root, line) rows by key: (u, v) links between the groups `root` of a cell.
+
+    Every two lines of different groups whose lengths and letters allow it go through the edit test, `part`
+    rows at a time against those before; an edit changes the number of one letter on either side by one at most.
+    """
+
+    def cell(lines: list[str], root: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+        n, held = np.fromiter(map(len, lines), np.int64, len(lines)), letters(lines)
+        group = root.copy()
+        for lead in range(0, len(lines), part):
+            rows = np.arange(lead, min(lead + part, len(lines)))[:, None]
+            most = (1 - least) * np.maximum(n[rows], n) + 1e-9
+            apart = (side[rows] != side) | (side < 0)
+            i, j = np.nonzero((np.arange(len(lines)) < rows) & (group[rows] != group) & (np.abs(n[rows] - n) <= most) & apart)
+            far, most = held[i + lead] - held[j], most[i, j]
+            near = np.flatnonzero(np.maximum(np.maximum(far, 0).sum(axis=1), np.maximum(-far, 0).sum(axis=1)) <= most)
+            ok = similar([(lines[lead + i[k]], lines[j[k]]) for k in near], least)
+            for k in near[np.array(ok, bool)]:
+                u, v = group[lead + i[k]], group[j[k]]
+                if u != v:
+                    yield int(u), int(v)
+                    group[group == u] = v
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_keys(batches, 2000):
+            key, root = pdf["key"].to_numpy(np.int64), pdf["root"].to_numpy(np.int64)
+            side = pdf["side"].fillna(-1).to_numpy(np.int64)
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist()
+            found = []
+            for s, e in zip(start, [*start[1:], len(key)], strict=True):
+                if (root[s:e] != root[s]).any():
+                    found += cell([x.decode(errors="replace") for x in pdf["line"][s:e]], root[s:e], side[s:e])
+            if found:
+                yield pd.DataFrame(found, columns=["u", "v"])
+
+    return run
+
+
+def similar_groups(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """(node, root): the connected groups of the nodes that share a bucket and whose lines are similar."""
     sketches = nodes.select("id", F.posexplode("bands")).where("col is not null")
     dealt = sketches.select((F.col("pos").cast("long") * 2**32 + F.col("col")).alias("key"), "id")
     dealt = stored(dealt.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, id long"))
     texts = stored(line_texts(nodes.join(dealt.select("id").distinct(), "id"), docs, id_col, text_col))
     known = in_cells(dealt, CELL).join(texts.select("id", "fp", "n"), "id")
     ordered = known.repartition("key").sortWithinPartitions("key", F.hash("id"), "id").select("key", "side", "id", "fp", "n")
-    return verified(ordered.mapInPandas(offers(least=least), "u long, v long").distinct(), texts, least)
+    first = components(verified(ordered.mapInPandas(offers(least=least), "u long, v long").distinct(), texts, least))
+    return joined(first, rest_links(dealt, first, texts, least))
+
+
+def rest_links(dealt: DataFrame, groups: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) between the groups (node, root) that meet in a bucket; a node of no group is one of its own.
+
+    In a bucket of REPS + 1 lines or fewer every line was offered to all before it.
+    """
+    large = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > REPS + 1).select("key")
+    rows = stored(dealt.join(large, "key").join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    rows = stored(rows.join(mixed, "key", "left_semi"))
+    lines = texts.join(rows.select("id", "root").distinct(), "id").select("id", "root", "line")
+    cells = in_cells(rows.select("key", "id"), REST).join(lines, "id").repartition("key").sortWithinPartitions("key", F.hash("id"), "id")
+    return cells.select("key", "side", "root", "line").mapInPandas(unlinked(least), "u long, v long")
+
+
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups (node, root) after links between their roots, or nodes of no group, came in."""
+    more = stored(components(links).select(F.col("node").alias("root"), F.col("root").alias("last")))
+    old = groups.join(more, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    new = more.join(groups.select(F.col("node").alias("root")), "root", "left_anti")
+    return old.unionByName(new.select(F.col("root").alias("node"), F.col("last").alias("root")))
 
 
 def line_texts(asked: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -383,7 +454,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lines.groupBy("key").agg(F.first("bands").alias("bands"), F.min(F.struct("_d", "_t", "pos")).alias("at"), F.count("*").alias("n"))
         .withColumn("id", F.xxhash64("key"))
     )
-    roots = components(verified_links(nodes, docs, id_col, text_col, least))
+    roots = similar_groups(nodes, docs, id_col, text_col, least)
     fuzzy = nodes.select("id", "at").join(roots.withColumnRenamed("node", "id"), "id")
     groups = fuzzy.join(fuzzy.groupBy("root").agg(F.min("at").alias("kept")), "root").select("id", "kept")
     kept = stored(nodes.select("id", "key", "at", "n").join(groups, "id", "left").where("n > 1 or kept is not null").select("key", "n", F.coalesce("kept", "at").alias("k")))
