@@ -217,15 +217,9 @@ def t03(spark, d):
 
 
 def phrase_weights(rows, limit: int = 12):
-    """Per id the best words (weight 1) and word pairs (1.5) without stop words: (id, rank, phrase, weight)."""
-    toks = rows.select("id", T.phrase_tokens("content").alias("w"))
-    ok = lambda x: ~x.isin(T.STOPWORDS)
-    one = F.transform(F.filter("w", ok), lambda x: F.struct(x.alias("phrase"), F.lit(1.0).alias("weight")))
-    shifted = F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.when(b.isNotNull() & ok(a) & ok(b), F.struct(F.concat_ws(" ", a, b).alias("phrase"), F.lit(1.5).alias("weight"))))
-    each = toks.select("id", F.inline(F.concat(one, F.array_compact(shifted))))
-    n = each.groupBy("id", "phrase").agg(F.sum("weight").alias("weight"))
-    best = Window.partitionBy("id").orderBy(F.desc("weight"), F.desc(F.size(F.split("phrase", " "))), "phrase")
-    return n.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    """Per row the best words (weight 1) and word pairs (1.5) without stop words: (id, rank, phrase, weight)."""
+    best = rows.select("id", F.posexplode(T.weighted_phrases("content", limit)).alias("pos", "x"))
+    return best.select("id", (F.col("pos") + 1).alias("rank"), "x.phrase", "x.weight")
 
 
 _STOP = S.words(T.STOPWORDS)
