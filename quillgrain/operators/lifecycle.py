@@ -21,6 +21,8 @@ STEP, CEILING, DISPUTE_STEP = 0.12, 0.97, 0.2
 READING = 300
 #: Bytes of the run by which a part of a text is looked for; bits of the bitmap of asked runs.
 GRAM, BITS = 8, 20
+#: Texts whose runs are in a task's memory at once.
+SLICE = 128
 KEEP_RECENT, SALIENCE_FLOOR, EVERY_TURNS, ROW_PRESSURE = 12, 0.72, 10, 40
 
 
@@ -49,7 +51,7 @@ def _with_grams(rows: DataFrame, text: str, sizes: list[int] | None = None, aske
     """The rows without `text`, one for each of its grams: `gram`, the text's own size or those of `sizes`, if `asked` may hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
             found = []
             for x in b.column(text):
                 t = x.as_buffer().to_pybytes()
