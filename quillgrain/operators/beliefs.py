@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrain.functions import belief as B
+from quillgrain.functions.text import bind
 
 STORE = "bank_id long, about string, kind string, claim string, confidence double, first_seen_turn long, last_updated_turn long"
 COLUMNS = [c.split()[0] for c in STORE.split(", ")]
+FOLDED = ["bank_id", "about", "kind", "claim", "confidence", "turn", "polarity", "words"]
+HELD = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for n, t in (c.split() for c in STORE.split(", "))])
 
 
 class Subject:
@@ -22,8 +24,8 @@ class Subject:
         self.held = held
 
     def live(self, h: dict, turn: int) -> float:
-        gone = max(0, turn - h["last_updated_turn"])
-        return h["confidence"] * 0.5 ** (gone / B.HALF_LIFE[h["kind"]])
+        gone = turn - h["last_updated_turn"]
+        return h["confidence"] * 0.5 ** (gone / B.HALF_LIFE[h["kind"]]) if gone > 0 else h["confidence"]
 
     def similarity(self, a: dict, b: dict) -> float:
         x, y = a["words"], b["words"]
@@ -42,6 +44,8 @@ class Subject:
         for h in group:
             if (s := self.similarity(u, h)) > most:
                 best, most = h, s
+                if s == 1.0:  # none is more alike
+                    break
         if best is not None and most >= B.MATCH:
             old = self.live(best, turn)
             best |= {k: u[k] for k in ("claim", "words", "polarity")}
@@ -68,38 +72,55 @@ class Subject:
 
 def read_claims(updates: DataFrame) -> DataFrame:
     """Updates with the effective kind, the polarity and the words that say something about the subject."""
-    words, own = B.claim_tokens(F.col("claim")), B.claim_tokens(F.col("about"))
-    rest = F.array_except(words, own)
+    def telling(words):
+        return bind(F.array_except(words, B.claim_tokens(F.col("about"))), lambda rest: F.when(F.size(rest) > 0, rest).otherwise(words))
+
     return updates.where("trim(claim) <> ''").select(
         "bank_id", F.coalesce(F.nullif(F.trim("about"), F.lit("")), F.lit("unknown")).alias("about"), B.effective_kind(F.col("kind"), F.col("claim")).alias("kind"),
         F.trim("claim").alias("claim"), F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "confidence")), F.lit(0.5)).alias("confidence"), "turn", "seq",
-        B.polarity(F.col("claim")).alias("polarity"), F.when(F.size(rest) > 0, rest).otherwise(words).alias("words"),
+        B.polarity(F.col("claim")).alias("polarity"), bind(B.claim_tokens(F.col("claim")), telling).alias("words"),
     )
 
 
-def fold_subject(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Folds the ordered updates of one subject as they stream in; at most thirty claims are held."""
-    s = Subject([])
-    pending: list[dict] = []
-    for pdf in batches:
-        for u in pdf.to_dict("records"):
-            u["words"] = set(u["words"])
-            if pending and pending[-1]["turn"] != u["turn"]:
+def fold_subjects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folds updates in the order of (bank, subject, turn, seq) as they stream in.
+
+    One subject's claims are held, thirty at most, and its updates of the last turn; batches may end anywhere.
+    """
+    key, s, pending = None, Subject([]), []
+    told: dict[str, frozenset] = {}  # of one batch
+
+    def rows() -> list[dict]:
+        s.run(pending)
+        return [{"bank_id": key[0], "about": key[1]} | {k: h[k] for k in COLUMNS[2:]} for h in s.held]
+
+    for b in batches:
+        done = []
+        told.clear()
+        for *own, kind, claim, confidence, turn, polarity, words in zip(*(b.column(c).to_pylist() for c in FOLDED), strict=True):
+            if own != key:
+                done += rows() if key else []
+                key, s, pending = own, Subject([]), []
+            elif pending and pending[-1]["turn"] != turn:
                 s.run(pending)
                 pending = []
-            pending.append(u)
-    s.run(pending)
-    rows = [{"bank_id": key[0], "about": key[1]} | {k: h[k] for k in COLUMNS[2:]} for h in s.held]
-    yield pd.DataFrame(rows, columns=COLUMNS)
+            if (said := told.get(words)) is None:
+                said = told[words] = frozenset(words.split())
+            pending.append({"kind": kind, "claim": claim, "confidence": confidence, "turn": turn, "polarity": polarity, "words": said})
+        if done:
+            yield pa.RecordBatch.from_pylist(done, HELD)
+    if key:
+        yield pa.RecordBatch.from_pylist(rows(), HELD)
 
 
 def merge(updates: DataFrame) -> DataFrame:
-    """The belief store after all updates, folded for each (bank, subject) in the order of (turn, seq)."""
+    """The belief store after all updates, folded for each (bank, subject) in the order of (turn, seq).
 
-    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(fold_subject(key, iter([pdf.sort_values(["turn", "seq"])])))
-
-    return read_claims(updates).groupBy("bank_id", "about").applyInPandas(run, STORE)
+    Subjects follow each other in a task and no group is collected; words of a claim hold no space and go as one text.
+    """
+    own = ["bank_id", "about"]
+    rows = read_claims(updates).withColumn("words", F.array_join("words", " "))
+    return rows.repartition(*own).sortWithinPartitions(*own, "turn", "seq").select(*FOLDED).mapInArrow(fold_subjects, STORE)
 
 
 def live(turn) -> object:
