@@ -23,6 +23,7 @@ from quillgrain.sources.buckets import BUCKETS, BucketTable
 
 HELD = "kind string, claim string, confidence double, first_seen_turn long, last_updated_turn long, words array<string>, polarity int"
 _NAMES = [c.split()[0] for c in HELD.split(", ")]
+_GIVEN = ["turn", "seq", "kind", "claim", "confidence", "polarity", "words"]
 
 
 class BeliefState(StatefulProcessor):
@@ -32,14 +33,19 @@ class BeliefState(StatefulProcessor):
         self.held = handle.getListState("held", HELD)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [dict(zip(_NAMES, row, strict=True)) for row in self.held.get()] if self.held.exists() else []
-        new = pd.concat(list(rows)).sort_values(["turn", "seq"]).to_dict("records")
-        for x in held + new:
-            x["words"] = set(x["words"])
+        held = [dict(zip(_NAMES, row, strict=True)) for row in self.held.get()]
+        for h in held:
+            h["words"] = frozenset(h["words"])
+        told: dict[str, frozenset] = {}
+        new = []
+        for turn, _, *rest, words in sorted(x for b in rows for x in zip(*(b[c].tolist() for c in _GIVEN), strict=True)):
+            if (said := told.get(words)) is None:
+                said = told[words] = frozenset(words.split())
+            new.append(dict(zip(_GIVEN[2:-1], rest, strict=True)) | {"turn": turn, "words": said})
         s = H.Subject(held)
         s.run(new)
         self.held.put([tuple(sorted(h[n]) if n == "words" else h[n] for n in _NAMES) for h in s.held])
-        yield pd.DataFrame([{"bank_id": key[0], "about": key[1]} | {c: h[c] for c in H.COLUMNS[2:]} for h in s.held], columns=H.COLUMNS)
+        yield pd.DataFrame({"bank_id": [key[0]] * len(s.held), "about": [key[1]] * len(s.held)} | {c: [h[c] for h in s.held] for c in H.COLUMNS[2:]})
 
     def close(self) -> None:
         pass
@@ -50,7 +56,8 @@ def belief_stream(updates: DataFrame) -> DataFrame:
 
     `belief_store` reads what is held back from the checkpoint. Needs the RocksDB state store.
     """
-    return H.read_claims(updates).groupBy("bank_id", "about").transformWithStateInPandas(BeliefState(), H.STORE, "Update", "None")
+    claims = H.read_claims(updates).withColumn("words", F.array_join("words", " "))
+    return claims.groupBy("bank_id", "about").transformWithStateInPandas(BeliefState(), H.STORE, "Update", "None")
 
 
 def belief_store(spark: SparkSession, checkpoint: str) -> DataFrame:
