@@ -36,6 +36,8 @@ BANDS, ROWS, SHORT = 12, 3, 50
 #: At first a line is offered to the REPS nearest lines before it in a cell; a bucket of more than CELL lines is several cells.
 #: The cells of what is left, which hold texts, are of REST lines.
 REPS, CELL, REST = 2, 4096, 512
+#: Pairs of small cells that are tested at once.
+POOL = 2000
 #: What more than one in HOT lines are is joined by broadcast: HOT keys at most.
 HOT = 2000
 
@@ -72,9 +74,9 @@ def line_prints(lines: list[bytes]) -> np.ndarray:
     return np.concatenate([_prints([lines[i] for i in part]) for part in cached(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))])
 
 
-def cached(rows: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+def cached(rows: np.ndarray, size: np.ndarray, room: int = 100_000) -> list[np.ndarray]:
     """The rows in parts of about 100 kB, which stay in the processor's cache."""
-    return np.split(rows, np.flatnonzero(np.diff(np.cumsum(size[rows]) // 100_000)) + 1)
+    return np.split(rows, np.flatnonzero(np.diff(np.cumsum(size[rows]) // room)) + 1)
 
 
 def _prints(lines: list[bytes]) -> np.ndarray:
@@ -203,20 +205,107 @@ def side_by_side(pairs: list[tuple[str, str]]) -> list[int]:
     return out
 
 
+#: Characters of a piece, lanes that are searched at once, classes of characters; longer lines than LONG aren't cut into pieces.
+PIECE, ROOM, CLASSES, LONG = 64, 4096, 128, 4096
+#: Characters of the pairs that are looked at together.
+PART = 2_000_000
+
+
+def pieced(pairs: list[tuple[str, str]], most: list[float]) -> np.ndarray:
+    """Whether a lower bound of the edits of each pair is at most `most`; no line is empty.
+
+    The first line is cut into pieces of up to 64 characters. In any way to edit it into the second line within
+    `most` each piece lies at most that far from its own place, so the pieces' least edits there add up to no more
+    than those of the lines. All pieces are searched at once, a bit vector each; what shares a class counts as equal.
+    """
+    if not pairs:
+        return np.empty(0, bool)
+    flat, start, size = [], [], []
+    for side in zip(*pairs, strict=True):
+        codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in side]
+        size.append(np.fromiter(map(len, codes), np.int64, len(codes)))
+        start.append(np.cumsum(size[-1]) - size[-1])
+        flat.append((np.concatenate(codes) % CLASSES).astype(np.uint8))
+    far = np.array(most).astype(np.int64)
+    n = -(-size[0] // PIECE)
+    own = np.repeat(np.arange(len(pairs)), n)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    begin, end = at * size[0][own] // n[own], (at + 1) * size[0][own] // n[own]
+    gap = size[1] - size[0]
+    low = np.maximum(begin - (far - gap)[own] // 2, 0)
+    width = np.maximum(np.minimum(end + (far + gap)[own] // 2, size[1][own]) - low, 0)
+    least, near = np.zeros(len(own), np.int64), np.ones(len(pairs), bool)
+    for half in (0, 1):  # half of the pieces settle many pairs
+        order = np.flatnonzero((at % 2 == half) & near[own])
+        order = order[np.argsort(width[order], kind="stable")]
+        for k in np.split(order, range(ROOM, len(order), ROOM)):
+            least[k] = _least_inside(flat, start[0][own[k]] + begin[k], (end - begin)[k], start[1][own[k]] + low[k], width[k])
+        near = np.add.reduceat(least, np.cumsum(n) - n) <= np.array(most)
+    return near
+
+
+def _least_inside(flat: list[np.ndarray], a: np.ndarray, m: np.ndarray, b: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Per lane the least edits between the `m` characters from `a` on and any part of the `width` from `b` on.
+
+    Myers' search; the lanes come by width, so those that are through lie before the others.
+    """
+    row = np.arange(len(a)) * CLASSES
+    step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    where = np.zeros(len(a) * CLASSES, np.uint64)
+    np.add.at(where, np.repeat(row, m) + flat[0][np.repeat(a, m) + step], np.uint64(1) << step.astype(np.uint64))
+    one, top = np.uint64(1), (m - 1).astype(np.uint64)
+    plus, minus = np.full(len(a), ~np.uint64(0)), np.zeros(len(a), np.uint64)
+    score, best = m.astype(np.uint64), m.astype(np.uint64)
+    done = np.searchsorted(width, np.arange(width.max(initial=0)), "right").tolist()
+    for j, f in enumerate(done):
+        p, t, s = plus[f:], top[f:], score[f:]
+        eq = where[row[f:] + flat[1][b[f:] + j]]
+        x = eq & p
+        x += p
+        x ^= p
+        x |= eq
+        eq |= minus[f:]
+        x |= minus[f:]
+        up, down = ~(x | p), x & p
+        up |= minus[f:]
+        s += (up >> t) & one
+        s -= (down >> t) & one
+        np.minimum(best[f:], s, out=best[f:])
+        up <<= one
+        down <<= one
+        np.bitwise_and(up, eq, out=minus[f:])
+        up |= eq
+        np.bitwise_or(down, ~up, out=p)
+    return best.astype(np.int64)
+
+
 #: Bytes of the columns that pairs side by side may have; a longer pair goes alone.
 GROUP_BYTES = 2 << 20
 
 
-def similar(pairs: list[tuple[str, str]], least: float = SIMILARITY) -> list[bool]:
-    """Whether 1 - edits / longer length is at least `least`; an upper bound of the edits settles most pairs."""
-    ok, left = [False] * len(pairs), []
-    for k, (a, b) in enumerate(pairs):
-        longer, gap = max(len(a), len(b)), abs(len(a) - len(b))
-        most = (1 - least) * longer + 1e-9
-        if gap > most:
-            continue
-        if most_edits(a, b) <= most:
-            ok[k] = True
+def similar(pairs: list[tuple[str, str]], least: float = SIMILARITY, alike: bool = True) -> list[bool]:
+    """Whether 1 - edits / longer length is at least `least`; bounds of the edits settle most pairs.
+
+    Where many pairs are `alike`, the upper bound comes first; elsewhere it isn't worth its time.
+    """
+    ok = [False] * len(pairs)
+    bound = [(1 - least) * max(len(a), len(b)) + 1e-9 for a, b in pairs]
+    fit = [k for k, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= bound[k]]
+    if alike:
+        for k in fit:
+            ok[k] = most_edits(*pairs[k]) <= bound[k]
+        fit = [k for k in fit if not ok[k]]
+    size = np.fromiter((len(a) + len(b) for a, b in pairs), np.int64, len(pairs))
+    near = [k for k in fit if 0 < min(map(len, pairs[k])) and max(map(len, pairs[k])) <= LONG]
+    off = set(near)
+    for way in (1, -1):  # the other way the pieces lie otherwise
+        parts = [part.tolist() for part in cached(np.array(near, np.int64), size, PART)]
+        near = [k for part in parts for k, held in zip(part, pieced([pairs[k][::way] for k in part], [bound[k] for k in part]), strict=True) if held]
+    off -= set(near)
+    left = []
+    for k in fit:
+        (a, b), most = pairs[k], bound[k]
+        if k in off:
             continue
         x, y = trimmed(a, b)
         if not x or not y:
@@ -343,34 +432,42 @@ def unlinked(least: float = SIMILARITY, part: int = 128):
     rows at a time against those before; an edit changes the number of one letter on either side by one at most.
     """
 
-    def cell(lines: list[str], root: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
-        n, held = np.fromiter(map(len, lines), np.int64, len(lines)), letters(lines)
-        group = root.copy()
-        for lead in range(0, len(lines), part):
-            rows = np.arange(lead, min(lead + part, len(lines)))[:, None]
-            most = (1 - least) * np.maximum(n[rows], n) + 1e-9
-            apart = (side[rows] != side) | (side < 0)
-            i, j = np.nonzero((np.arange(len(lines)) < rows) & (group[rows] != group) & (np.abs(n[rows] - n) <= most) & apart)
-            far, most = held[i + lead] - held[j], most[i, j]
-            near = np.flatnonzero(np.maximum(np.maximum(far, 0).sum(axis=1), np.maximum(-far, 0).sum(axis=1)) <= most)
-            ok = similar([(lines[lead + i[k]], lines[j[k]]) for k in near], least)
-            for k in near[np.array(ok, bool)]:
-                u, v = group[lead + i[k]], group[j[k]]
-                if u != v:
-                    yield int(u), int(v)
-                    group[group == u] = v
+    def offered(lines: list[str], root: np.ndarray, side: np.ndarray, lead: int, held: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.arange(lead, min(lead + part, len(lines)))[:, None]
+        most = (1 - least) * np.maximum(n[rows], n) + 1e-9
+        apart = (side[rows] != side) | (side < 0)
+        i, j = np.nonzero((np.arange(len(lines)) < rows) & (root[rows] != root) & (np.abs(n[rows] - n) <= most) & apart)
+        far, most = held[i + lead] - held[j], most[i, j]
+        near = np.flatnonzero(np.maximum(np.maximum(far, 0).sum(axis=1), np.maximum(-far, 0).sum(axis=1)) <= most)
+        return i[near] + lead, j[near]
+
+    def links(pool: list[tuple[str, str, int, int]]) -> set[tuple[int, int]]:
+        return {(u, v) for (_, _, u, v), ok in zip(pool, similar([(a, b) for a, b, _, _ in pool], least, alike=False), strict=True) if ok}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_keys(batches, 2000):
             key, root = pdf["key"].to_numpy(np.int64), pdf["root"].to_numpy(np.int64)
             side = pdf["side"].fillna(-1).to_numpy(np.int64)
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist()
-            found = []
+            found, pool = set(), []
             for s, e in zip(start, [*start[1:], len(key)], strict=True):
-                if (root[s:e] != root[s]).any():
-                    found += cell([x.decode(errors="replace") for x in pdf["line"][s:e]], root[s:e], side[s:e])
+                if (root[s:e] == root[s]).all():
+                    continue
+                lines = [x.decode(errors="replace") for x in pdf["line"][s:e]]
+                held, n, group = letters(lines), np.fromiter(map(len, lines), np.int64, e - s), root[s:e].copy()
+                for lead in range(0, e - s, part):
+                    i, j = offered(lines, group, side[s:e], lead, held, n)
+                    pool += [(lines[x], lines[y], int(group[x]), int(group[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+                    # small cells are tested together; in a large one, what was linked needs no more tests
+                    if len(pool) >= POOL or e - s > part:
+                        new = links(pool)
+                        found |= new
+                        pool = []
+                        for u, v in new:
+                            group[group == u] = v
+            found |= links(pool)
             if found:
-                yield pd.DataFrame(found, columns=["u", "v"])
+                yield pd.DataFrame(list(found), columns=["u", "v"])
 
     return run
 
@@ -397,7 +494,9 @@ def rest_links(dealt: DataFrame, groups: DataFrame, texts: DataFrame, least: flo
     mixed = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     rows = stored(rows.join(mixed, "key", "left_semi"))
     lines = texts.join(rows.select("id", "root").distinct(), "id").select("id", "root", "line")
-    cells = in_cells(rows.select("key", "id"), REST).join(lines, "id").repartition("key").sortWithinPartitions("key", F.hash("id"), "id")
+    # the work of a cell grows with its pairs, not its bytes: partitions aren't put together by their bytes
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = in_cells(rows.select("key", "id"), REST).join(lines, "id").repartition(parts, "key").sortWithinPartitions("key", F.hash("id"), "id")
     return cells.select("key", "side", "root", "line").mapInPandas(unlinked(least), "u long, v long")
 
 
