@@ -133,8 +133,11 @@ def least_edits(a: str, b: str) -> int:
     return -(-int(max(more[more > 0].sum(), -more[more < 0].sum())) // 3)
 
 
-def most_edits(a: str, b: str) -> int:
-    """An upper bound of the edits: words are paired in order, and where they differ, up to six are passed over."""
+def most_edits(a: str, b: str, most: float = float("inf")) -> int:
+    """An upper bound of the edits: words are paired in order, and where they differ, up to six are passed over.
+
+    Once it is sure to pass `most`, any larger value is given.
+    """
     x, y = a.split(" "), b.split(" ")
     n, m, cost = len(x), len(y), 0
     x.append("")
@@ -149,6 +152,8 @@ def most_edits(a: str, b: str) -> int:
             if i + p <= n and j + q <= m and x[i + p] == y[j + q]:
                 break
         cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        if cost > most:
+            return cost
         i, j = i + p, j + q
     return cost + sum(map(len, x[i:n])) + n - i + sum(map(len, y[j:m])) + m - j
 
@@ -293,7 +298,7 @@ def similar(pairs: list[tuple[str, str]], least: float = SIMILARITY, alike: bool
     fit = [k for k, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= bound[k]]
     if alike:
         for k in fit:
-            ok[k] = most_edits(*pairs[k]) <= bound[k]
+            ok[k] = most_edits(*pairs[k], bound[k]) <= bound[k]
         fit = [k for k in fit if not ok[k]]
     size = np.fromiter((len(a) + len(b) for a, b in pairs), np.int64, len(pairs))
     near = [k for k in fit if 0 < min(map(len, pairs[k])) and max(map(len, pairs[k])) <= LONG]
